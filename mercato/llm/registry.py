@@ -1,10 +1,11 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from mercato.llm import license_scan, mix_sources, quality, toxicity, url_filter
+from mercato.llm import license_scan, mix_sources, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_mix_sources": mix_sources.op3_mix_sources,
+    "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality.op8_quality,
