@@ -93,6 +93,17 @@ def split_quota(sizes: np.ndarray, quota: int, seed: str) -> np.ndarray:
     return out
 
 
+def _divider(seed: str):
+    """Function that splits a node's quota over its children."""
+
+    def divide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        name = f"{seed}/{rows.source_no.iloc[0]}/{rows.parent.iloc[0]}"
+        return pd.DataFrame({"source_no": rows.source_no, "node": rows.node, "quota": split_quota(rows.words.to_numpy(), rows.quota.iloc[0], name)})
+
+    return divide
+
+
 def block_quotas(blocks: DataFrame, quotas: DataFrame, seed: int = SEED) -> DataFrame:
     """Splits every source's quota over its blocks.
 
@@ -106,18 +117,11 @@ def block_quotas(blocks: DataFrame, quotas: DataFrame, seed: int = SEED) -> Data
         levels.append(levels[-1].groupBy("source_no", F.floor(F.col("node") / FANOUT).alias("node")).agg(F.sum("words").alias("words")))
     given = quotas.select("source_no", F.lit(0).cast("long").alias("node"), "quota")
     for depth in range(len(levels) - 2, -1, -1):
-
-        def divide(rows: pd.DataFrame, depth: int = depth) -> pd.DataFrame:
-            rows = rows.sort_values("node")
-            s, parent = rows.source_no.iloc[0], rows.parent.iloc[0]
-            q = split_quota(rows.words.to_numpy(), int(rows.quota.iloc[0]), f"{seed}/{s}/{depth}/{parent}")
-            return pd.DataFrame({"source_no": rows.source_no, "node": rows.node, "quota": q})
-
         children = levels[depth].withColumn("parent", F.floor(F.col("node") / FANOUT))
         given = (
             children.join(given.select("source_no", F.col("node").alias("parent"), "quota"), ["source_no", "parent"])
             .groupBy("source_no", "parent")
-            .applyInPandas(divide, "source_no long, node long, quota long")
+            .applyInPandas(_divider(f"{seed}/{depth}"), "source_no long, node long, quota long")
         )
     return given.select("source_no", F.col("node").alias("block"), "quota")
 
@@ -180,5 +184,6 @@ def mix(docs: DataFrame, **params) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Counted once: the sizes are read several times below.
+    docs = cut(load(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return draw(docs).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "copies", "part", "shard", "source")
