@@ -1,9 +1,10 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from mercato.llm import license_scan, mix_sources, quality, simhash, substring_dedup, toxicity, url_filter
+from mercato.llm import decontaminate, license_scan, mix_sources, quality, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_mix_sources": mix_sources.op3_mix_sources,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
