@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from mercato.llm import decontaminate, license_scan, mix_sources, quality, simhash, substring_dedup, toxicity, url_filter
+from mercato.llm import ann, decontaminate, license_scan, mix_sources, quality, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality.op8_quality,
+    "op9_ann": ann.op9_ann,
 }
 ORACLES = {
     "op2_license_scan": license_scan.SQL,
