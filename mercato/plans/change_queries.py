@@ -1,2 +1,213 @@
+"""Queries over writes, grouping, similarity and budgets."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mercato.functions.measures import package
+from mercato.functions.text import STOP_WORDS, identity
+from mercato.operators import optimize, similarity, upsert
+from mercato.plans.adapter import CATALOG_SQL, HISTORY_SQL, catalog, history
+from mercato.plans.price_queries import _rounded
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+DAY = datetime.date(1998, 12, 31)
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+_COLUMNS = ["url", "site", "name", "price", "category", "brand", "fit", "active", "locked_by"]
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current snapshot: a part of the catalog, some of it locked."""
+    rows = catalog(spark, sf_dir).where("seq % 4 <> 3")
+    return rows.withColumn("locked_by", F.when(F.col("seq") % 10 == 1, F.lit("human"))).select(*_COLUMNS)
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with new, unchanged, changed and repeated URLs."""
+    rows = catalog(spark, sf_dir).where("seq % 3 = 0").select("seq", "url", "site", "name", "price", F.concat(F.lit("new "), F.coalesce("category", F.lit("-"))).alias("category"), F.lit("Acme").alias("brand"), F.when(F.col("seq") % 2 == 0, "").otherwise("wide").alias("fit"))
+    price = F.when(F.col("seq") % 5 == 0, F.col("price") + 10).otherwise(F.col("price"))
+    again = rows.where("seq % 15 = 0").withColumn("price", F.col("price") + 20).withColumn("ord", F.col("seq") + 10_000_000)
+    return rows.withColumn("price", price).withColumn("ord", F.col("seq")).unionByName(again)
+
+
+_STATE_SQL = f"state AS (SELECT *, CASE WHEN seq % 10 = 1 THEN 'human' END AS locked_by FROM catalog WHERE seq % 4 <> 3)"
+_BATCH_SQL = """base AS (SELECT seq, url, site, name, price, 'new ' || coalesce(category, '-') AS category, 'Acme' AS brand, CASE WHEN seq % 2 = 0 THEN '' ELSE 'wide' END AS fit FROM catalog WHERE seq % 3 = 0),
+    batch AS (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN price + 10 ELSE price END AS price), seq AS ord FROM base UNION ALL SELECT * REPLACE (price + 20 AS price), seq + 10000000 FROM base WHERE seq % 15 = 0)"""
+
+
+@register(
+    "upsert_snapshot",
+    f"""WITH {CATALOG_SQL}, {_STATE_SQL}, {_BATCH_SQL}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ord DESC) AS k FROM batch) WHERE k = 1)
+    SELECT coalesce(s.url, l.url) AS url, CASE WHEN l.url IS NULL THEN s.site ELSE l.site END AS site, CASE WHEN l.url IS NULL THEN s.name ELSE l.name END AS name, coalesce(l.price, s.price) AS price,
+      CASE WHEN l.url IS NOT NULL AND s.locked_by IS NULL THEN l.category ELSE s.category END AS category, CASE WHEN l.url IS NOT NULL AND s.locked_by IS NULL THEN l.brand ELSE s.brand END AS brand,
+      CASE WHEN l.url IS NULL THEN s.fit ELSE coalesce(nullif(l.fit, ''), s.fit, '') END AS fit, l.url IS NOT NULL OR coalesce(s.active, false) AS active, s.locked_by FROM state s FULL JOIN l ON s.url = l.url""",
+)
+def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.upsert(_state(spark, sf_dir), _batch(spark, sf_dir).drop("seq"))
+
+
+_CHANGES_SQL = f"{CATALOG_SQL}, {_STATE_SQL}, {_BATCH_SQL}, ch AS (SELECT b.url, b.ord, b.price, coalesce(lag(b.price) OVER (PARTITION BY b.url ORDER BY b.ord), s.price) AS prev FROM batch b LEFT JOIN state s USING (url)), kinds AS (SELECT *, CASE WHEN prev IS NULL THEN 'new' WHEN abs(prev - price) > 0.01 THEN 'updated' ELSE 'same' END AS change FROM ch)"
+
+
+@register("upsert_stats", f"WITH {_CHANGES_SQL} SELECT count(*) FILTER (WHERE change = 'new') AS new, count(*) FILTER (WHERE change = 'updated') AS updated, count(*) FILTER (WHERE change = 'same') AS same FROM kinds")
+def upsert_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.upsert_stats(_state(spark, sf_dir), _batch(spark, sf_dir))
+
+
+@register(
+    "history_after",
+    f"WITH {_CHANGES_SQL}, {HISTORY_SQL}, f AS (SELECT url, arg_min(price, ord) AS price FROM kinds WHERE change <> 'same' GROUP BY url) SELECT url, CAST(day AS VARCHAR) AS day, floor(price * 10000 + 0.500001) / 10000 AS price FROM (SELECT url, day, price FROM history UNION ALL SELECT url, DATE '1998-12-31', price FROM f WHERE url NOT IN (SELECT url FROM history WHERE day = DATE '1998-12-31'))",
+)
+def history_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(upsert.history_after(history(spark, sf_dir), _state(spark, sf_dir), _batch(spark, sf_dir), F.lit(DAY)))
+
+
+@register(
+    "soft_delete",
+    f"WITH {CATALOG_SQL}, {_STATE_SQL}, b AS (SELECT url, site FROM catalog WHERE seq % 3 = 0 AND site < 'Site 2') SELECT url, active AND NOT (site IN (SELECT site FROM b) AND url NOT IN (SELECT url FROM b)) AS active FROM state",
+)
+def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.soft_delete(_state(spark, sf_dir), _batch(spark, sf_dir).where("site < 'Site 2'")).select("url", "active")
+
+
+@register("reclassify_audit", f"WITH {CATALOG_SQL}, {_STATE_SQL} SELECT url, category AS before, 'Otros' AS after, 'machine' AS who FROM state WHERE CAST(substr(url, 2) AS BIGINT) % 2 = 0 AND locked_by IS NULL AND category IS DISTINCT FROM 'Otros'")
+def reclassify_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposals = catalog(spark, sf_dir).where("seq % 2 = 0").select("url", F.lit("Otros").alias("new_category"))
+    return upsert.reclassify(_state(spark, sf_dir), proposals, who="machine")[1]
+
+
+@register("keyed_upsert", f"WITH {CATALOG_SQL}, {_STATE_SQL} SELECT url, price FROM state WHERE url NOT IN (SELECT url FROM catalog WHERE seq % 6 = 0) UNION ALL SELECT url, 1e0 FROM catalog WHERE seq % 6 = 0")
+def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = catalog(spark, sf_dir).where("seq % 6 = 0").select("url", F.lit(1.0).alias("price"))
+    return upsert.keyed_upsert(_state(spark, sf_dir).select("url", "price"), new, ["url"])
+
+
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+_WORDS_SQL = "list_filter(list_transform(regexp_split_to_array(lower(%s), '[\\s\\-_/.,()]+'), lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]{1,2}') AND NOT list_contains(" + _STOP_SQL + ", t))"
+
+
+def _identity_sql(category: str, brand: str, name: str) -> str:
+    words = _WORDS_SQL % f"trim(trim(coalesce({brand}, '')) || ' ' || trim({name}))"
+    return f"regexp_replace(lower(trim(coalesce({category}, ''))), '[^a-z]', '', 'g') || '_' || array_to_string(({words})[1:5], '_')"
+
+
+@register("identities", f"WITH {CATALOG_SQL} SELECT url, {_identity_sql('category', 'brand', 'name')} AS identity FROM catalog")
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog(spark, sf_dir).select("url", identity(F.col("category"), F.col("brand"), F.col("name")).alias("identity"))
+
+
+@register(
+    "similar_pairs",
+    f"""WITH {CATALOG_SQL}, r AS (SELECT url, site, {_identity_sql("'x'", "'' || (seq % 400)", "name")} AS key, list_distinct({_WORDS_SQL % "coalesce('' || (seq % 400), '') || ' ' || name"}) AS words FROM catalog),
+    p AS (SELECT a.url AS left_url, b.url AS right_url, CASE WHEN len(a.words) + len(b.words) = 0 THEN 1e0 ELSE len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) END AS s FROM r a JOIN r b ON a.key = b.key AND a.url < b.url AND a.site <> b.site)
+    SELECT left_url, right_url, floor(s * 10000 + 0.500001) / 10000 AS similarity FROM p WHERE s >= 0.55""",
+)
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog(spark, sf_dir).withColumns({"category": F.lit("x"), "brand": (F.col("seq") % 400).cast("string")})
+    return _rounded(similarity.similar_pairs(rows).withColumnsRenamed({"left": "left_url", "right": "right_url"}))
+
+
+@register("product_groups")
+def product_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog(spark, sf_dir)
+    return similarity.group_prices(rows, similarity.product_groups(rows), several_sites=True)
+
+
+_TERMS_SQL = f"list_filter(regexp_extract_all(lower(text), '{similarity.TERM}'), lambda t: length(t) > 2 AND NOT list_contains([{', '.join(repr(w) for w in similarity.TERM_STOP)}], t))"
+
+
+@register(
+    "tf_idf",
+    f"""WITH d AS (SELECT item_id, {_TERMS_SQL} AS ts FROM benchmark), x AS (SELECT item_id, unnest(ts) AS term FROM d), tf AS (SELECT item_id, term, count(*) AS f FROM x GROUP BY ALL),
+    t AS (SELECT *, sum(f) OVER (PARTITION BY item_id) AS total, count(*) OVER (PARTITION BY term) AS df FROM tf)
+    SELECT item_id, term, floor(f / total * (ln(((SELECT count(*) FROM benchmark) + 1) / (df + 1)) + 1) * 10000 + 0.500001) / 10000 AS weight FROM t""",
+)
+def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(similarity.tf_idf(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text"))
+
+
+@register("name_clusters")
+def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("url"), F.col("text").alias("name"))
+    return similarity.clusters(docs)
+
+
+@register("linked_clusters")
+def linked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import tempfile
+
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mercato-"))
+    return similarity.linked_clusters(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+
+
+@register(
+    "nearest_prototype",
+    """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS a FROM e), m AS (SELECT label, i, avg(a) AS a FROM x GROUP BY label, i),
+    p AS (SELECT label, list(a ORDER BY i) AS v FROM m GROUP BY label), s AS (SELECT vec_id, p.label, list_cosine_similarity(e.v, p.v) AS c FROM e CROSS JOIN p), r AS (SELECT *, row_number() OVER w AS k, c - lead(c) OVER w AS margin FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY c DESC, label))
+    SELECT vec_id, CASE WHEN c >= 0.2 AND margin >= 0.01 THEN label ELSE -1 END AS label, floor(c * 10000 + 0.500001) / 10000 AS cosine, floor(margin * 10000 + 0.500001) / 10000 AS margin FROM r WHERE k = 1""",
+)
+def nearest_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    prototypes = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+    return _rounded(similarity.against_prototypes(vectors, prototypes, 0.2, 0.01).withColumn("label", F.coalesce("label", F.lit(-1))))
+
+
+@register(
+    "package_sizes",
+    """WITH n AS (SELECT doc_id, strip_accents(lower(left(text, 20))) || ' ' || (doc_id % 900 + 1) || CASE doc_id % 6 WHEN 0 THEN ' g' WHEN 1 THEN ' kg' WHEN 2 THEN ' ml' WHEN 3 THEN ' capsulas' WHEN 4 THEN ' mg' ELSE ' lb' END || CASE WHEN doc_id % 4 = 0 THEN ' x 60 caps' ELSE '' END AS name, doc_id % 900 + 1 AS q FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 6 = 3 THEN 'count' WHEN doc_id % 6 IN (0, 1, 5) THEN 'mass' WHEN doc_id % 6 = 2 THEN 'volume' ELSE 'unknown' END AS family,
+      CAST(CASE WHEN doc_id % 4 = 0 THEN greatest(60, CASE WHEN doc_id % 6 = 3 THEN q ELSE 0 END) WHEN doc_id % 6 = 3 THEN q WHEN doc_id % 6 = 0 THEN q WHEN doc_id % 6 = 1 THEN q * 1000 WHEN doc_id % 6 = 2 THEN q WHEN doc_id % 6 = 5 THEN q * 453.592e0 ELSE 0 END AS DOUBLE) AS amount FROM n""",
+)
+def package_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    unit = F.element_at(F.array(*map(F.lit, [" g", " kg", " ml", " capsulas", " mg", " lb"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    name = F.concat(F.lit("Suplemento "), (F.col("doc_id") % 900 + 1).cast("string"), unit, F.when(F.col("doc_id") % 4 == 0, " x 60 caps").otherwise(""))
+    return docs.select("doc_id", package(name).alias("p")).select("doc_id", "p.family", "p.amount")
+
+
+_SLOTS = "CASE seq % 3 WHEN 0 THEN 'torso' WHEN 1 THEN 'legs' ELSE 'feet' END"
+_ELIGIBLE_SQL = f"el AS (SELECT *, {_SLOTS} AS slot, 100 - score + CASE WHEN deal THEN 25 ELSE 0 END + CASE WHEN list_contains(badges, 'verified_deal') THEN 15 ELSE 0 END + CASE WHEN list_contains(badges, 'all_time_low') THEN 15 ELSE 0 END + CASE WHEN list_contains(badges, 'below_market') THEN 10 ELSE 0 END + CASE WHEN coalesce(nullif(trim(trend), ''), 'estable') <> 'estable' THEN 8 ELSE 0 END AS opp FROM catalog WHERE lower(trim(coalesce(gender, ''))) IN ('', 'unisex', 'hombre'))"
+
+
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog(spark, sf_dir).withColumn("category", F.expr(_SLOTS))
+    slots = spark.createDataFrame([("torso", "torso", False), ("legs", "legs", False), ("feet", "feet", False)], "category string, slot string, gated boolean")
+    return optimize.eligible(rows, slots, "hombre")
+
+
+@register("least_budget", f"WITH {CATALOG_SQL}, {_ELIGIBLE_SQL} SELECT sum(low) AS least FROM (SELECT slot, min(price) AS low FROM el GROUP BY slot)")
+def least_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = spark.createDataFrame([("torso",), ("legs",), ("feet",)], "slot string")
+    return optimize.least_budget(_eligible(spark, sf_dir), slots)
+
+
+@register(
+    "best_pairs",
+    f"WITH {CATALOG_SQL}, {_ELIGIBLE_SQL}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY opp DESC, price, url) AS k FROM el) WHERE k <= 20) SELECT a.url AS a_url, b.url AS b_url, a.price + b.price AS total, a.opp + b.opp AS score FROM p a JOIN p b ON a.slot = 'torso' AND b.slot = 'legs' AND a.price + b.price <= 2400 ORDER BY score DESC, total, a_url, b_url LIMIT 1",
+)
+def best_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimize.best_pairs(_eligible(spark, sf_dir), "torso", "legs", 2400.0)
+
+
+@register("best_set")
+def best_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = optimize.build(optimize.pools(_eligible(spark, sf_dir)), 4000.0, ["torso", "legs", "feet"])
+    return spark.createDataFrame([(c.slot, c.url, c.price) for c in found["picks"]], "slot string, url string, price double")
