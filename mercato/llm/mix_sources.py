@@ -127,7 +127,7 @@ def block_quotas(blocks: DataFrame, quotas: DataFrame, seed: int = SEED) -> Data
 
 
 def draw(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, block_docs: int = BLOCK_DOCS, n_shards: int = 64, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target, copies, part, taken and shard to ``sizes(doc_id, source, size, ...)``.
+    """Adds source_size, target, copies, part, taken and shard to ``sizes(doc_id, source, size)``; a column row is carried along.
 
     A document is taken ``copies`` times whole and its first ``part`` words once more.
     """
@@ -166,21 +166,19 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     ``place`` is a seeded random key; sorting by (shard, place) shuffles each shard locally.
     """
     seed = params.get("seed", SEED)
-    rows = docs.select("*", word_count(F.col("text")).alias("size")) if "size" not in docs.columns else docs.withColumn("size", word_count(F.col("text")))
-    drawn = draw(rows.drop("source_size", "target", "copies", "part", "taken", "shard", "copy", "place"), **params)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    drawn = draw(rows, **params).where("size > 0")
+    none = F.array().cast("array<struct<copy:bigint,n:bigint>>")
     whole = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), lambda k: F.struct(k.alias("copy"), F.col("size").alias("n"))))
     part = F.when(F.col("part") > 0, F.array(F.struct((F.col("copies") + 1).alias("copy"), F.col("part").alias("n"))))
-    taken = F.concat(F.coalesce(whole, F.array().cast("array<struct<copy:bigint,n:bigint>>")), F.coalesce(part, F.array().cast("array<struct<copy:bigint,n:bigint>>")))
+    taken = drawn.withColumn("t", F.explode(F.concat(F.coalesce(whole, none), F.coalesce(part, none))))
     # Each piece is a word with the white space before it.
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    pieces = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first_words = F.array_join(F.slice(pieces, 1, F.col("t.n").cast("int")), "")
-    return (
-        drawn.where("size > 0")
-        .withColumn("t", F.explode(taken))
-        .withColumn("text", F.when(F.col("t.n") == F.col("size"), F.col("text")).otherwise(first_words))
-        .withColumns({"copy": F.col("t.copy"), "taken": F.col("t.n"), "place": F.xxhash64(F.lit(seed + 3), "doc_id", F.col("t.copy"))})
-        .drop("t", "copies", "part")
-    )
+    text = F.when(F.col("t.n") == F.col("size"), F.col("row.text")).otherwise(first_words)
+    place = F.xxhash64(F.lit(seed + 3), "doc_id", F.col("t.copy"))
+    added = {"text": text, "size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("t.n"), "copy": F.col("t.copy"), "shard": F.col("shard"), "place": place}
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
