@@ -39,9 +39,9 @@ from mercato.llm.common import load
 
 WINDOW = 50
 BLOCK = 25  # 2 * BLOCK - 1 <= WINDOW: every window holds a whole aligned block
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 3_000_000
 #: Bytes of text that are hashed at a time within a batch.
-PIECE = 1_000_000
+PIECE = 250_000
 ADDED = ["n_words", "n_removed", "kept_sha256", "kept_text", "spans"]
 _ADDED_DDL = "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
 
@@ -331,7 +331,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     kept_text is null where nothing was removed. Without ``with_text`` text is left out.
     """
-    docs = docs.drop(*ADDED, "batch")
+    docs = docs.drop(*ADDED).withColumnRenamed("batch", "__own_batch")
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
     n = max(1, math.ceil(size / BATCH_BYTES))
     # Range bounds of doc_id, as for a range partitioning: one number for each batch.
@@ -358,7 +358,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
         out = _apply(n, with_text)(table, found)
         return out if out is not None else pa.table({f.name: pa.array([], pa.null()) for f in schema})
 
-    return rows.cogroup(answers.groupBy("batch")).applyInArrow(final, schema)
+    return rows.cogroup(answers.groupBy("batch")).applyInArrow(final, schema).withColumnRenamed("__own_batch", "batch")
 
 
 def _skip_unknown(f):
