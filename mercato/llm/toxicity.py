@@ -1,10 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens get log-odds of toxic against other documents under an informative Dirichlet prior; tokens
-without significant log-odds cost a small constant. A linear-time scan finds all maximal segments
-of positive total score in a document. Segment scores follow an extreme-value law, fitted on
-documents that are not toxic; the evidence of a document's best segments is turned into a
-probability by a logistic fit.
+Tokens get log-odds of toxic against other documents under an informative Dirichlet prior, where
+those are significant; every token costs a small constant, so that common words can't add up to a
+passage. A linear-time scan finds all maximal segments of positive total score in a document.
+Segment scores follow an extreme-value law, fitted on documents that are not toxic; the evidence of
+a document's best segments is turned into a probability by a logistic fit.
 
 The token table holds at most ``MAX_TOKENS`` entries, so what is sent to the executors is bounded.
 
@@ -30,11 +30,11 @@ from mercato.llm.common import UPPER, load
 from mercato.llm.training import TRAIN_DOCS, labelled_sample, logistic, remainder, without_copies
 
 MAX_TOKENS = 20_000
-#: Least z-score of a token's log-odds, and what any other token costs in a segment.
-MIN_Z = 4.0
-DRIFT = 0.5
+#: Least z-score of a token's log-odds, and what every token costs in a segment.
+MIN_Z = 3.5
+DRIFT = 1.0
 #: Documents of each kind that the Dirichlet prior stands for.
-PRIOR_DOCS = 100
+PRIOR_DOCS = 500
 #: A segment is significant if fewer than this many are expected by chance in its document.
 MAX_EXPECTED = 0.05
 THRESHOLD = 0.3
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
         .limit(MAX_TOKENS)
         .collect()
     )
-    model = Model(scores={bytes(r.token): r.score for r in table})
+    model = Model(scores={bytes(r.token): r.score - DRIFT for r in table})
     get = _apply(sample.select("text", "y"), model).toPandas()
     plain = get[get.y == 0]
     # Decay: the positive root of E exp(decay * score) = 1 over tokens of documents that are not toxic.
