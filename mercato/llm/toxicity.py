@@ -33,8 +33,8 @@ MAX_TOKENS = 20_000
 #: Least z-score of a token's log-odds, and what every token costs in a segment.
 MIN_Z = 3.5
 DRIFT = 1.0
-#: Documents of each kind that the Dirichlet prior stands for.
-PRIOR_DOCS = 500
+#: Documents of each kind that the Dirichlet prior stands for, as a share of all training documents.
+PRIOR_SHARE = 0.075
 #: A segment is significant if fewer than this many are expected by chance in its document.
 MAX_EXPECTED = 0.05
 THRESHOLD = 0.3
@@ -128,9 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
         share = n1 / (n1 + n0) if n1 + n0 else 0.0
         return Model(weights=(math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0))
     # The prior spreads over both kinds like the token over all documents.
-    prior = (F.col("a") + F.col("b")) * PRIOR_DOCS / (n1 + n0)
+    prior, extra = (F.col("a") + F.col("b")) * PRIOR_SHARE, PRIOR_SHARE * (n1 + n0)
     a, b = F.col("a") + prior, F.col("b") + prior
-    odds = F.log(a / (n1 + PRIOR_DOCS + 1 - a)) - F.log(b / (n0 + PRIOR_DOCS + 1 - b))
+    odds = F.log(a / (n1 + extra + 1 - a)) - F.log(b / (n0 + extra + 1 - b))
     table = (
         counts.where(F.length("token") > 0)
         .select("token", odds.alias("score"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
