@@ -129,6 +129,45 @@ def plugin_cards(pages: DataFrame) -> DataFrame:
     return _done(rows.select("site", "page", "place", F.regexp_extract("card", r'href="([^"]+)"', 1).alias("url"), tagless(F.regexp_extract("card", r"(?s)<h[23][^>]*>(.*?)</h[23]>", 1)).alias("name"), price.alias("price"), F.when(high > price, high).alias("original_price"), F.lit(None).cast("string").alias("category"), F.array().cast("array<string>").alias("sizes"), F.regexp_extract("card", r'<img[^>]*src="([^"]+)"', 1).alias("image")))
 
 
+def state_pages(pages: DataFrame) -> DataFrame:
+    """Server-rendered shops that keep their products as JSON in the page state: any object with a name, a link and a price."""
+    state = F.regexp_extract("payload", r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
+    flat = F.regexp_extract_all(state, F.lit(r'\{[^{}]*"name"[^{}]*\}'), F.lit(0))
+    rows = pages.select("site", "base_url", "page", F.posexplode(flat).alias("place", "item"))
+    text = lambda *paths: F.coalesce(*[F.get_json_object("item", f"$.{p}") for p in paths])
+    link = text("url", "link", "slug")
+    url = F.when(link.startswith("http"), link).otherwise(F.concat("base_url", F.when(link.startswith("/"), "").otherwise("/"), link))
+    price, high = text("price", "salePrice").try_cast("double"), text("listPrice", "originalPrice").try_cast("double")
+    rows = rows.select("site", "page", "place", url.alias("url"), text("name").alias("name"), price.alias("price"), F.when(high > price, high).alias("original_price"), text("category").alias("category"), F.array().cast("array<string>").alias("sizes"), text("image", "img").alias("image"))
+    return _done(rows)
+
+
+def commerce_cards(pages: DataFrame) -> DataFrame:
+    """Static catalog pages of ``card-ecommerce`` blocks: linked title, ``data-precio``, struck price."""
+    cards = F.slice(F.split("payload", '<div class="card card-ecommerce'), 2, 1_000_000)
+    rows = pages.select("site", "base_url", "page", F.posexplode(cards).alias("place", "card"))
+    found = lambda pattern, k=1: F.nullif(F.regexp_extract("card", pattern, k), F.lit(""))
+    title = r'card-title[^"]*"\s*>\s*<a href="([^"]+)">([^<]+)</a>'
+    price, high = found(r'data-precio="([0-9.]+)"').try_cast("double"), local_price(found(r'tachado_\d"[^>]*>\$([0-9.,]+)</h6>'))
+    image = found(r'<img src="([^"]+)"')
+    image = F.when(image.startswith("http"), image).otherwise(F.concat("base_url", F.lit("/"), F.regexp_replace(image, "^/+", "")))
+    return _done(rows.select("site", "page", "place", found(title).alias("url"), F.trim(found(title, 2)).alias("name"), price.alias("price"), F.when(high > price, high).alias("original_price"), F.lit(None).cast("string").alias("category"), F.array().cast("array<string>").alias("sizes"), image.alias("image")))
+
+
+def index_series(documents: DataFrame) -> DataFrame:
+    """``day, value`` of a price index from JSON texts ``(payload)`` such as {"data": [["2024-01-01", 123.4], ...]}."""
+    rows = documents.select(F.explode(F.from_json(F.get_json_object("payload", "$.data"), "array<array<string>>")).alias("p"))
+    return rows.select(F.get("p", F.lit(0)).cast("date").alias("day"), F.get("p", F.lit(1)).try_cast("double").alias("value")).where("value > 0").dropDuplicates(["day"])
+
+
+def market_search(documents: DataFrame, most: int = 8) -> DataFrame:
+    """Offers of marketplace search results ``(url, payload)``: the first priced ones of each product."""
+    offer = "results array<struct<title:string,price:double,permalink:string,condition:string>>"
+    rows = documents.select("url", F.posexplode(F.from_json("payload", offer).results).alias("place", "o")).where("o.price > 0")
+    order = Window.partitionBy("url").orderBy("place")
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("url", F.col("o.title").alias("title"), F.col("o.price").alias("price"), F.col("o.permalink").alias("link"), F.col("o.condition").alias("condition"))
+
+
 def platform(sites: DataFrame, lookup: DataFrame) -> DataFrame:
     """``site, url, platform``: from the lookup, else from the URL, else the default."""
     known = lookup.select("site_key", F.col("platform").alias("known"))
