@@ -35,8 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of an Arrow batch of texts. Spark's default of 10,000 can be hundreds of MB of long texts.
+TEXT_BATCH = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``; if its session has Spark's default size of Arrow batches, that is lowered to ``TEXT_BATCH`` rows.
+
+    Bounds what a Python worker, and the JVM beside it, hold of long texts at a time.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, TEXT_BATCH)
+    return df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import load
+from mercato.llm.common import load, text_batches
 from mercato.llm.substring_dedup import Words
 from mercato.llm.toxicity import tokens
 
@@ -38,7 +38,7 @@ THRESHOLD = 0.5
 CHUNK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the alignment tables that are worked on at once.
-CELLS = 4_000_000
+CELLS = 1_000_000
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def leak_scores(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``digest, item_id, score``: the best item of every distinct text with a seed hit."""
-    texts = docs.where("text is not null").select(F.sha2("text", 256).alias("digest"), "text")
+    texts = text_batches(docs).where("text is not null").select(F.sha2("text", 256).alias("digest"), "text")
     found = None
     for chunk in _chunks(benchmark):
         seeds = Seeds(chunk)

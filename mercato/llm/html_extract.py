@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import load
+from mercato.llm.common import load, text_batches
 from mercato.llm.html_pages import labelled_pages
 
 # Tags that begin and end a block, have no content, or hold no text of the page.
@@ -265,7 +265,7 @@ def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
         for batch in pages:
             yield pd.Series([main_text(p, model) for p in batch], dtype=object)
 
-    return pages.drop("text", "n_chars").withColumn("text", main(F.col("html"))).withColumn("n_chars", F.length("text").cast("long"))
+    return text_batches(pages).drop("text", "n_chars").withColumn("text", main(F.col("html"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

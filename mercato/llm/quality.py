@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import load
+from mercato.llm.common import load, text_batches
 from mercato.llm.training import TRAIN_DOCS, labelled_sample, remainder
 
 BINS = 32
@@ -163,7 +163,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held: int = HELD_OUT, most: int = TRAIN_DOCS) -> Model:
-    sample = labelled_sample(docs, labels, label, folds, held, most)
+    sample = labelled_sample(text_batches(docs), labels, label, folds, held, most)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.Series(model.predict(np.array([features(t) for t in batch], dtype=float).reshape(len(batch), len(FEATURES))))
 
-    return docs.withColumn("score", judge(F.col("text")))
+    return text_batches(docs).withColumn("score", judge(F.col("text")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import UPPER, components, cut, load
+from mercato.llm.common import UPPER, components, cut, load, text_batches
 
 RADIUS = 3
 SHINGLE = 3
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t) for t in batch], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp(F.col("text")).alias("fp"))
+    return text_batches(docs).select("doc_id", fp(F.col("text")).alias("fp"))
 
 
 def masks(fixed: int = 0, radius: int = RADIUS) -> list[int]:

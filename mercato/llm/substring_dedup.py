@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import load
+from mercato.llm.common import load, text_batches
 
 WINDOW = 50
 BLOCK = 25  # 2 * BLOCK - 1 <= WINDOW: every window holds a whole aligned block
@@ -331,7 +331,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     kept_text is null where nothing was removed. Without ``with_text`` text is left out.
     """
-    docs = docs.drop(*ADDED).withColumnRenamed("batch", "__own_batch")
+    docs = text_batches(docs).drop(*ADDED).withColumnRenamed("batch", "__own_batch")
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
     n = max(1, math.ceil(size / BATCH_BYTES))
     # Range bounds of doc_id, as for a range partitioning: one number for each batch.

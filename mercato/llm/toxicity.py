@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import UPPER, load
+from mercato.llm.common import UPPER, load, text_batches
 from mercato.llm.training import TRAIN_DOCS, labelled_sample, logistic, remainder, without_copies
 
 MAX_TOKENS = 20_000
@@ -107,7 +107,7 @@ def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> float
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT, most: int = TRAIN_DOCS) -> Model:
     """Fits the model on a bounded sample; tokens are counted by documents, in Spark."""
-    sample = without_copies(labelled_sample(docs, labels, label, folds, held, most)).persist()
+    sample = without_copies(labelled_sample(text_batches(docs), labels, label, folds, held, most)).persist()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, w0 + w1 * x)))), [{"start": a, "end": b, "score": s} for a, b, s in found if model.decay * s >= rare]))
             yield pd.DataFrame(out, columns=["score", "passages"])
 
-    kept = docs.drop("score", "passages", "judged")
+    kept = text_batches(docs).drop("score", "passages", "judged")
     return kept.withColumn("judged", judge(F.col("text"))).select(*kept.columns, "judged.score", "judged.passages")
 
 
