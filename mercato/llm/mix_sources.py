@@ -36,6 +36,8 @@ BLOCK_DOCS = 1000
 #: Children of a node of the splitting tree.
 FANOUT = 128
 SEED = 7
+#: Most sources whose plan, some 100 bytes each, is broadcast.
+BROADCAST_SOURCES = 50_000
 #: numpy draws exact hypergeometric variates up to this population; larger ones use the normal law.
 EXACT_POPULATION = 900_000_000
 
@@ -145,7 +147,9 @@ def draw(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float
         )
     )
     key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = sizes.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(key, F.col("n_blocks"))).drop("s", "n_blocks")
+    # A row per source. Up to this many are broadcast, which saves a shuffle by a skewed key; more are joined by shuffling.
+    by_source = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    placed = sizes.join(by_source, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(key, F.col("n_blocks"))).drop("s", "n_blocks")
     blocks = cut(placed.where("quota > 0").groupBy("source_no", "block").agg(F.sum("size").alias("words")))
     quotas = block_quotas(blocks, plan.where("quota > 0").select("source_no", "quota"), seed)
     order = Window.partitionBy("source_no", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
