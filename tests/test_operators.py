@@ -191,3 +191,30 @@ def test_classifier_beats_the_majority(spark):
     train, test = classify.training_rows(df, ["Otros"]).randomSplit([0.7, 0.3], seed=1)
     got = classify.predict(classify.fit(train, 1 << 10), test, 0.0).select("guess", "category").collect()
     assert sum(r.guess == r.category for r in got) > 0.9 * len(got)
+
+
+def supplements(spark):
+    rows = [
+        ("whey", "w1", "Whey 1kg", 100.0, "Otra", 50),
+        ("whey", "w2", "Whey 2kg", 150.0, "Otra", 50),
+        ("whey", "w3", "Whey 500 g", 90.0, "ENA", 50),
+        ("whey", "w4", "Whey 1kg", 160.0, "ena", 50),
+        ("creatina", "c1", "Creatina 300 g", 60.0, None, 10),
+        ("creatina", "c2", "Creatina x 90 caps", 20.0, None, 10),
+        ("creatina", "c3", "Creatina 200 g", 50.0, None, 10),
+        ("barra", "b1", "Barra", 9.0, None, 70),
+        ("barra", "b2", "Barra", 8.0, None, 20),
+    ]
+    df = spark.createDataFrame(rows, "kind string, url string, name string, price double, brand string, score int")
+    return df.withColumns({"deal": F.lit(False), "trend": F.lit(""), "badges": F.array().cast("array<string>")})
+
+
+def test_combo(spark):
+    got = {r.kind: r.url for r in optimize.combo(supplements(spark), ["BSA", "ENA"]).collect()}
+    assert got == {"whey": "w4", "creatina": "c1", "barra": "b2"}
+
+
+def test_combo_within_a_budget(spark):
+    kinds = ["whey", "creatina", "barra", "none"]
+    assert optimize.combo_within(supplements(spark), ["ENA"], kinds, 150.0) == [("whey", "w3", 90.0), ("creatina", "c1", 60.0), ("barra", "b2", 8.0)]
+    assert [u for _, u, _ in optimize.combo_within(supplements(spark), [], kinds, 1000.0, ["w2", "b1", "b2"])] == ["w1", "c1", "b2"]
