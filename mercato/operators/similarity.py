@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from mercato.functions.text import identity, jaccard, significant_words
 
 JACCARD, COSINE = 0.55, 0.28
-#: Most rows that the order-dependent clustering takes: it is one task by definition.
-EXACT_ROWS = 200_000
+#: Catalog places in a block of the order-dependent clustering.
+BLOCK_ROWS = 20_000
 # Words left out of the term weights.
 TERM_STOP = "de la el los las un una para con en y a zapatillas remera campera pantalon short buzo calza pollera mochila gorra medias bota ojota".split()
 TERM = "[a-zA-ZáéíóúñÁÉÍÓÚÑ]+"
@@ -54,10 +54,20 @@ def _seed_groups(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def product_groups(catalog: DataFrame) -> DataFrame:
-    """``url, group_url``: rows of one identity by greedy likeness to a seed, in catalog order (seq). Parallel by identity."""
-    words = F.array_distinct(significant_words(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name")))
-    rows = catalog.select("url", "site", "seq", identity(F.col("category"), F.col("brand"), F.col("name")).alias("key"), words.alias("words"))
-    return rows.groupBy("key").applyInPandas(_seed_groups, "url string, group_url string")
+    """``url, group_url``: rows of one identity by greedy likeness to a seed, in catalog order (seq). Parallel by identity.
+
+    Only the first row of each word set and site goes to the greedy step. Later rows of the same
+    words and site share its fate exactly: where it joined a seed they join the same one; where it is
+    a seed, nothing else can take them, so that each is a group of its own.
+    """
+    words = F.array_sort(F.array_distinct(significant_words(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name"))))
+    rows = catalog.select("url", F.coalesce("site", F.lit("")).alias("site"), "seq", identity(F.col("category"), F.col("brand"), F.col("name")).alias("key"), words.alias("words"))
+    same = ["key", "words", "site"]
+    firsts = rows.groupBy(*same).agg(F.min_by("url", "seq").alias("first_url"), F.min("seq").alias("seq"))
+    seeded = firsts.withColumnRenamed("first_url", "url").groupBy("key").applyInPandas(_seed_groups, "url string, group_url string")
+    joined = rows.join(firsts.select(*same, "first_url"), same).join(seeded.withColumnRenamed("url", "first_url"), "first_url")
+    alone = (F.col("url") != F.col("first_url")) & (F.col("group_url") == F.col("first_url"))
+    return joined.select("url", F.when(alone, F.col("url")).otherwise(F.col("group_url")).alias("group_url"))
 
 
 def group_prices(catalog: DataFrame, groups: DataFrame, several_sites: bool = True) -> DataFrame:
@@ -130,20 +140,21 @@ def greedy_clusters(names: list[str], threshold: float = COSINE) -> list[int]:
     return out
 
 
-def clusters(catalog: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """``url, cluster`` in catalog order. Sequential by definition, hence one task; refuses larger catalogs.
+def clusters(catalog: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``url, cluster``: greedy clusters in catalog order within blocks of a category.
 
-    For those use ``linked_clusters``, which scales but means something else.
+    The greedy rule is sequential, so a whole catalog would be one task. It is applied to blocks of
+    at most ``block_rows`` consecutive catalog places (seq, unique) of one category, in parallel; for
+    clusters over all rows use ``linked_clusters``.
     """
-    n = catalog.count()
-    if n > exact_rows:
-        raise ValueError(f"{n} rows: order-dependent clustering takes {exact_rows} at most; use linked_clusters")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
-        return pd.DataFrame({"url": rows["url"], "cluster": greedy_clusters(rows["name"].tolist())})
+        name = f"{rows['cat'].iloc[0]}/{rows['block'].iloc[0]}"
+        return pd.DataFrame({"url": rows["url"], "cluster": [f"{name}/{k}" for k in greedy_clusters(rows["name"].tolist())]})
 
-    return catalog.select("url", "seq", "name").groupBy().applyInPandas(run, "url string, cluster long")
+    rows = catalog.select("url", "seq", "name", F.coalesce("category", F.lit("")).alias("cat"), F.floor(F.col("seq") / block_rows).alias("block"))
+    return rows.groupBy("cat", "block").applyInPandas(run, "url string, cluster string")
 
 
 def cosine_pairs(docs: DataFrame, key: str, text: str, threshold: float = COSINE, common: float = 0.05) -> DataFrame:
@@ -161,9 +172,14 @@ def cosine_pairs(docs: DataFrame, key: str, text: str, threshold: float = COSINE
 
 
 def demand_threshold(sizes: DataFrame) -> DataFrame:
-    """One row: max(8, min(size at the top tenth, three times the median size)) over ``sizes(size)``, one row per cluster."""
-    ranked = sizes.withColumn("k", F.row_number().over(Window.orderBy(F.col("size").desc()))).crossJoin(sizes.agg(F.count("*").alias("n"), F.percentile("size", F.lit(0.5)).alias("median")))
-    top = F.max(F.when(F.col("k") == F.greatest(F.floor(F.col("n") * 0.10), F.lit(1)), F.col("size")))
+    """One row: max(8, min(size at the top tenth, three times the median size)) over ``sizes(size)``, one row per cluster.
+
+    Works on one row for each different size.
+    """
+    whole = sizes.agg(F.count("*").alias("n"), F.percentile("size", F.lit(0.5)).alias("median"))
+    down = Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sizes.groupBy("size").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(down)).crossJoin(whole)
+    top = F.max(F.when(F.col("upto") >= F.greatest(F.floor(F.col("n") * 0.10), F.lit(1)), F.col("size")))
     return ranked.agg(F.greatest(F.lit(8.0), F.least(top.cast("double"), F.first("median") * 3)).alias("threshold"))
 
 

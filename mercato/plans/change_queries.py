@@ -143,7 +143,7 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("name_clusters")
 def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("url"), F.col("text").alias("name"))
+    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("url"), F.col("text").alias("name"), F.lit("x").alias("category"))
     return similarity.clusters(docs)
 
 

@@ -15,13 +15,22 @@ ORACLES: dict = {}
 
 
 def _to_the_end(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all input and returns its result; state goes to the session's shared folder."""
+    """Runs a stream over all input; each batch is written as Parquet in the session's shared folder.
+
+    A batch that comes again after a failure overwrites itself. ``complete`` results replace each other.
+    """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mercato-")
-    name = f"stream_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared.rstrip('/')}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    written: set[str] = set()
+
+    def put(batch: DataFrame, k: int) -> None:
+        path = f"{base}/out/{'all' if mode == 'complete' else k}"
+        batch.write.mode("overwrite").parquet(path)
+        written.add(path)
+
+    ingest.ingest(df, put, f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(*sorted(written)) if written else spark.createDataFrame([], df.schema)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

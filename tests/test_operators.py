@@ -218,3 +218,43 @@ def test_combo_within_a_budget(spark):
     kinds = ["whey", "creatina", "barra", "none"]
     assert optimize.combo_within(supplements(spark), ["ENA"], kinds, 150.0) == [("whey", "w3", 90.0), ("creatina", "c1", 60.0), ("barra", "b2", 8.0)]
     assert [u for _, u, _ in optimize.combo_within(supplements(spark), [], kinds, 1000.0, ["w2", "b1", "b2"])] == ["w1", "c1", "b2"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_equal_the_naive_greedy_rule(spark, seed):
+    rng = random.Random(seed)
+    head = "alpha bravo carbon delta echo"
+    rows = [(f"u{k}", k, f"s{rng.randint(0, 3)}", "Cat", "", " ".join([head, *rng.sample(["fox", "golf", "hotel", "india", "kilo"], rng.randint(0, 5))])) for k in range(120)]
+    naive, free = {}, list(rows)
+    while free:
+        first, rest = free[0], []
+        naive[first[0]] = first[0]
+        for r in free[1:]:
+            a, b = set(first[5].split()), set(r[5].split())
+            if r[2] != first[2] and len(a & b) / len(a | b) >= similarity.JACCARD:
+                naive[r[0]] = first[0]
+            else:
+                rest.append(r)
+        free = rest
+    df = spark.createDataFrame(rows, "url string, seq long, site string, category string, brand string, name string")
+    assert {r.url: r.group_url for r in similarity.product_groups(df).collect()} == naive
+
+
+def test_cluster_blocks_follow_the_greedy_rule(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(20)]
+    rows = [(f"u{k:03d}", k, " ".join(rng.choice(words) for _ in range(4)), rng.choice("xy")) for k in range(200)]
+    got = {r.url: r.cluster for r in similarity.clusters(spark.createDataFrame(rows, "url string, seq long, name string, category string"), 50).collect()}
+    for cat, block in itertools.product("xy", range(4)):
+        part = [r for r in rows if r[3] == cat and r[1] // 50 == block]
+        want = naive_clusters([r[2] for r in part])
+        assert [got[r[0]] for r in part] == [f"{cat}/{block}/{k}" for k in want]
+
+
+@pytest.mark.parametrize("sizes", [[1], [30, 20, 10, 9, 9, 8, 7, 5, 5, 4, 3, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1], [50] * 20, list(range(1, 101))])
+def test_demand_threshold(spark, sizes):
+    ranked = sorted(sizes, reverse=True)
+    top = ranked[max(0, int(len(ranked) * 0.10) - 1)]
+    middle = (ranked[(len(ranked) - 1) // 2] + ranked[len(ranked) // 2]) / 2
+    got = similarity.demand_threshold(spark.createDataFrame([(s,) for s in sizes], "size int")).first().threshold
+    assert got == max(8, min(top, middle * 3))
