@@ -1,25 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: an exact filter on rare words, then Smith-Waterman alignment.
 
-Words are compared without case (A-Z) and ASCII punctuation. Every ``GRAM``-word gram of a test item
-is a seed; how many documents hold it is counted over all documents, and each item keeps the rarer
-half of its seeds, at least ``LEAST_SEEDS``. A common passage of the benchmark thus keeps seeds even
-if a third of all documents repeat it. Passages around seed hits meet their items, and a local
-alignment of words (match 2, mismatch -1, gap -1) gives score / (2 x words of the item); a document
-with a score of at least ``THRESHOLD`` is contaminated.
+Words are compared without case (A-Z) and ASCII punctuation. A local alignment of words (match 2,
+mismatch -1, gap -1) gives score / (2 x words of the item); a document with a score of at least
+``THRESHOLD`` is contaminated.
+
+An alignment of share r of an item of L words matches at least r L of them within (3 - 2 r) L words
+of the document, so it leaves out at most L - r L places of the item. Of any L - r L + t places it
+matches t or more. The rarest places of an item, by counts over all documents, are its seeds;
+wherever so many hits stand so close, the passage around them is aligned. The counts only decide
+what is compared, so no document that reaches the threshold is missed, whatever its edits are.
 
 Only the items travel to the executors, ``CHUNK_ITEMS`` at most at a time; a larger benchmark is
 worked off in chunks, each with one pass over the documents. Documents are keyed by the digest of
 their text, so copies are aligned once.
 
-Defined results: null and empty texts are clean (score 0, null item); null, empty and repeated items
-are judged like others, items without words never match; of equal scores the smallest item_id
-counts; repeated rows get equal results; an empty table on either side gives clean documents or no
+Defined results: null and empty texts are clean (score 0, null item); scores are exact from the
+threshold on, and below it are those of the passages that were aligned (0 and a null item without
+any, as where too few words agree); null, empty and repeated items are judged like others, items without words never match; of
+equal scores the smallest item_id counts; repeated rows get equal results; an empty table on either side gives clean documents or no
 rows; a null doc_id is kept; extra columns are ignored by ``judge`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +37,17 @@ from mercato.llm.common import load, text_batches
 from mercato.llm.substring_dedup import Words
 from mercato.llm.toxicity import tokens
 
-GRAM = 4
-LEAST_SEEDS = 24
 THRESHOLD = 0.5
 CHUNK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the alignment tables that are worked on at once.
 CELLS = 1_000_000
+#: An item has further seeds, and needs as many more hits, while each is at most this share of all words.
+COMMON = 4e-3
+#: Seed hits that are looked at at once, but whole documents.
+HITS = 2_000_000
+#: Passages of an Arrow batch.
+PASSAGES = 5000
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -52,53 +61,78 @@ def _normal(texts: list) -> list[bytes]:
     return [b" ".join(tokens(t or "")) for t in texts]
 
 
-def _grams(words: Words, sizes: set[int]):
-    """(start word, length, hash) of the grams of the given lengths; the length is part of the hash."""
-    for n in sorted(sizes):
-        at, h = words.grams(n, n)
-        yield at, n, h
-
-
 class Seeds:
-    """Seeds of some items: sorted hashes, and for each the items and how far they reach around it."""
+    """The words of some items, and after ``rare`` the items that each word is a seed of."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.items = [(i, t) for i, t in zip([x[0] for x in items], _normal([x[1] for x in items]), strict=True) if t]
         words = Words([t for _, t in self.items])
-        length = np.diff(words.first)
-        found = []
-        for n in {min(GRAM, int(k)) for k in length}:
-            at, h = words.grams(n, n)
-            own = words.doc[at]
-            use = np.minimum(length[own], GRAM) == n
-            found.append(pd.DataFrame({"hash": h[use], "item": own[use], "place": (at - words.first[own])[use], "n": n}))
-        self.table = pd.concat(found, ignore_index=True) if found else pd.DataFrame({"hash": np.zeros(0, np.uint64), "item": [], "place": [], "n": []})
-        self.length = length
-        self.sizes = set(self.table.n.astype(int))
-        self.hashes = np.unique(self.table.hash.to_numpy(np.uint64))
-
-    def rare(self, count: np.ndarray) -> None:
-        """Keeps the rarer half of each item's seeds; ``count`` is aligned with ``hashes``."""
-        t = self.table.assign(df=count[np.searchsorted(self.hashes, self.table.hash)]).sort_values(["item", "df", "place"])
-        rank, size = t.groupby("item").cumcount(), t.groupby("item").hash.transform("size")
-        t = t[rank < np.maximum(LEAST_SEEDS, np.ceil(size / 2))]
-        slack = self.length[t.item.to_numpy(int)] // 4 + 4
-        t = t.assign(left=t.place + slack, right=self.length[t.item.to_numpy(int)] - t.place + slack)
-        self.table = t
-        self.hashes = np.unique(t.hash.to_numpy(np.uint64))
-        grouped = t.assign(k=np.searchsorted(self.hashes, t.hash)).groupby("k")
-        self.left, self.right = grouped.left.max().to_numpy(int), grouped.right.max().to_numpy(int)
-        self.of = grouped.item.apply(lambda x: sorted(set(x))).tolist()
-
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Start words and seed numbers of all hits."""
-        starts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, _, h in _grams(words, self.sizes):
-            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[k] == h
-            starts.append(at[hit])
-            numbers.append(k[hit])
-        return np.concatenate(starts), np.concatenate(numbers)
+        self.length = np.diff(words.first)
+        self.bags = [Counter(t.split()) for _, t in self.items]
+        self.hashes, word = np.unique(words.hash, return_inverse=True)
+        self.table = pd.DataFrame({"item": words.doc, "word": word})
+        # Matches that a score of the threshold needs, and the words of a document that it can extend over.
+        self.least = np.maximum(np.ceil(threshold * self.length - 1e-9), 1).astype(int)
+        self.reach = np.maximum(np.floor(3 * self.length - 2 * threshold * self.length + 1e-9), self.length).astype(int)
+
+    def rare(self, count: np.ndarray, total: int) -> None:
+        """Picks the seeds; ``count`` of ``total`` words is aligned with ``hashes``."""
+        t = self.table.assign(n=count[self.table.word]).sort_values(["item", "n", "word"])
+        item = t.item.to_numpy()
+        rank = t.groupby("item").cumcount().to_numpy()
+        first = (self.length - self.least)[item]  # so many places may stay without a match
+        use = (rank <= first) | (t.n.to_numpy() <= COMMON * total)
+        self.need = np.bincount(item[use], minlength=len(self.items)) - (self.length - self.least)
+        pairs = t[use].drop_duplicates(["word", "item"]).sort_values(["word", "item"])
+        self.of = pairs.item.to_numpy(np.int64)
+        self.start = np.searchsorted(pairs.word.to_numpy(), np.arange(len(self.hashes) + 1))
+
+    def words_in(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that items hold, and their numbers."""
+        k = np.minimum(np.searchsorted(self.hashes, words.hash), len(self.hashes) - 1)
+        at = np.flatnonzero(self.hashes[k] == words.hash)
+        return at, k[at]
+
+    def passages(self, words: Words) -> Iterator[tuple[np.ndarray, ...]]:
+        """Items, first words and ends of all passages that can reach the threshold, in pieces."""
+        at, k = self.words_in(words)
+        fan = self.start[k + 1] - self.start[k]
+        at, k, fan = at[fan > 0], k[fan > 0], fan[fan > 0]
+        upto = np.concatenate([[0], np.cumsum(fan)])
+        a = 0
+        while a < len(at):
+            z = int(np.searchsorted(upto, upto[a] + HITS))
+            if z < len(at):  # whole documents
+                z = int(np.searchsorted(at, words.first[words.doc[at[z]]]))
+                z = z if z > a else int(np.searchsorted(at, words.first[words.doc[at[a]] + 1]))
+            yield self._near(words, at[a:z], k[a:z], fan[a:z])
+            a = z
+
+    def _near(self, words: Words, at: np.ndarray, k: np.ndarray, fan: np.ndarray) -> tuple[np.ndarray, ...]:
+        skip = np.cumsum(fan) - fan
+        item = self.of[np.repeat(self.start[k] - skip, fan) + np.arange(int(fan.sum()))]
+        at = np.repeat(at, fan)
+        key = words.doc[at] * len(self.items) + item
+        order = np.argsort(key, kind="stable")
+        key, at, item = key[order], at[order], item[order]
+        last = np.arange(len(key)) + self.need[item] - 1
+        inside = np.minimum(last, len(key) - 1)
+        close = np.flatnonzero((last < len(key)) & (key[inside] == key) & (at[inside] - at < self.reach[item]))
+        key, item, reach = key[close], item[close], self.reach[item[close]]
+        doc = words.doc[at[close]]
+        lo = np.maximum(at[inside[close]] - reach + 1, words.first[doc])
+        hi = np.minimum(at[close] + reach, words.first[doc + 1])
+        # Passages of one item that overlap are one.
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (lo[1:] > hi[:-1])
+        first = np.flatnonzero(new)
+        end = np.append(first[1:], len(key)) - 1 if len(first) else first
+        return item[first], lo[first], hi[end]
+
+    def can_reach(self, passage: bytes, item: int) -> bool:
+        """Whether a passage holds as many of the item's words as its threshold needs, in any order."""
+        have, own = Counter(passage.split()), self.bags[item]
+        return sum(min(n, have[w]) for w, n in own.items()) >= self.least[item]
 
 
 def align(passages: list[bytes], items: list[bytes]) -> np.ndarray:
@@ -132,28 +166,29 @@ def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
             yield [(r.item_id, r.text) for r in part]
 
 
-def leak_scores(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``digest, item_id, score``: the best item of every distinct text with a seed hit."""
+def leak_scores(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``digest, item_id, score``: the best item of every distinct text that has one of at least the threshold, and of some others."""
     texts = text_batches(docs).where("text is not null").select(F.sha2("text", 256).alias("digest"), "text")
     found = None
     for chunk in _chunks(benchmark):
-        seeds = Seeds(chunk)
+        seeds = Seeds(chunk, threshold)
         if not len(seeds.hashes):
             continue
 
         def count(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(seeds.hashes), np.int64)
+            # The last number counts all words.
+            total = np.zeros(len(seeds.hashes) + 1, np.int64)
             for b in _slices(batches):
                 words = Words(_normal(b["text"].to_pylist()))
-                at, k = seeds.hits(words)
-                total += np.bincount(np.unique(words.doc[at] * len(total) + k) % len(total), minlength=len(total))
+                total += np.bincount(seeds.words_in(words)[1], minlength=len(total))
+                total[-1] += len(words.hash)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"seed": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
 
         counted = texts.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-        df = np.zeros(len(seeds.hashes), np.int64)
-        df[counted.seed.to_numpy(int)] = counted.n.to_numpy(int)
-        seeds.rare(df)
+        n = np.zeros(len(seeds.hashes) + 1, np.int64)
+        n[counted.seed.to_numpy(int)] = counted.n.to_numpy(int)
+        seeds.rare(n[:-1], int(n[-1]))
         scored = _score(texts, seeds)
         found = scored if found is None else found.union(scored)
     if found is None:
@@ -167,26 +202,18 @@ def _score(texts: DataFrame, seeds: Seeds) -> DataFrame:
         for b in _slices(batches):
             texts, digests = _normal(b["text"].to_pylist()), b["digest"].to_pylist()
             words = Words(texts)
-            at, k = seeds.hits(words)
-            order = np.argsort(at, kind="stable")
-            at, k = at[order], k[order]
-            doc = words.doc[at]
-            lo = np.maximum(at - seeds.left[k], words.first[doc])
-            hi = np.minimum(at + seeds.right[k], words.first[doc + 1])
-            rows: list[tuple[str, bytes, list[int]]] = []
-            a = 0
-            while a < len(at):
-                start, end, z = lo[a], hi[a], a + 1
-                while z < len(at) and doc[z] == doc[a] and lo[z] <= end:
-                    start, end, z = min(start, lo[z]), max(end, hi[z]), z + 1
-                items = sorted({i for s in set(k[a:z].tolist()) for i in seeds.of[s]})
-                rows.append((digests[doc[a]], texts[doc[a]][words.start[start] : words.end[end - 1]], items))
-                a = z
-            yield pa.RecordBatch.from_pydict({"digest": pa.array([r[0] for r in rows], pa.string()), "passage": pa.array([r[1] for r in rows], pa.binary()), "items": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
+            for item, lo, hi in seeds.passages(words):
+                for at in range(0, len(item), PASSAGES):
+                    part = slice(at, at + PASSAGES)
+                    doc = words.doc[lo[part]].tolist()
+                    ends = zip(doc, words.start[lo[part]].tolist(), words.end[hi[part] - 1].tolist(), strict=True)
+                    yield pa.RecordBatch.from_pydict({"digest": pa.array([digests[d] for d in doc], pa.string()), "passage": pa.array([texts[d][a:z] for d, a, z in ends], pa.binary()), "number": pa.array(item[part], pa.int64())})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digest, passage, number = (b[c].to_pylist() for c in ("digest", "passage", "number"))
+            can = [r for r, p in enumerate(passage) if seeds.can_reach(p, number[r])]
+            digest, passage, number = ([x[r] for r in can] for x in (digest, passage, number))
             # Pairs of similar size share a table of bounded size.
             order = sorted(range(len(number)), key=lambda r: len(passage[r]) * len(seeds.items[number[r]][1]))
             out: list[float] = [0.0] * len(number)
@@ -204,8 +231,7 @@ def _score(texts: DataFrame, seeds: Seeds) -> DataFrame:
 
     ids = texts.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(seeds.items)], "number long, item_id long")
     return (
-        texts.mapInArrow(passages, "digest string, passage binary, items array<long>")
-        .select("digest", "passage", F.explode("items").alias("number"))
+        texts.mapInArrow(passages, "digest string, passage binary, number long")
         .mapInArrow(score, "digest string, number long, score double")
         .join(ids, "number")
         .select("digest", "item_id", "score")
@@ -213,16 +239,16 @@ def _score(texts: DataFrame, seeds: Seeds) -> DataFrame:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id (null without a seed hit), score and contaminated of every row of ``docs(doc_id, text)``."""
+    """doc_id, item_id (null without an aligned passage), score and contaminated of every row of ``docs(doc_id, text)``."""
     keys = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
-    scores = keys.join(leak_scores(docs, benchmark), "digest", "left")
+    scores = keys.join(leak_scores(docs, benchmark, threshold), "digest", "left")
     score = F.coalesce("score", F.lit(0.0))
     return scores.select("doc_id", "item_id", score.alias("score"), (score >= threshold).alias("contaminated"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    bad = leak_scores(docs, benchmark).where(F.col("score") >= threshold).select(F.col("digest").alias("__leak"))
+    bad = leak_scores(docs, benchmark, threshold).where(F.col("score") >= threshold).select(F.col("digest").alias("__leak"))
     return docs.join(bad, F.sha2(docs["text"], 256) == F.col("__leak"), "left_anti")
 
 

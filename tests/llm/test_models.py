@@ -162,6 +162,30 @@ def test_op10_equals_brute_force(spark):
     assert len(got) == len(docs) and {r.doc_id for r in got if r.score == 1.0} == want
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_no_edited_leak_is_missed(spark, copies):
+    """All documents against all items by Smith-Waterman; words are replaced, put in or left out every few words."""
+    rng = random.Random(11)
+    vocabulary = [f"v{int(400 * rng.random() ** 3)}" for _ in range(2000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [[f"own{i}x{k}" if rng.random() < 0.5 else rng.choice(vocabulary) for k in range(n)] for i, n in enumerate((15, 24, 38, 59))]
+    docs = []
+    for x in items:
+        for every in (1, 2, 3, 4, 5, 6, 7):
+            replaced = [f"new{k}" if k % every == every - 1 else w for k, w in enumerate(x)]
+            longer = [y for k, w in enumerate(x) for y in ([w, f"new{k}"] if k % every == every - 1 else [w])]
+            shorter = [w for k, w in enumerate(x) if k % every != every - 1]
+            docs += [[*say(60), *y, *say(40)] for y in (replaced, longer, shorter)]
+    rows = [(k, " ".join(d)) for k, d in enumerate(docs) for _ in range(copies)]
+    best = {k: max(decontaminate.align([" ".join(d).encode()], [" ".join(x).encode()])[0] / (2 * len(x)) for x in items) for k, d in enumerate(docs)}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for threshold in (0.4, 0.5, 0.75):
+        got = decontaminate.judge(spark.createDataFrame(rows, "doc_id long, text string"), bench, threshold).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id for r in got if r.contaminated} == {k for k, v in best.items() if v >= threshold}
+        assert all(r.score == best[r.doc_id] for r in got if r.contaminated)
+
+
 def test_pipeline(spark):
     docs = load(spark, SF, "documents")
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
