@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontaminate, mix_sources, simhash, substring_dedup, toxicity
+from mercato.llm import decontaminate, mix_sources, near_copies, substring_dedup, toxicity
 from mercato.llm.common import load
 
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (5-word shingles, Jaccard 0.8): that with the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_copies),
+    ("near-copy dedup", drop_near_copies),
     ("substring dedup", cut_repeats),
     ("benchmark decontamination", drop_leaks),
     ("mixing sources", mix),

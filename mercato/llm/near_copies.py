@@ -1,0 +1,129 @@
+"""Near copies by shingle sets: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
+
+Words are compared without case (A-Z). Min-hashes in ``BANDS`` bands of ``ROWS`` find candidates; a
+pair of similarity 0.8 shares no band with a chance of (1 - 0.8^4)^24 = 0.000003. Every candidate
+is checked by its whole shingle sets.
+
+Texts of one shingle set are one node. In a bucket (the sets of one value of a band) all sets meet one
+of them, another in every of ``STARS`` rounds; after these, sets that aren't in one component yet
+meet pairwise. Pairs within a component can't change it, so the result is that of all pairs.
+
+Defined results: null and empty texts have the empty set and are copies of each other; fewer words
+than a shingle make one shingle of all words; rows without a doc_id stay; of repeated rows with the
+kept doc_id one stays; an empty table gives no rows; extra columns are kept.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mercato.llm.common import UPPER, components, cut, text_batches
+from mercato.llm.substring_dedup import Words
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 24, 4
+STARS = 3
+_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles, sorted within each text, and where each text begins in them."""
+    words = Words([(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts])
+    length = np.diff(words.first)
+    places, hashes = [], []
+    for n in range(1, SHINGLE + 1):
+        at, h = words.grams(n, n)
+        use = np.minimum(length[words.doc[at]], SHINGLE) == n
+        places.append(words.doc[at[use]])
+        hashes.append(h[use])
+    doc, h = np.concatenate(places), np.concatenate(hashes)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
+
+
+def _digests(h: np.ndarray, first: np.ndarray) -> list[str]:
+    return [hashlib.md5(h[a:b].tobytes()).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _slices(batches):
+        h, first = shingle_sets(b["text"].to_pylist())
+        full = np.flatnonzero(np.diff(first))
+        bands = np.zeros((len(full), BANDS), np.uint64)
+        if len(full):
+            for k, a in enumerate(_ODD):
+                low = np.minimum.reduceat(h * a, first[full])
+                bands[:, k // ROWS] = (bands[:, k // ROWS] ^ low) * np.uint64(0x9E3779B97F4A7C15)
+                bands[:, k // ROWS] ^= bands[:, k // ROWS] >> np.uint64(29)
+        own: list[list[int]] = [[] for _ in range(b.num_rows)]
+        for d, x in zip(full.tolist(), bands.view(np.int64).tolist(), strict=True):
+            own[d] = x
+        yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "node": pa.array(_digests(h, first), pa.string()), "bands": pa.array(own, pa.list_(pa.int64()))})
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _slices(batches):
+        h, first = shingle_sets(b["text"].to_pylist())
+        yield pa.RecordBatch.from_pydict({"node": pa.array(_digests(h, first), pa.string()), "shingles": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))})
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose sets are at least so similar."""
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("src", "a"), ("dst", "b")))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.distinct().join(a, "src").join(b, "dst").where(both >= least * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst")
+
+
+def components_of(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id``: one row per row of ``docs(doc_id, text)``; the smallest doc_id of its near copies."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(text_batches(docs).select("doc_id", "text").mapInArrow(_signed, f"doc_id {id_type}, node string, bands array<long>"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+    buckets = nodes.select("node", "first_id", F.posexplode("bands").alias("band", "value"))
+    several = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+    buckets = cut(buckets.join(several, ["band", "value"]))
+    # One text of each set that meets others; the bands of rows without a doc_id count, their texts are the sets of other rows or nobody's.
+    owners = buckets.where("first_id is not null").select(F.col("first_id").alias("__id")).distinct()
+    texts = docs.join(owners, docs["doc_id"] == F.col("__id"), "left_semi").select("text")
+    sets = cut(text_batches(texts).mapInArrow(_whole, "node string, shingles array<long>").dropDuplicates(["node"]))
+    links = None
+    grouped = buckets.select("band", "value", "node", F.col("node").alias("group"))
+    for star in range(STARS + 1):
+        if star < STARS:
+            heads = grouped.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "group")).alias("s"))
+            near = grouped.join(heads, ["band", "value"]).where(F.col("group") != F.col("s.group")).select(F.col("s.node").alias("src"), F.col("node").alias("dst"))
+        else:
+            a, b = grouped.alias("a"), grouped.alias("b")
+            near = a.join(b, ["band", "value"]).where("a.group < b.group").select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+        near = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        found = cut(_alike(near, sets, least))
+        links = found if links is None else links.union(found)
+        groups = components(links)
+        grouped = cut(buckets.join(groups, "node", "left").select("band", "value", "node", F.coalesce("component", "node").alias("group")))
+    member = nodes.select("node", "first_id").join(groups, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
+    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.select("doc_id", "node").join(member.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row of each component of ``docs``: that of its smallest doc_id, with its columns."""
+    owners = components_of(docs.where("doc_id is not null"), least).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = docs.join(owners, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -186,6 +186,33 @@ def test_no_edited_leak_is_missed(spark, copies):
         assert all(r.score == best[r.doc_id] for r in got if r.contaminated)
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """The stage keeps what brute force over 5-word shingles keeps; chains, exact copies and a large group among them."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in (20, 60, 200, 400)]
+    texts = [None, "", "one two", "One  two", "other words here"]
+    for x in base:
+        for rate in (0, 0.003, 0.01, 0.02, 0.03, 0.05):
+            texts += [" ".join(rng.choice(("new", "else")) + str(k) if rng.random() < rate else w for k, w in enumerate(x)) for _ in range(8)]
+    for k in range(30):  # each is like the one before
+        base[2][5 * k] = f"step{k}"
+        texts.append(" ".join(base[2]))
+    words = [(t or "").lower().split() for t in texts]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (len(a & sets[j]) >= 0.8 * len(a | sets[j])) and root[i] != root[j]:
+                new, old = sorted((root[i], root[j]))
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)] + [(None, texts[-1], "en")], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(root))
+    assert kept.where("doc_id is null").count() == 1
+    assert corpus_pipeline.drop_near_copies(spark, docs.where("false"), SF).count() == 0
+
+
 def test_pipeline(spark):
     docs = load(spark, SF, "documents")
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
