@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.session import shared_folder
 from mercato.streaming import ingest
 
 QUERIES: dict = {}
@@ -20,8 +20,7 @@ def _to_the_end(df: DataFrame, mode: str) -> DataFrame:
     A batch that comes again after a failure overwrites itself. ``complete`` results replace each other.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mercato-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     written: set[str] = set()
 
     def put(batch: DataFrame, k: int) -> None:
