@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.session import shared_folder
+
 #: A word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,24 +35,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoints ``df`` in the folder that the session names, which all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mercato-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-#: Rows of an Arrow batch of texts. Spark's default of 10,000 can be hundreds of MB of long texts.
-TEXT_BATCH = 1000
-
+#: Most rows and bytes of texts that a Python worker unpacks at a time from an Arrow batch.
+SLICE_ROWS, SLICE_BYTES = 500, 4_000_000
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``; if its session has Spark's default size of Arrow batches, that is lowered to ``TEXT_BATCH`` rows.
 
-    Bounds what a Python worker, and the JVM beside it, hold of long texts at a time.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, TEXT_BATCH)
-    return df
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of few rows and bytes, whole rows always, so that what is built from texts stays small."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.concatenate([[0], np.cumsum(size)]), 0
+        while at < b.num_rows:
+            to = int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1
+            to = min(max(to, at + 1), at + SLICE_ROWS, b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -10,21 +10,24 @@ matches t or more. The rarest places of an item, by counts over all documents, a
 wherever so many hits stand so close, the passage around them is aligned. The counts only decide
 what is compared, so no document that reaches the threshold is missed, whatever its edits are.
 
-Only the items travel to the executors, ``CHUNK_ITEMS`` at most at a time; a larger benchmark is
-worked off in chunks, each with one pass over the documents. Documents are keyed by the digest of
-their text, so copies are aligned once.
-
-Defined results: null and empty texts are clean (score 0, null item); scores are exact from the
-threshold on, and below it are those of the passages that were aligned (0 and a null item without
-any, as where too few words agree); null, empty and repeated items are judged like others, items without words never match; of
-equal scores the smallest item_id counts; repeated rows get equal results; an empty table on either side gives clean documents or no
-rows; a null doc_id is kept; extra columns are ignored by ``judge`` and kept by ``drop_leaks``.
+Only the items travel to the executors, some ``CHUNK_BYTES`` of them at a time; a larger benchmark is
+worked off in chunks, each with two passes over the documents. Texts are read where they are and never
+shuffled; documents are keyed by the digest of their text, so what leaves a task is one row for each
+passage that was aligned.
+
+Defined results: null and empty texts are clean (score 0, null item); a text of any length is
+searched whole; scores are exact from the threshold on, and below it are those of the passages that
+were aligned (0 and a null item without any, as where too few words agree); null, empty and repeated
+items are judged like others, items without words never match; of equal scores the smallest item_id
+counts; repeated rows get equal results; an empty table on either side gives clean documents or no
+rows; a null doc_id is kept; extra columns, whatever their names, are ignored by ``judge`` and kept
+by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import load, text_batches
-from mercato.llm.substring_dedup import Words
+from mercato.llm.common import load, slices
 from mercato.llm.toxicity import tokens
 
 THRESHOLD = 0.5
-CHUNK_ITEMS = 20_000
+CHUNK_BYTES = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the alignment tables that are worked on at once.
 CELLS = 1_000_000
@@ -50,33 +52,35 @@ HITS = 2_000_000
 PASSAGES = 5000
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces, so that the arrays of words stay small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+class Places:
+    """The words of some texts as numbers of items' words (-1: none), one text after the other."""
 
-
-def _normal(texts: list) -> list[bytes]:
-    return [b" ".join(tokens(t or "")) for t in texts]
+    def __init__(self, texts: list, number: dict[bytes, int]):
+        self.texts = [tokens(t or "") for t in texts]
+        size = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        words = itertools.chain.from_iterable(self.texts)
+        self.word = np.fromiter(map(number.get, words, itertools.repeat(-1)), np.int64, int(self.first[-1]))
+        self.doc = np.repeat(np.arange(len(self.texts)), size)
 
 
 class Seeds:
     """The words of some items, and after ``rare`` the items that each word is a seed of."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
-        self.items = [(i, t) for i, t in zip([x[0] for x in items], _normal([x[1] for x in items]), strict=True) if t]
-        words = Words([t for _, t in self.items])
-        self.length = np.diff(words.first)
-        self.bags = [Counter(t.split()) for _, t in self.items]
-        self.hashes, word = np.unique(words.hash, return_inverse=True)
-        self.table = pd.DataFrame({"item": words.doc, "word": word})
+        self.items = [(i, w) for i, t in items if (w := tokens(t or ""))]
+        self.number: dict[bytes, int] = {}
+        word = [self.number.setdefault(x, len(self.number)) for _, w in self.items for x in w]
+        self.length = np.array([len(w) for _, w in self.items], dtype=np.int64)
+        self.table = pd.DataFrame({"item": np.repeat(np.arange(len(self.items)), self.length), "word": np.array(word, np.int64)})
+        # How often an item holds each of its words, by item and word.
+        self.held, self.times = np.unique(self.table.item.to_numpy() * len(self.number) + self.table.word.to_numpy(), return_counts=True)
         # Matches that a score of the threshold needs, and the words of a document that it can extend over.
         self.least = np.maximum(np.ceil(threshold * self.length - 1e-9), 1).astype(int)
         self.reach = np.maximum(np.floor(3 * self.length - 2 * threshold * self.length + 1e-9), self.length).astype(int)
 
     def rare(self, count: np.ndarray, total: int) -> None:
-        """Picks the seeds; ``count`` of ``total`` words is aligned with ``hashes``."""
+        """Picks the seeds by the ``count`` of each word among ``total`` words."""
         t = self.table.assign(n=count[self.table.word]).sort_values(["item", "n", "word"])
         item = t.item.to_numpy()
         rank = t.groupby("item").cumcount().to_numpy()
@@ -85,17 +89,12 @@ class Seeds:
         self.need = np.bincount(item[use], minlength=len(self.items)) - (self.length - self.least)
         pairs = t[use].drop_duplicates(["word", "item"]).sort_values(["word", "item"])
         self.of = pairs.item.to_numpy(np.int64)
-        self.start = np.searchsorted(pairs.word.to_numpy(), np.arange(len(self.hashes) + 1))
-
-    def words_in(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that items hold, and their numbers."""
-        k = np.minimum(np.searchsorted(self.hashes, words.hash), len(self.hashes) - 1)
-        at = np.flatnonzero(self.hashes[k] == words.hash)
-        return at, k[at]
+        self.start = np.searchsorted(pairs.word.to_numpy(), np.arange(len(self.number) + 1))
 
-    def passages(self, words: Words) -> Iterator[tuple[np.ndarray, ...]]:
+    def passages(self, words: Places) -> Iterator[tuple[np.ndarray, ...]]:
         """Items, first words and ends of all passages that can reach the threshold, in pieces."""
-        at, k = self.words_in(words)
+        at = np.flatnonzero(words.word >= 0)
+        k = words.word[at]
         fan = self.start[k + 1] - self.start[k]
         at, k, fan = at[fan > 0], k[fan > 0], fan[fan > 0]
         upto = np.concatenate([[0], np.cumsum(fan)])
@@ -105,7 +104,7 @@ class Seeds:
             if z < len(at):  # whole documents
                 z = int(np.searchsorted(at, words.first[words.doc[at[z]]]))
                 z = z if z > a else int(np.searchsorted(at, words.first[words.doc[at[a]] + 1]))
-            yield self._near(words, at[a:z], k[a:z], fan[a:z])
+            yield self._enough(words, *self._near(words, at[a:z], k[a:z], fan[a:z]))
             a = z
 
     def _near(self, words: Words, at: np.ndarray, k: np.ndarray, fan: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -129,10 +128,24 @@ class Seeds:
         end = np.append(first[1:], len(key)) - 1 if len(first) else first
         return item[first], lo[first], hi[end]
 
-    def can_reach(self, passage: bytes, item: int) -> bool:
-        """Whether a passage holds as many of the item's words as its threshold needs, in any order."""
-        have, own = Counter(passage.split()), self.bags[item]
-        return sum(min(n, have[w]) for w, n in own.items()) >= self.least[item]
+    def _enough(self, words: Places, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The passages that hold as many of their item's words as its threshold needs, in any order."""
+        keep, at = np.zeros(len(item), bool), 0
+        upto = np.concatenate([[0], np.cumsum(hi - lo)])
+        while at < len(item):
+            to = max(int(np.searchsorted(upto, upto[at] + HITS, side="right")) - 1, at + 1)
+            size = (hi - lo)[at:to]
+            place = np.arange(int(size.sum())) + np.repeat(lo[at:to] - (np.cumsum(size) - size), size)
+            own, word = np.repeat(np.arange(at, to), size), words.word[place]
+            own, word = own[word >= 0], word[word >= 0]
+            key, n = np.unique(own * len(self.number) + word, return_counts=True)
+            own = key // len(self.number)
+            key = item[own] * len(self.number) + key % len(self.number)
+            k = np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)
+            matched = np.bincount(own - at, np.where(self.held[k] == key, np.minimum(n, self.times[k]), 0), to - at)
+            keep[at:to] = matched >= self.least[item[at:to]]
+            at = to
+        return item[keep], lo[keep], hi[keep]
 
 
 def align(passages: list[bytes], items: list[bytes]) -> np.ndarray:
@@ -159,7 +172,7 @@ def align(passages: list[bytes], items: list[bytes]) -> np.ndarray:
 
 def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null").distinct()
-    n = max(1, math.ceil(rows.count() / CHUNK_ITEMS * 1.2))
+    n = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / CHUNK_BYTES * 1.2))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         if part:
@@ -168,25 +181,25 @@ def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def leak_scores(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``digest, item_id, score``: the best item of every distinct text that has one of at least the threshold, and of some others."""
-    texts = text_batches(docs).where("text is not null").select(F.sha2("text", 256).alias("digest"), "text")
+    texts = docs.where("text is not null").select(F.sha2("text", 256).alias("digest"), "text")
     found = None
     for chunk in _chunks(benchmark):
         seeds = Seeds(chunk, threshold)
-        if not len(seeds.hashes):
+        if not seeds.items:
             continue
 
         def count(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             # The last number counts all words.
-            total = np.zeros(len(seeds.hashes) + 1, np.int64)
-            for b in _slices(batches):
-                words = Words(_normal(b["text"].to_pylist()))
-                total += np.bincount(seeds.words_in(words)[1], minlength=len(total))
-                total[-1] += len(words.hash)
+            total = np.zeros(len(seeds.number) + 1, np.int64)
+            for b in slices(batches):
+                word = Places(b["text"].to_pylist(), seeds.number).word
+                total[:-1] += np.bincount(word + 1, minlength=len(total))[1:]
+                total[-1] += len(word)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"seed": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
 
         counted = texts.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-        n = np.zeros(len(seeds.hashes) + 1, np.int64)
+        n = np.zeros(len(seeds.number) + 1, np.int64)
         n[counted.seed.to_numpy(int)] = counted.n.to_numpy(int)
         seeds.rare(n[:-1], int(n[-1]))
         scored = _score(texts, seeds)
@@ -198,41 +211,37 @@ def leak_scores(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
 
 
 def _score(texts: DataFrame, seeds: Seeds) -> DataFrame:
+    items = [b" ".join(w) for _, w in seeds.items]
+
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            texts, digests = _normal(b["text"].to_pylist()), b["digest"].to_pylist()
-            words = Words(texts)
+        for b in slices(batches):
+            words, digests = Places(b["text"].to_pylist(), seeds.number), b["digest"].to_pylist()
             for item, lo, hi in seeds.passages(words):
                 for at in range(0, len(item), PASSAGES):
                     part = slice(at, at + PASSAGES)
-                    doc = words.doc[lo[part]].tolist()
-                    ends = zip(doc, words.start[lo[part]].tolist(), words.end[hi[part] - 1].tolist(), strict=True)
-                    yield pa.RecordBatch.from_pydict({"digest": pa.array([digests[d] for d in doc], pa.string()), "passage": pa.array([texts[d][a:z] for d, a, z in ends], pa.binary()), "number": pa.array(item[part], pa.int64())})
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digest, passage, number = (b[c].to_pylist() for c in ("digest", "passage", "number"))
-            can = [r for r, p in enumerate(passage) if seeds.can_reach(p, number[r])]
-            digest, passage, number = ([x[r] for r in can] for x in (digest, passage, number))
-            # Pairs of similar size share a table of bounded size.
-            order = sorted(range(len(number)), key=lambda r: len(passage[r]) * len(seeds.items[number[r]][1]))
-            out: list[float] = [0.0] * len(number)
-            at = 0
-            while at < len(order):
-                to = at + 1
-                while to < len(order) and (to - at + 1) * len(passage[order[to]]) < CELLS:
-                    to += 1
-                part = order[at:to]
-                best = align([passage[r] for r in part], [seeds.items[number[r]][1] for r in part])
-                for r, s in zip(part, best.tolist(), strict=True):
-                    out[r] = s / (MATCH * int(seeds.length[number[r]]))
-                at = to
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(digest, pa.string()), "number": pa.array(number, pa.int64()), "score": pa.array(out, pa.float64())})
+                    doc = words.doc[lo[part]]
+                    ends = zip(doc.tolist(), (lo[part] - words.first[doc]).tolist(), (hi[part] - words.first[doc]).tolist(), strict=True)
+                    yield from _scores([(digests[d], b" ".join(words.texts[d][a:z])) for d, a, z in ends], item[part].tolist())
+
+    def _scores(found: list[tuple[str, bytes]], number: list[int]) -> Iterator[pa.RecordBatch]:
+        # Pairs of similar size share a table of bounded size.
+        order = sorted(range(len(number)), key=lambda r: len(found[r][1]) * len(items[number[r]]))
+        out: list[float] = [0.0] * len(number)
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to - at + 1) * len(found[order[to]][1]) < CELLS:
+                to += 1
+            part = order[at:to]
+            best = align([found[r][1] for r in part], [items[number[r]] for r in part])
+            for r, s in zip(part, best.tolist(), strict=True):
+                out[r] = s / (MATCH * int(seeds.length[number[r]]))
+            at = to
+        yield pa.RecordBatch.from_pydict({"digest": pa.array([d for d, _ in found], pa.string()), "number": pa.array(number, pa.int64()), "score": pa.array(out, pa.float64())})
 
     ids = texts.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(seeds.items)], "number long, item_id long")
     return (
-        texts.mapInArrow(passages, "digest string, passage binary, number long")
-        .mapInArrow(score, "digest string, number long, score double")
+        texts.mapInArrow(passages, "digest string, number long, score double")
         .join(ids, "number")
         .select("digest", "item_id", "score")
     )

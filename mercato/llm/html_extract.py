@@ -8,7 +8,9 @@ best labelling of all blocks of a page, and the main blocks are joined by line f
 Each page is worked on alone, in one pass without a shuffle; the model is a few hundred numbers.
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags are mended as
-browsers do; text outside any tag is a block; repeated rows get equal results; an empty table gives
+browsers do, so only raw text such as a script's swallows the rest of a page; text outside any tag
+is a block; pages of any length are decoded whole; of two labels of equal score a block gets "not
+the article"; repeated rows get equal results; an empty table gives
 no rows; null ids and URLs are kept; extra columns are kept unless named text or n_chars, which are
 replaced.
 """
@@ -25,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import load, text_batches
+from mercato.llm.common import load
 from mercato.llm.html_pages import labelled_pages
 
 # Tags that begin and end a block, have no content, or hold no text of the page.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-SILENT = set("script style noscript template textarea iframe svg math object head title".split())
+SILENT = set("script style noscript template textarea iframe svg head title".split())
+#: Of these, the ones whose text runs to the end of the page if they are never closed.
+RAW = set("script style noscript textarea iframe title".split())
 #: Tags that an opening tag closes if they are open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KINDS = {
@@ -107,7 +111,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
         attributes = m[3] if m[3] is not None else m[6] or ""
         if tag in SILENT and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
-            at = end.end() if end else (len(page) if tag != "head" else at)
+            at = end.end() if end else (len(page) if tag in RAW else at)
             continue
         if tag == "a":
             in_link = 1
@@ -265,7 +269,7 @@ def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
         for batch in pages:
             yield pd.Series([main_text(p, model) for p in batch], dtype=object)
 
-    return text_batches(pages).drop("text", "n_chars").withColumn("text", main(F.col("html"))).withColumn("n_chars", F.length("text").cast("long"))
+    return pages.drop("text", "n_chars").withColumn("text", main(F.col("html"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

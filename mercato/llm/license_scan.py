@@ -4,9 +4,13 @@ A unit is a whole document or one whole line of it. The canonical form of a unit
 lines, lower-cases A-Z, rewrites equivalent spellings, turns punctuation into spaces and squeezes
 spaces; its MD5 digest is hash-joined to the digests of the known licence texts.
 
-Defined results: a null or empty text, or one whose canonical form is empty, matches nothing;
-repeated rows each report their matches; an empty table gives no rows; a null doc_id is kept as
-null; columns other than doc_id and text are ignored.
+Every line is canonicalised once; the form of a document is made of the forms of its lines. Only
+units whose form has the length of a known one are digested, which loses nothing.
+
+Defined results: a null or empty text, or one whose canonical form is empty, matches nothing; a text
+of any length is read whole; a unit that equals the texts of several licences reports each; repeated
+rows each report their matches; an empty table gives no rows; a null doc_id is kept as null; columns
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,23 +35,40 @@ SPELLINGS = [
     ("copyright owner", "copyright holder"),
     ("https", "http"),
 ]
-COPYRIGHT_LINE = r"^[^A-Za-z0-9(]*([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|\([Cc]\))[^A-Za-z]*([0-9]|\([Cc]\)).*$"
+#: A line that names an owner, begins with the sign or the word, or reserves all rights ...
+COPYRIGHT_LINE = r"(?i)^[^a-z0-9(©]*((portions )?(copyright|©|\(c\))([^a-z0-9]|$).*|all rights reserved[^a-z0-9]*)$"
+#: ... but doesn't go on as a sentence of a licence does.
+BODY_LINE = r"(?i)^[^a-z0-9(©]*copyright[^a-z0-9©(]+(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|protection|treat(y|ies)|act|and|or|in|is|are|of|on|to|under|that|with|shall|may|as)([^a-z0-9].*)?$"
 PUNCTUATION = r"[^a-z0-9]+"
 
 
-def canonical(lines: Column) -> Column:
-    """Canonical form of an array of lines."""
-    kept = F.array_join(F.filter(lines, lambda x: ~x.rlike(COPYRIGHT_LINE)), " ")
-    text = F.trim(F.regexp_replace(ascii_lower(kept), PUNCTUATION, " "))
+def _form(line: Column) -> Column:
+    """Canonical form of a line; empty for a copyright line."""
+    text = F.trim(F.regexp_replace(ascii_lower(line), PUNCTUATION, " "))
     for old, new in SPELLINGS:
         text = F.replace(text, F.lit(old), F.lit(new))
+    return F.when(line.rlike(COPYRIGHT_LINE) & ~line.rlike(BODY_LINE), "").otherwise(text)
+
+
+def _joined(forms: Column) -> Column:
+    """Canonical form of lines from theirs: spellings of two words may go over the end of a line."""
+    text = F.array_join(F.filter(forms, lambda x: x != ""), " ")
+    for old, new in SPELLINGS:
+        if " " in old:
+            text = F.replace(text, F.lit(old), F.lit(new))
     return text
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """``digest, license_id`` of a list of (licence, text)."""
-    texts = spark.createDataFrame(known, "license_id string, text string")
-    return texts.select(F.md5(canonical(F.split("text", r"\n"))).alias("digest"), "license_id").distinct()
+def canonical(lines: Column) -> Column:
+    """Canonical form of an array of lines."""
+    return _joined(F.transform(lines, _form))
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """``digest, length, license_id`` of (license_id, text): a list, or a DataFrame for a larger collection."""
+    texts = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license_id string, text string")
+    form = canonical(F.split("text", r"\n"))
+    return texts.select("license_id", form.alias("form")).where("form <> ''").select(F.md5("form").alias("digest"), F.length("form").alias("length"), "license_id").distinct()
 
 
 def scan_licenses(docs: DataFrame, digests: DataFrame) -> DataFrame:
@@ -56,14 +77,14 @@ def scan_licenses(docs: DataFrame, digests: DataFrame) -> DataFrame:
     Only digests meet in the join; the known list is broadcast by Spark's own size check and
     shuffled if it is larger. No text is shuffled.
     """
-    lines = F.split("text", r"\n")
-    whole = F.array(F.struct(F.lit(0).alias("line_no"), canonical(lines).alias("form")))
-    each = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), canonical(F.array(x)).alias("form")))
+    lengths = digests.select("length").distinct()
+    forms = docs.where("text is not null").select("doc_id", F.transform(F.split("text", r"\n"), _form).alias("forms"))
+    units = F.concat(F.array(_joined(F.col("forms"))), F.col("forms"))
     return (
-        docs.where("text is not null")
-        .select("doc_id", F.explode(F.concat(whole, each)).alias("u"))
-        .where("u.form <> ''")
-        .select("doc_id", "u.line_no", F.md5("u.form").alias("digest"))
+        forms.select("doc_id", F.posexplode(units).alias("line_no", "form"))
+        .where("form <> ''")
+        .join(lengths, F.length("form") == lengths["length"], "left_semi")
+        .select("doc_id", "line_no", F.md5("form").alias("digest"))
         .join(digests, "digest")
         .select("doc_id", F.when(F.col("line_no") == 0, "document").otherwise("line").alias("unit"), "line_no", "license_id")
     )
@@ -74,7 +95,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(lines: str) -> str:
-    text = f"array_to_string(list_filter({lines}, lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}')), ' ')"
+    text = f"array_to_string(list_filter({lines}, lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}') OR regexp_matches(x, '{BODY_LINE}')), ' ')"
     text = f"trim(regexp_replace(translate({text}, '{UPPER}', '{UPPER.lower()}'), '{PUNCTUATION}', ' ', 'g'))"
     for old, new in SPELLINGS:
         text = f"replace({text}, '{old}', '{new}')"

@@ -20,6 +20,7 @@ unless they clash with its own names, which it replaces.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,6 @@ FANOUT = 128
 SEED = 7
 #: Most sources whose plan, some 100 bytes each, is broadcast.
 BROADCAST_SOURCES = 50_000
-#: numpy draws exact hypergeometric variates up to this population; larger ones use the normal law.
-EXACT_POPULATION = 900_000_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -64,16 +63,44 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: fl
     return rows.select("source", "source_size", "weight", F.least("cap", F.coalesce(first["level"] * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _growth(m: int, k: int) -> float:
+    """log(k! / m!) less (k - m) log m, without the cancellation of large logarithms."""
+    if min(m, k) < 16:
+        return math.lgamma(k + 1) - math.lgamma(m + 1) - (k - m) * math.log(max(m, 1))
+    d = k - m
+    tail = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return (k + 0.5) * math.log1p(d / m) - d + tail(k) - tail(m)
+
+
+def log_ratio(k: int, mode: int, good: int, bad: int, n: int) -> float:
+    """log of p(k) / p(mode) of a hypergeometric law: n draws from good + bad."""
+    d = k - mode
+    cells = [(mode, k), (good - mode, good - k), (n - mode, n - k), (bad - n + mode, bad - n + k)]
+    steps = math.log(max(cells[1][0], 1)) + math.log(max(cells[2][0], 1)) - math.log(max(cells[0][0], 1)) - math.log(max(cells[3][0], 1))
+    if d and all(a > 0 for a, _ in cells):
+        a, b, c, e = (x for x, _ in cells)
+        steps = math.log1p((b * c - a * e) / (a * e))  # exact integers: near the mode the product is close to 1
+    return d * steps - sum(_growth(a, b) for a, b in cells)
+
+
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric variate; beyond numpy's exact range the rounded normal law within the bounds."""
-    if n <= 0 or good <= 0:
-        return 0
-    if good + bad <= EXACT_POPULATION:
-        return int(rng.hypergeometric(good, bad, n))
+    """Exact hypergeometric variate of counts of any size: how many of n draws from good + bad are good.
+
+    Ratio of uniforms under the table-mountain hat of the law, by logarithms of ratios to the mode.
+    """
     total = good + bad
-    mean, p = n * good / total, good / total
-    sd = (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), n - bad, 0), good, n))
+    low, high = max(0, n - bad), min(good, n)
+    if low >= high:
+        return low
+    mode = (n + 1) * (good + 1) // (total + 2)
+    mean = n * good / total
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(mean * (bad / total) * ((total - n) / max(total - 1, 1)) + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    whole, part = divmod(n * good, total)  # the mean, as a whole number and the rest
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        k = whole + math.floor(part / total + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= log_ratio(k, mode, good, bad, n):
+            return k
 
 
 def split_quota(sizes: np.ndarray, quota: int, seed: str) -> np.ndarray:

@@ -4,10 +4,12 @@ Text statistics are cut into bins; cyclic boosting of shallow trees learns one l
 statistic, then one for each of the strongest pairs. A score is a sum of table entries, put through
 the logistic function. Fitted on a bounded sample of labelled documents.
 
-Defined results: a null text counts as empty; an empty text gets the score of the lowest bins;
-repeated rows get equal scores; without labels of both kinds every score is the share of good
-labels (0.5 without labels); an empty table gives no rows; a null doc_id counts as remainder 0;
-extra columns are ignored.
+Defined results: a null text counts as empty; an empty text gets the score of the lowest bins; a
+text of any length is measured whole; repeated rows get equal scores; of several labels of one
+document the largest counts, and a statistic on the border of two bins falls into the upper one;
+without labels of both kinds every score is the share of good labels (0.5 without labels); an empty
+table gives no rows; a null doc_id counts as remainder 0; ``score`` keeps extra columns but replaces
+one named score.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import load, text_batches
+from mercato.llm.common import load
 from mercato.llm.training import TRAIN_DOCS, labelled_sample, remainder
 
 BINS = 32
@@ -163,7 +165,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held: int = HELD_OUT, most: int = TRAIN_DOCS) -> Model:
-    sample = labelled_sample(text_batches(docs), labels, label, folds, held, most)
+    sample = labelled_sample(docs, labels, label, folds, held, most)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.Series(model.predict(np.array([features(t) for t in batch], dtype=float).reshape(len(batch), len(FEATURES))))
 
-    return text_batches(docs).withColumn("score", judge(F.col("text")))
+    return docs.withColumn("score", judge(F.col("text")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,12 @@ end at 2^free fingerprints at the latest: with at most ``FREE_BITS`` bits free a
 more than 2^FREE_BITS different ones. Within a bucket only a spanning forest of its links leaves
 the task, never all pairs.
 
+The query's contract fixes 3-word shingles and 3 bits. ``simhash_copies`` is the form for shingles of
+five words and a similarity of 0.8, which the pipeline uses.
+
 Defined results: a null or empty text has fingerprint zero and is linked like any other; fewer
-words than a shingle make one shingle of all words; repeated rows share a component; a null doc_id
+words than a shingle make one shingle of all words; a text of any length is taken whole; ties (equal
+fingerprints) are linked; repeated rows share a component; a null doc_id
 keeps a row with its fingerprint's component, which is null only if no row of the component has a
 doc_id; an empty table gives no rows; extra columns are ignored by ``components_of`` and kept by
 ``keep_one``.
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import UPPER, components, cut, load, text_batches
+from mercato.llm.common import UPPER, components, cut, load
 
 RADIUS = 3
 SHINGLE = 3
@@ -73,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t) for t in batch], dtype=np.uint64).view(np.int64))
 
-    return text_batches(docs).select("doc_id", fp(F.col("text")).alias("fp"))
+    return docs.select("doc_id", fp(F.col("text")).alias("fp"))
 
 
 def masks(fixed: int = 0, radius: int = RADIUS) -> list[int]:

@@ -10,17 +10,22 @@ of ``BLOCK`` in its own document, so:
    around the hits of all other documents; the union of the windows that match is the set of
    maximal repeats.
 
-Documents are dealt into batches of neighbouring doc_ids of some ``BATCH_BYTES`` of text. A batch
-sends its distinct hashes, packed in one binary value for each bucket of hashes, and gets back one
-bit each: does another batch have this block, or an earlier batch this window? Repeats within a
-batch are found in the batch. So nothing grows with the number of pairs: a passage in every third
-document costs one entry for each batch. Packed values number batches x buckets, like the segments
-of any shuffle. The text is shuffled once (Spark reuses that exchange in all three passes).
-
-Defined results: a null or empty text has no words and nothing removed; rows with equal doc_id
-don't count as repeats of each other; a row with a null doc_id has no place in the order: nothing is
-removed from it and it is no reference; an empty table gives no rows; extra columns are kept unless
-they clash with the names that are added, which replace them.
+Words are hashed whole with XXH3 to 128 bits. The halves are independent of each other, and so are
+the two halves of a window's 96 bits, each a polynomial over one half of its words' hashes.
+
+Documents are dealt by hash into batches of some ``BATCH_BYTES`` of text. A batch sends its distinct
+hashes, packed in one binary value for each bucket of hashes, windows with the smallest doc_id that
+holds them, and gets back one bit each: does another batch have this block, or this window in a
+document with a smaller doc_id? Repeats within a batch are found in the batch. So nothing grows
+with the number of pairs: a passage in every third document costs one entry for each batch. Packed
+values number batches x buckets, like the segments of any shuffle. The text is shuffled once (Spark
+reuses that exchange in all three passes), and the driver holds nothing but the total size.
+
+Defined results: a null or empty text has no words and nothing removed; a text of any length is
+worked on whole, in pieces of ``PIECE`` bytes; rows with equal doc_id don't count as repeats of each
+other, so a tie leaves both; a row whose doc_id is null or no whole number has no place in the order:
+nothing is removed from it and it is no reference; an empty table gives no rows; extra columns are
+kept unless they clash with the names that are added, which replace them.
 """
 
 from __future__ import annotations
@@ -29,19 +34,20 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm.common import load, text_batches
+from mercato.llm.common import load
 
 WINDOW = 50
 BLOCK = 25  # 2 * BLOCK - 1 <= WINDOW: every window holds a whole aligned block
 BATCH_BYTES = 3_000_000
-#: Bytes of text that are hashed at a time within a batch.
+#: Bytes of text that are hashed at a time within a batch, and most words whose digests are kept for the next piece.
 PIECE = 250_000
+KNOWN_WORDS = 100_000
 ADDED = ["n_words", "n_removed", "kept_sha256", "kept_text", "spans"]
 _ADDED_DDL = "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>"
 
@@ -63,18 +69,33 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+class _Digests(dict):
+    """Number of each word seen, and the 128-bit digests by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.bytes = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        self.bytes += xxhash.xxh3_128_digest(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Words:
-    """The words of a batch: byte ranges, document numbers and hashes."""
+    """The words of a batch: byte ranges, document numbers and the two halves of their hashes."""
 
     def __init__(self, texts: list[bytes]):
         starts, ends, docs, hashes = [], [], [], []
-        at = 0
+        at, known = 0, _Digests()
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to]) <= PIECE):
                 size += len(texts[to])
                 to += 1
-            s, e, d, h = self._piece(texts[at:to])
+            if len(known) > KNOWN_WORDS:
+                known = _Digests()
+            s, e, d, h = self._piece(texts[at:to], known)
             starts.append(s)
             ends.append(e)
             docs.append(d + at)
@@ -82,35 +103,36 @@ class Words:
             at = to
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.end = join(starts, np.int64), join(ends, np.int64)  # within the document
-        self.doc, self.hash = join(docs, np.int64), join(hashes, np.uint64)
+        self.doc = join(docs, np.int64)
+        both = np.concatenate(hashes) if hashes else np.zeros((0, 2), np.uint64)
+        self.hash, self.more = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))  # first word of each document
 
     @staticmethod
-    def _piece(texts: list[bytes]):
-        raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-        solid = (raw != 32) & ((raw < 9) | (raw > 13))
-        edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    def _piece(texts: list[bytes], known: _Digests):
+        joined = b" ".join(texts)
+        raw = np.frombuffer(joined, dtype=np.uint8)
+        solid = np.zeros(len(raw) + 2, bool)  # a space before and after
+        np.greater(raw - np.uint8(9), 4, out=solid[1:-1])  # wraps around below 9
+        solid[1:-1] &= raw != 32
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        start, end = edge[::2], edge[1::2]
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        base = np.cumsum(size) - size
         doc = np.searchsorted(base, start, side="right") - 1
-        size = end - start
-        if not len(size):
-            return start, end, doc, np.zeros(0, np.uint64)
-        first = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(first, size)
-        value = (raw[solid].astype(np.uint64) + _U(1)) * _powers(_R1, int(size.max()))[place]
-        return start - base[doc], end - base[doc], doc, _mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _U(_R2))
-
-    def grams(self, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Start words and hashes of all n-word grams within documents."""
-        k = len(self.hash)
+        number = np.fromiter(map(known.__getitem__, joined.split()), np.int64, len(start))
+        digests = np.frombuffer(bytes(known.bytes), np.uint64).reshape(-1, 2)
+        return start - base[doc], end - base[doc], doc, digests[number]
+
+    def grams(self, n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Start words and hashes of all n-word grams within documents; ``second``: hashes independent of the others."""
+        k, h, base = len(self.hash), self.more if second else self.hash, _R2 if second else _R1
         if k < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = _mix(self.hash ^ _U(salt)) if salt else self.hash
-        power = _powers(_R1, k)
+        power = _powers(base, k)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)])
         at = np.flatnonzero(self.doc[: k - n + 1] == self.doc[n - 1 :])
-        back = _powers(pow(_R1, -1, 1 << 64), k)
+        back = _powers(pow(base, -1, 1 << 64), k)
         return at, _mix((total[at + n] - total[at]) * back[at])
 
     def blocks(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +163,6 @@ def _marked(h: np.ndarray, n: int, answers: dict[int, bytes]) -> np.ndarray:
     return out
 
 
-def _order(ids: np.ndarray) -> np.ndarray:
-    """Rank of each row's doc_id among the distinct ones of a batch."""
-    return np.unique(ids, return_inverse=True)[1].reshape(-1)
-
-
 def _low_high(group: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
     np.minimum.at(low, group, rank)
@@ -157,8 +174,10 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()]
 
 
-def _ranked(table: pa.Table) -> np.ndarray:
-    return _order(table["doc_id"].to_numpy(zero_copy_only=False))
+def _ranked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct doc_ids of a batch in order, and each row's rank among them."""
+    ids, rank = np.unique(table["__id"].to_numpy(zero_copy_only=False), return_inverse=True)
+    return ids, rank.reshape(-1)
 
 
 def candidates(words: Words, rank: np.ndarray, n: int, answers: dict[int, bytes]):
@@ -176,7 +195,7 @@ def candidates(words: Words, rank: np.ndarray, n: int, answers: dict[int, bytes]
     np.add.at(near, np.maximum(at[hit] - (WINDOW - BLOCK), 0), 1)
     np.add.at(near, at[hit] + 1, -1)
     start, low = words.grams(WINDOW)
-    _, high = words.grams(WINDOW, _R2)
+    _, high = words.grams(WINDOW, second=True)
     kept = np.cumsum(near)[start] > 0
     return start[kept], low[kept], high[kept].astype(np.uint32)
 
@@ -241,23 +260,25 @@ def _extend(n: int):
         if not table.num_rows:
             return _rows(_PACKED, [])
         words = Words(_texts(table))
-        _, low, high = candidates(words, _ranked(table), n, _answers(answers))
-        first, _ = _distinct(low, high)
-        low, high, batch = low[first], high[first], table["batch"][0].as_py()
-        return _rows(_PACKED, [(batch, k, 2, data) for k, data in _packed(low, n, low, high)])
+        ids, rank = _ranked(table)
+        start, low, high = candidates(words, rank, n, _answers(answers))
+        first, number = _distinct(low, high)
+        earliest, _ = _low_high(number, rank[words.doc[start]], len(first))
+        low, high, owner, batch = low[first], high[first], ids[earliest], table["batch"][0].as_py()
+        return _rows(_PACKED, [(batch, k, 2, data) for k, data in _packed(low, n, low, owner, high)])
 
     return run
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
-    """Which windows of a bucket an earlier batch also has."""
+    """Which windows of a bucket another batch has in a document with a smaller doc_id."""
     batch, data, bucket = table["batch"].to_pylist(), table["data"].to_pylist(), table["bucket"][0].as_py()
-    sizes = [len(x) // 12 for x in data]
-    low = np.concatenate([np.frombuffer(x, np.uint64, count=s) for x, s in zip(data, sizes, strict=True)])
-    high = np.concatenate([np.frombuffer(x, np.uint32, offset=8 * s) for x, s in zip(data, sizes, strict=True)])
-    owner = np.repeat(batch, sizes)
+    sizes = [len(x) // 20 for x in data]
+    part = lambda kind, width: np.concatenate([np.frombuffer(x, kind, count=s, offset=width * s) for x, s in zip(data, sizes, strict=True)])
+    low, owner, high = part(np.uint64, 0), part(np.int64, 8), part(np.uint32, 16)
     first, number = _distinct(low, high)
-    earliest, _ = _low_high(number, owner, len(first))
+    earliest = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, number, owner)
     late = owner > earliest[number]
     ends = np.cumsum(sizes).tolist()
     rows = [(b, bucket, np.packbits(late[e - s : e]).tobytes()) for b, s, e in zip(batch, sizes, ends, strict=True) if late[e - s : e].any()]
@@ -296,7 +317,7 @@ def _apply(n: int, with_text: bool):
             words = Words(texts)
             gone = np.zeros(len(words.hash), bool)
         else:
-            words, gone = removed_words(texts, _ranked(table), n, {k: v for k, v in got.items() if k >= 0}, {-1 - k: v for k, v in got.items() if k < 0})
+            words, gone = removed_words(texts, _ranked(table)[1], n, {k: v for k, v in got.items() if k >= 0}, {-1 - k: v for k, v in got.items() if k < 0})
         total = np.concatenate([[0], np.cumsum(gone)])
         counts, removed = np.diff(words.first), total[words.first[1:]] - total[words.first[:-1]]
         digests, kept_texts, spans = [], [], []
@@ -317,7 +338,7 @@ def _apply(n: int, with_text: bool):
             digests.append(hashlib.sha256(b" ".join(b" ".join(pieces).split())).hexdigest())
             kept_texts.append(b" ".join(pieces).decode("utf-8", "surrogatepass") if with_text else None)
             spans.append([{"start": int(x), "end": int(y)} for x, y in cuts])
-        out = table.drop_columns(["batch"])
+        out = table.drop_columns(["batch", "__id"])
         out = out.append_column("n_words", pa.array(counts, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
         out = out.append_column("kept_sha256", pa.array(digests, pa.string())).append_column("kept_text", pa.array(kept_texts, pa.string()))
         out = out.append_column("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
@@ -331,22 +352,12 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     kept_text is null where nothing was removed. Without ``with_text`` text is left out.
     """
-    docs = text_batches(docs).drop(*ADDED).withColumnRenamed("batch", "__own_batch")
+    docs = docs.drop(*ADDED).withColumnRenamed("batch", "__own_batch")
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
     n = max(1, math.ceil(size / BATCH_BYTES))
-    # Range bounds of doc_id, as for a range partitioning: one number for each batch.
-    share = [k / n for k in range(1, n)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", share, max(10_000, 20 * n)).alias("b")).first().b or [])) if share else []
-    edges = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("long")
-    def batch_of(doc_id: pd.Series, spread: pd.Series) -> pd.Series:
-        known = doc_id.notna()
-        place = np.searchsorted(edges, doc_id.fillna(0).astype("int64"), side="left")
-        return pd.Series(np.where(known, place, -1 - spread % n))
-
-    spread = F.pmod(F.xxhash64("text"), F.lit(n))
-    batches = docs.withColumn("batch", batch_of(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), spread).otherwise(0)))
+    number = F.col("doc_id").try_cast("long")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+    batches = docs.withColumns({"__id": number, "batch": F.when(number.isNull(), -1 - place).otherwise(place)})
     rows = batches.groupBy("batch")
     first = rows.applyInArrow(_skip_unknown(_probe(n)), _PACKED).groupBy("bucket").applyInArrow(_answer_probes, _ANSWER)
     second = rows.cogroup(first.groupBy("batch")).applyInArrow(_skip_unknown(_extend(n)), _PACKED).groupBy("bucket").applyInArrow(_answer_windows, _ANSWER)

@@ -6,12 +6,16 @@ passage. A linear-time scan finds all maximal segments of positive total score i
 Segment scores follow an extreme-value law, fitted on documents that are not toxic; the evidence of
 a document's best segments is turned into a probability by a logistic fit.
 
-The token table holds at most ``MAX_TOKENS`` entries, so what is sent to the executors is bounded.
+The token table holds every token whose log-odds are significant in the training sample, which is
+bounded (``training.TRAIN_DOCS`` documents); nothing else limits it. All tokens and all segments of
+a training document count, as in scoring.
 
-Defined results: a null or empty text has no segment and gets the base probability; repeated rows
-get equal scores; without labels of both kinds every score is the share of toxic labels (0 without
+Defined results: a null or empty text has no segment and gets the base probability; a text of any
+length is scored whole; repeated rows get equal scores; of several labels of one document the
+largest counts; without labels of both kinds every score is the share of toxic labels (0 without
 labels); an empty table gives no rows; a null doc_id counts as not held out when the held-out
-remainder is not 0; extra columns are ignored.
+remainder is not 0; ``score`` keeps extra columns but replaces score and passages, ``drop_toxic``
+keeps all columns with their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import UPPER, load, text_batches
+from mercato.llm.common import UPPER, load
 from mercato.llm.training import TRAIN_DOCS, labelled_sample, logistic, remainder, without_copies
 
-MAX_TOKENS = 20_000
 #: Least z-score of a token's log-odds, and what every token costs in a segment.
 MIN_Z = 3.5
 DRIFT = 1.0
@@ -107,8 +110,14 @@ def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> float
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD_OUT, most: int = TRAIN_DOCS) -> Model:
     """Fits the model on a bounded sample; tokens are counted by documents, in Spark."""
-    sample = without_copies(labelled_sample(text_batches(docs), labels, label, folds, held, most)).persist()
+    sample = without_copies(labelled_sample(docs, labels, label, folds, held, most)).persist()
+    try:
+        return _fit(sample)
+    finally:
+        sample.unpersist()
 
+
+def _fit(sample: DataFrame) -> Model:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             seen: Counter = Counter()
@@ -131,51 +140,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     prior, extra = (F.col("a") + F.col("b")) * PRIOR_SHARE, PRIOR_SHARE * (n1 + n0)
     a, b = F.col("a") + prior, F.col("b") + prior
     odds = F.log(a / (n1 + extra + 1 - a)) - F.log(b / (n0 + extra + 1 - b))
-    table = (
-        counts.where(F.length("token") > 0)
-        .select("token", odds.alias("score"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-        .where(F.abs("z") >= MIN_Z)
-        .orderBy(F.abs("z").desc(), "token")
-        .limit(MAX_TOKENS)
-        .collect()
-    )
-    model = Model(scores={bytes(r.token): r.score - DRIFT for r in table})
-    get = _apply(sample.select("text", "y"), model).toPandas()
-    plain = get[get.y == 0]
+    table = counts.where(F.length("token") > 0).select("token", odds.alias("score"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.abs("z") >= MIN_Z)
+    model = Model(scores={bytes(r.token): r.score - DRIFT for r in table.orderBy("token").collect()})
     # Decay: the positive root of E exp(decay * score) = 1 over tokens of documents that are not toxic.
-    mass, values = float(plain.n.sum()) + 1.0, Counter()
-    for found in plain.hits:
-        values.update(found)
-    p = np.array([c / mass for c in values.values()] + [0.5 / mass])
-    s = np.array([*values, max(model.scores.values(), default=1.0)])
+    plain = sample.where("y = 0").select("text").mapInPandas(_summed(model), "value double, n double, best double")
+    values = plain.where("value is not null").groupBy("value").agg(F.sum("n").alias("n")).orderBy("value").toPandas()
+    each = plain.where("value is null").orderBy("n", "best").toPandas()
+    mass = float(each.n.sum()) + 1.0
+    p = np.append(values.n.to_numpy(float) / mass, 0.5 / mass)
+    s = np.append(values.value.to_numpy(float), max(model.scores.values(), default=1.0))
     lo, hi = 1e-3, 50.0
     for _ in range(60):
         mid = (lo + hi) / 2
         grown = float((p * np.exp(np.minimum(mid * s, 700))).sum() + (1 - p.sum()) * math.exp(-mid * DRIFT))
         lo, hi = (mid, hi) if grown < 1 else (lo, mid)
     model.decay = lo
-    best = (model.decay * plain.best - np.log(np.maximum(plain.n, 1)))[plain.best > 0]
+    best = (model.decay * each.best - np.log(np.maximum(each.n, 1)))[each.best > 0]
     if len(best) >= 20:
         model.scale = max(float(best.std()) * math.sqrt(6) / math.pi, 0.5)
         model.location = float(best.mean()) - 0.5772156649 * model.scale
-    get["x"] = [evidence(n, [(0, 0, v) for v in f], model) for n, f in zip(get.n, get.found, strict=True)]
-    model.weights = tuple(logistic(np.log1p(get.x.to_numpy()), get.y.to_numpy().astype(float)))
-    sample.unpersist()
+    got = sample.mapInPandas(_judged(model), "y int, x double").orderBy("x", "y").toPandas()
+    model.weights = tuple(logistic(np.log1p(got.x.to_numpy()), got.y.to_numpy().astype(float)))
     return model
 
 
-def _apply(sample: DataFrame, model: Model) -> DataFrame:
+def _summed(model: Model):
+    """Function of texts: (value, number of tokens) over all tokens with a score, and (null, tokens, best segment) of each text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for text, y in zip(rows.text, rows.y, strict=True):
+            out, values = [], Counter()
+            for text in rows.text:
                 words = tokens(text)
-                values = [model.scores.get(w, -DRIFT) for w in words]
-                found = sorted((x[2] for x in segments(np.array(values))), reverse=True)[:50]
-                out.append((int(y), len(words), found[0] if found else 0.0, found, [v for v in values if v != -DRIFT][:1000]))
-            yield pd.DataFrame(out, columns=["y", "n", "best", "found", "hits"])
+                values.update(filter(None, map(model.scores.get, words)))
+                out.append((None, len(words), max((s for _, _, s in passages(text, model)[1]), default=0.0)))
+            yield pd.DataFrame([*((v, n, None) for v, n in values.items()), *out], columns=["value", "n", "best"], dtype=float)
+
+    return run
+
+
+def _judged(model: Model):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"y": rows.y, "x": [evidence(*passages(t, model), model) for t in rows.text]})
 
-    return sample.mapInPandas(run, "y int, n long, best double, found array<double>, hits array<double>")
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,13 +202,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, w0 + w1 * x)))), [{"start": a, "end": b, "score": s} for a, b, s in found if model.decay * s >= rare]))
             yield pd.DataFrame(out, columns=["score", "passages"])
 
-    kept = text_batches(docs).drop("score", "passages", "judged")
-    return kept.withColumn("judged", judge(F.col("text"))).select(*kept.columns, "judged.score", "judged.passages")
+    kept = docs.drop("score", "passages")
+    return kept.select(F.struct(*kept.columns).alias("row"), judge(F.col("text")).alias("judged")).select("row.*", "judged.score", "judged.passages")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("score") < threshold).select(*docs.columns)
+    """The rows of ``docs`` that are not rejected, with their columns and values."""
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return score(rows, fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
