@@ -144,8 +144,8 @@ def _fit(sample: DataFrame) -> Model:
     model = Model(scores={bytes(r.token): r.score - DRIFT for r in table.orderBy("token").collect()})
     # Decay: the positive root of E exp(decay * score) = 1 over tokens of documents that are not toxic.
     plain = sample.where("y = 0").select("text").mapInPandas(_summed(model), "value double, n double, best double")
-    values = plain.where("value is not null").groupBy("value").agg(F.sum("n").alias("n")).orderBy("value").toPandas()
-    each = plain.where("value is null").orderBy("n", "best").toPandas()
+    values = plain.where("value is not null").groupBy("value").agg(F.sum("n").alias("n")).toPandas().sort_values("value")
+    each = plain.where("value is null").toPandas().sort_values(["n", "best"])
     mass = float(each.n.sum()) + 1.0
     p = np.append(values.n.to_numpy(float) / mass, 0.5 / mass)
     s = np.append(values.value.to_numpy(float), max(model.scores.values(), default=1.0))
@@ -159,7 +159,7 @@ def _fit(sample: DataFrame) -> Model:
     if len(best) >= 20:
         model.scale = max(float(best.std()) * math.sqrt(6) / math.pi, 0.5)
         model.location = float(best.mean()) - 0.5772156649 * model.scale
-    got = sample.mapInPandas(_judged(model), "y int, x double").orderBy("x", "y").toPandas()
+    got = sample.mapInPandas(_judged(model), "y int, x double").toPandas().sort_values(["x", "y"])
     model.weights = tuple(logistic(np.log1p(got.x.to_numpy()), got.y.to_numpy().astype(float)))
     return model
 
