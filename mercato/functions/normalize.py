@@ -34,7 +34,13 @@ SYNONYMS = {
 # Categories worn by women unless the name says otherwise.
 FEMININE = ["Calza", "Pollera", "Vestido", "Enterito", "Corpino", "Malla"]
 # Brands, in the order in which they are looked for.
-BRANDS = """Nike|Adidas|Puma|Reebok|New Balance|Asics|Saucony|Brooks|Hoka|On Running|Salomon|Mizuno|Under Armour|Fila|Umbro|Vans|Converse|DC|Etnies|Volcom|Quiksilver|Billabong|The North Face|Columbia|Patagonia|Timberland|Merrell|Topper|Flecha|Jaguar|Gola|Penalty|Olympikus|Lacoste|Tommy|Calvin Klein|Levi's|Levis|Wrangler|Champion|Kappa|Ellesse|Le Coq Sportif|Fred Perry|Caterpillar|Keen|Palladium|Crocs|Birkenstock|Bulks|Fuark|Harvey Willys|Harvey|Gold Nutrition|Star Nutrition|Xtrenght|ENA|BSA""".split("|")
+BRANDS = [
+    "Nike", "Adidas", "Puma", "Reebok", "New Balance", "Asics", "Saucony", "Brooks", "Hoka", "On Running", "Salomon", "Mizuno", "Under Armour",
+    "Fila", "Umbro", "Vans", "Converse", "DC", "Etnies", "Volcom", "Quiksilver", "Billabong", "The North Face", "Columbia", "Patagonia",
+    "Timberland", "Merrell", "Topper", "Flecha", "Jaguar", "Gola", "Penalty", "Olympikus", "Lacoste", "Tommy", "Calvin Klein", "Levi's", "Levis",
+    "Wrangler", "Champion", "Kappa", "Ellesse", "Le Coq Sportif", "Fred Perry", "Caterpillar", "Keen", "Palladium", "Crocs", "Birkenstock", "Bulks",
+    "Fuark", "Harvey Willys", "Harvey", "Gold Nutrition", "Star Nutrition", "Xtrenght", "ENA", "BSA",
+]
 # Sub-categories of a category by whole words; a sub-category without words is the default.
 SUB_CATEGORIES = {
     "Gorro": {"natación": "natacion|swimming|swim cap|pileta", "ski": "ski|snowboard|snowboarding|nieve", "invierno": ""},
@@ -119,7 +125,7 @@ def gender(raw: Column, name: Column, cat: Column) -> Column:
         .when(n.rlike("(de|para) mujer"), "mujer")
         .when(n.rlike("(de|para) hombre"), "hombre")
         .when(cat.isin(FEMININE) & ~man_said, "mujer")
-        .when(all_.rlike("hombre|masculino| men|male|caballero|varones") & ~all_.rlike("^[^a-z]*female"), "hombre")
+        .when(all_.rlike("hombre|masculino| men|male|caballero|varones"), "hombre")
         .when(all_.rlike("mujer|femenino|women|female|dama"), "mujer")
         .when(all_.rlike("unisex|neutro"), "unisex")
         .when(all_.rlike(r"wmns|w | w\)"), "mujer")
@@ -154,20 +160,27 @@ def is_gym(name: Column, key: Column, cat: Column, vert: Column, brand_: Column,
     return ~cat.isin([*SHOES, "Suplemento", "Alimentos"]) & (vert != "suplementos") & hit
 
 
+# How packs are written: counted packs, packs times a number, counted pieces, and what looks like a pack but isn't.
+PACK = r"\b(?:pack|combo|set|kit)\s*(?:de\s*)?x?\s*(\d{1,2})\b"
+PACK_TIMES = r"\b(?:pack|combo|set|kit)\b.{0,20}?\bx\s*(\d{1,2})\b"
+PIECES = r"\b(\d{1,2})\s*(?:piezas|prendas|unidades)\b"
+NO_PACK = r"\btalle[s]?\s+\d{1,3}\s*(?:-|a|al)\s*\d{1,3}\b|\b\d{1,2}\s*colores\b"
+
+
 def units(name: Column, taxonomy: Taxonomy) -> Column:
     """Pieces in a pack, 1 to 12: a counted pack, counted garments, counted pieces, or a top joined with a bottom."""
     t = F.concat(F.lit(" "), fold(name), F.lit(" "))
     number = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).try_cast("int")
     plurals = "|".join([*(w + "s" for w in COUNTED if w != "pantalon"), "pantalones"])
     counted = F.coalesce(
-        number(r"\b(?:pack|combo|set|kit)\s*(?:de\s*)?x?\s*(\d{1,2})\b"),
-        number(r"\b(?:pack|combo|set|kit)\b.{0,20}?\bx\s*(\d{1,2})\b"),
+        number(PACK),
+        number(PACK_TIMES),
         number(rf"\b(\d{{1,2}})\s+(?:{plurals})\b"),
-        number(r"\b(\d{1,2})\s*(?:piezas|prendas|unidades)\b"),
+        number(PIECES),
     )
     words = lambda cs: "|".join(k.strip() for c, k in taxonomy.rules if c in cs)
     joined = rf"(?:{words(TORSO)})[^+/]{{0,28}}?(?:\+|/|\by\b|\be\b).{{0,28}}?(?:{words(LEGS)})|(?:{words(LEGS)})[^+/]{{0,28}}?(?:\+|/|\by\b|\be\b).{{0,28}}?(?:{words(TORSO)})"
-    vetoed = t.rlike(r"\btalle[s]?\s+\d{1,3}\s*(?:-|a|al)\s*\d{1,3}\b|\b\d{1,2}\s*colores\b") | not_textile(name, taxonomy.not_textile)
+    vetoed = t.rlike(NO_PACK) | not_textile(name, taxonomy.not_textile)
     return F.when(vetoed, 1).when(counted.isNotNull(), F.when(counted.between(2, MOST_UNITS), counted).otherwise(1)).when(t.rlike(joined), 2).otherwise(1)
 
 

@@ -99,14 +99,27 @@ def matches_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda x, y: x | y, [padded.contains(w) for w in words], F.lit(False))
 
 
+# What a search query leaves out, in this order: labelled sizes, sizes, short numbers, colours, gender, descriptors, long codes.
+UNSEARCHED = [
+    r"\b(talle|talla|size)[:\s]*\S+",
+    r"\b(xs|xxs|s|m|l|xl|xxl|xxxl|3xl)\b",
+    r"\b\d{1,2}([,.]5)?\b",
+    r"\b(negro|negra|blanco|blanca|azul|rojo|roja|verde|gris|beige|naranja|amarillo|violeta|marron|celeste|rosa|plateado|dorado|tostado|crudo|ivory|navy|khaki|oliva|militar)\b",
+    r"\b(de hombre|de mujer|para hombre|para mujer|masculino|femenino|unisex|hombre|mujer)\b",
+    r"\b(original|importado|nuevo|nueva|edicion|coleccion|temporada|primavera|verano|invierno|fw|ss)\b",
+    r"\b\d{5,}\b",
+]
+
+
 def search_query(name: Column, longest: int = 60) -> Column:
-    """A name as a search query: no sizes, colours, units or punctuation; cut at a word boundary."""
-    text = F.concat(F.lit(" "), F.lower(F.coalesce(name, F.lit(""))), F.lit(" "))
-    for pattern in (r"\([^)]*\)", r"\b(talle|talla|size)\s+\w+", r"\b(xxs|xs|s|m|l|xl|xxl|xxxl)\b", r"\b\d+\s*(gr|g|kg|ml|l|cc|caps|un)\b", r"[^\p{L}\p{N}\s]"):
-        text = F.regexp_replace(text, pattern, " ")
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    whole = F.regexp_extract(text, rf"^(.{{0,{longest}}})(?:\s|$)", 1)
-    return F.when(whole == "", F.substring(text, 1, longest)).otherwise(whole)
+    """A name as a search query: no sizes, colours, gender, descriptors, codes or punctuation; cut at a word boundary, its case kept; the name's beginning if nothing is left."""
+    text = F.coalesce(name, F.lit(""))
+    for pattern in UNSEARCHED:
+        text = F.regexp_replace(text, "(?i)" + pattern, "")
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"[,/|()\[\]]+", " "), r"\s{2,}", " "))
+    whole = F.regexp_extract(text, rf"^(.{{0,{longest}}}) ", 1)
+    short = F.trim(F.when(F.length(whole) > 15, whole).otherwise(F.substring(text, 1, longest)))
+    return F.when(blank(text), F.substring(F.coalesce(name, F.lit("")), 1, 40)).when(F.length(text) > longest, short).otherwise(text)
 
 
 def slug(text: Column) -> Column:

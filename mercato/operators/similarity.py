@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mercato.functions.text import identity, jaccard, significant_words
+from mercato.operators import graph
 
 JACCARD, COSINE = 0.55, 0.28
+#: Most prototypes that vectors are compared with.
+PROTOTYPES = 1000
 #: Catalog places in a block of the order-dependent clustering.
 BLOCK_ROWS = 20_000
 # Words left out of the term weights.
@@ -94,58 +95,61 @@ def tf_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return tf.join(df, "term").crossJoin(n).select(key, "term", (F.col("f") / F.col("total") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
 
 
+def _term_weights(names: list[str]) -> pd.DataFrame:
+    """``row, term, weight``: tf_idf of names that are on one machine; terms are numbered."""
+    words = pd.Series(names, dtype=object).fillna("").str.lower().str.findall(TERM).explode().dropna()
+    words = words[(words.str.len() > 2) & ~words.isin(TERM_STOP)]
+    counts = words.groupby([words.index, words]).size().rename_axis(["row", "word"]).reset_index(name="n")
+    df, total = counts.groupby("word")["n"].transform("size"), counts.groupby("row")["n"].transform("sum")
+    counts["weight"] = counts["n"] / total * (np.log((len(names) + 1) / (df + 1)) + 1)
+    counts["term"] = counts["word"].astype("category").cat.codes
+    return counts[["row", "term", "weight"]]
+
+
 def greedy_clusters(names: list[str], threshold: float = COSINE) -> list[int]:
-    """Clusters in list order: a name joins the most similar running-mean centroid above the threshold, or starts one."""
-    import re
-
-    counts = []
-    for name in names:
-        freq: dict[str, int] = defaultdict(int)
-        for w in re.findall(TERM, (name or "").lower()):
-            if len(w) > 2 and w not in TERM_STOP:
-                freq[w] += 1
-        counts.append(freq)
-    df: dict[str, int] = defaultdict(int)
-    for freq in counts:
-        for w in freq:
-            df[w] += 1
-    centroids: list[dict[str, float]] = []
-    norms: list[float] = []
-    sizes: list[int] = []
-    holders: dict[str, set[int]] = defaultdict(set)
-    out = []
-    for freq in counts:
-        total = max(sum(freq.values()), 1)
-        vec = {w: c / total * (math.log((len(names) + 1) / (df[w] + 1)) + 1) for w, c in freq.items()}
-        norm = math.sqrt(sum(x * x for x in vec.values()))
-        best, most = -1, threshold
-        for k in sorted(set().union(*(holders[w] for w in vec)) if vec else ()):
-            if norm * norms[k]:
-                sim = sum(x * centroids[k].get(w, 0.0) for w, x in vec.items()) / (norm * norms[k])
-                if sim > most:
-                    best, most = k, sim
-        if best < 0:
-            best = len(centroids)
-            centroids.append(dict(vec))
-            sizes.append(1)
-            norms.append(norm)
-        else:
-            sizes[best] += 1
-            centre, m = centroids[best], sizes[best]
-            centroids[best] = {w: (centre.get(w, 0.0) * (m - 1) + vec.get(w, 0.0)) / m for w in {**centre, **vec}}
-            norms[best] = math.sqrt(sum(x * x for x in centroids[best].values()))
-        for w in vec:
-            holders[w].add(best)
-        out.append(best)
-    return out
+    """Clusters in list order: a name joins the cluster whose mean is most similar, above the threshold, or starts one.
+
+    The cosine with a mean is that with the sum of its members. Sums are kept by term: a column holds
+    the clusters that have the term and what they have of it, so a name's inner products with all
+    clusters are a few vector additions. The length of a sum follows from the inner product.
+    """
+    table = _term_weights(names)
+    columns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    square, inner, filled = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0
+    out = np.zeros(len(names), np.int64)
+    by_row = {r: (g["term"].to_numpy(), g["weight"].to_numpy()) for r, g in table.groupby("row")}
+    for row in range(len(names)):
+        terms, weights = by_row.get(row, (np.zeros(0, np.int64), np.zeros(0)))
+        inner[:filled] = 0.0
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            held, part = columns.get(t, none)
+            inner[held] += w * part
+        own = float(weights @ weights)
+        cosine = inner[:filled] / np.sqrt(np.maximum(square[:filled] * own, 1e-300))
+        best = int(cosine.argmax()) if filled else -1
+        if best < 0 or cosine[best] <= threshold:
+            best, filled = filled, filled + 1
+        square[best] += 2 * inner[best] + own if best < filled - 1 or inner[best] else own
+        inner[best] = 0.0
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            held, part = columns.get(t, none)
+            k = int(np.searchsorted(held, best))
+            if k < len(held) and held[k] == best:
+                part[k] += w
+            else:
+                columns[t] = np.insert(held, k, best), np.insert(part, k, w)
+        out[row] = best
+    return out.tolist()
 
 
 def clusters(catalog: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``url, cluster``: greedy clusters in catalog order within blocks of a category.
 
     The greedy rule is sequential, so a whole catalog would be one task. It is applied to blocks of
-    at most ``block_rows`` consecutive catalog places (seq, unique) of one category, in parallel; for
-    clusters over all rows use ``linked_clusters``.
+    at most ``block_rows`` consecutive catalog places (seq, unique) of one category, in parallel, and
+    term weights are those of the block: the result is the greedy one of each block by definition,
+    not that of the whole catalog. For clusters over all rows use ``linked_clusters``.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -157,14 +161,21 @@ def clusters(catalog: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return rows.groupBy("cat", "block").applyInPandas(run, "url string, cluster string")
 
 
-def cosine_pairs(docs: DataFrame, key: str, text: str, threshold: float = COSINE, common: float = 0.05) -> DataFrame:
-    """Pairs of texts with a cosine above the threshold that share a term which at most ``common`` of all texts hold."""
+def cosine_pairs(docs: DataFrame, key: str, text: str, threshold: float = COSINE, only: DataFrame | None = None) -> DataFrame:
+    """``left, right, cosine``: all pairs of texts with a cosine above the threshold, or of the texts whose keys ``only`` lists.
+
+    Exact prefix filter: a text's terms are ordered from rare to common, and the rarest ones go into
+    its prefix until what is left is too short a vector to reach the threshold alone. The rarest term
+    that a pair above the threshold shares stands in both prefixes.
+    """
     weights = tf_idf(docs, key, text)
-    normed = weights.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key))))
-    rare = normed.groupBy("term").agg(F.count("*").alias("df")).crossJoin(docs.agg(F.count("*").alias("n"))).where(F.col("df") <= F.greatest(F.col("n") * common, F.lit(2)))
-    lists = normed.join(rare.select("term"), "term", "left_semi")
-    a, b = lists.alias("a"), lists.alias("b")
-    seeds = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).select(F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right")).distinct()
+    df = weights.groupBy("term").agg(F.count("*").alias("df"))
+    weights = weights if only is None else weights.join(only, key, "left_semi")
+    normed = weights.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))).join(df, "term")
+    onward = Window.partitionBy(key).orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    prefix = normed.withColumn("ahead", F.sum(F.col("weight") * F.col("weight")).over(onward)).where(F.col("ahead") > threshold * threshold - 1e-9)
+    a, b = prefix.select("term", F.col(key).alias("left")), prefix.select("term", F.col(key).alias("right"))
+    seeds = a.join(b, "term").where("left < right").select("left", "right").distinct()
     vectors = normed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
     both = seeds.join(vectors.select(F.col(key).alias("left"), F.col("v").alias("lv")), "left").join(vectors.select(F.col(key).alias("right"), F.col("v").alias("rv")), "right")
     dot = F.aggregate(F.map_keys("lv"), F.lit(0.0), lambda s, t: s + F.element_at("lv", t) * F.coalesce(F.element_at("rv", t), F.lit(0.0)))
@@ -190,26 +201,29 @@ def dot(a: str, b: str):
 def against_prototypes(vectors: DataFrame, prototypes: DataFrame, least: float = 0.0, margin: float = 0.0) -> DataFrame:
     """``vec_id, label, cosine, margin`` of the nearest prototype; null label where it is too far or not clearly nearest.
 
-    ``prototypes(label, vector)`` is a handful of rows, which Spark broadcasts by its size.
+    ``prototypes(label, vector)`` is broadcast; more than ``PROTOTYPES`` rows raise an error.
     """
+    few = prototypes.limit(PROTOTYPES + 1).count()
+    if few > PROTOTYPES:
+        raise ValueError(f"more than {PROTOTYPES} prototypes: use a nearest-neighbour search")
     unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y)))
-    scored = vectors.select("vec_id", unit(F.col("embedding")).alias("u")).crossJoin(prototypes.select("label", unit(F.col("vector")).alias("p"))).select("vec_id", "label", dot("u", "p").alias("cosine"))
+    scored = vectors.select("vec_id", unit(F.col("embedding")).alias("u")).crossJoin(F.broadcast(prototypes.select("label", unit(F.col("vector")).alias("p")))).select("vec_id", "label", dot("u", "p").alias("cosine"))
     order = Window.partitionBy("vec_id").orderBy(F.col("cosine").desc(), "label")
     ranked = scored.withColumn("k", F.row_number().over(order)).withColumn("margin", F.col("cosine") - F.lead("cosine").over(order)).where("k = 1")
     sure = (F.col("cosine") >= least) & (F.coalesce("margin", F.lit(2.0)) >= margin)
     return ranked.select("vec_id", F.when(sure, F.col("label")).alias("label"), "cosine", "margin")
 
 
-def linked_clusters(docs: DataFrame, key: str, text: str, threshold: float = COSINE, rounds: int = 50) -> DataFrame:
-    """``key, cluster``: connected components of the cosine graph, by the smallest key. Scales; is not the greedy result."""
-    pairs = cosine_pairs(docs, key, text, threshold).select("left", "right")
-    edges = pairs.union(pairs.select(F.col("right"), F.col("left"))).persist()
-    labels = docs.select(F.col(key).alias("node"), F.col(key).alias("cluster"))
-    for _ in range(rounds):
-        offers = edges.join(labels.withColumnRenamed("node", "right"), "right").groupBy("left").agg(F.min("cluster").alias("offer"))
-        new = labels.join(offers, labels.node == offers.left, "left").select("node", F.least("cluster", F.coalesce("offer", "cluster")).alias("cluster"), (F.col("offer") < F.col("cluster")).alias("moved")).checkpoint()
-        labels = new.select("node", "cluster")
-        if not new.where("moved").limit(1).count():
-            break
-    edges.unpersist()
-    return labels.withColumnRenamed("node", key)
+def linked_clusters(docs: DataFrame, key: str, text: str, threshold: float = COSINE) -> DataFrame:
+    """``key, cluster``: connected components of the cosine graph, by the smallest key.
+
+    Texts of one bag of terms are one node, so a group of copies of any size is one row in the search.
+    Is not the greedy result of ``clusters``.
+    """
+    terms = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: (F.length(t) > 2) & ~t.isin(TERM_STOP))
+    bags = docs.select(key, text, F.md5(F.array_join(F.array_sort(terms), " ")).alias("bag"), (F.size(terms) > 0).alias("some"))
+    heads = bags.where("some").groupBy("bag").agg(F.min(key).alias("head"))
+    pairs = cosine_pairs(docs, key, text, threshold, only=heads.select(F.col("head").alias(key)))
+    groups = graph.components(pairs.select(F.col("left").alias("src"), F.col("right").alias("dst")))
+    named = heads.join(groups, F.col("head") == F.col("node"), "left").select("bag", F.coalesce("component", "head").alias("cluster"))
+    return bags.join(named.withColumnRenamed("bag", "of"), F.col("some") & (F.col("bag") == F.col("of")), "left").select(key, F.coalesce("cluster", key).alias("cluster"))

@@ -128,6 +128,8 @@ def product_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.group_prices(rows, similarity.product_groups(rows), several_sites=True)
 
 
+#: Cosine above which two names of the test tables are linked.
+_LINK = 0.8
 _TERMS_SQL = f"list_filter(regexp_extract_all(lower(text), '{similarity.TERM}'), lambda t: length(t) > 2 AND NOT list_contains([{', '.join(repr(w) for w in similarity.TERM_STOP)}], t))"
 
 
@@ -143,18 +145,21 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("name_clusters")
 def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("seq"), F.col("item_id").cast("string").alias("url"), F.col("text").alias("name"), F.lit("x").alias("category"))
-    return similarity.clusters(docs)
+    return similarity.clusters(catalog(spark, sf_dir))
 
 
-@register("linked_clusters")
+@register(
+    "linked_clusters",
+    f"""WITH RECURSIVE raw AS (SELECT p_partkey AS seq, {_TERMS_SQL.replace("lower(text)", "lower(p_type || ' ' || p_brand || ' ' || p_name)")} AS ts FROM part), bag AS (SELECT seq, list_sort(ts) AS b FROM raw WHERE len(ts) > 0),
+    head AS (SELECT min(seq) AS seq, b FROM bag GROUP BY b), x AS (SELECT seq, unnest(ts) AS term FROM raw), tf AS (SELECT seq, term, count(*) AS f FROM x GROUP BY ALL),
+    t AS (SELECT *, sum(f) OVER (PARTITION BY seq) AS total, count(*) OVER (PARTITION BY term) AS df FROM tf), w AS (SELECT seq, term, f / total * (ln(((SELECT count(*) FROM part) + 1) / (df + 1)) + 1) AS w FROM t JOIN head USING (seq)),
+    u AS (SELECT seq, term, w / sqrt(sum(w * w) OVER (PARTITION BY seq)) AS w FROM w), e AS (SELECT a.seq AS a, b.seq AS b FROM u a JOIN u b USING (term) WHERE a.seq <> b.seq GROUP BY ALL HAVING sum(a.w * b.w) > {_LINK}),
+    reach(a, b) AS (SELECT seq, seq FROM head UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), low AS (SELECT a AS seq, min(b) AS cluster FROM reach GROUP BY a)
+    SELECT raw.seq, coalesce(low.cluster, raw.seq) AS cluster FROM raw LEFT JOIN bag USING (seq) LEFT JOIN head ON bag.b = head.b LEFT JOIN low ON low.seq = head.seq""",
+)
 def linked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mercato-"))
-    return similarity.linked_clusters(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("seq"), F.concat_ws(" ", "p_type", "p_brand", "p_name").alias("text"))
+    return similarity.linked_clusters(rows, "seq", "text", _LINK)
 
 
 @register(
@@ -207,7 +212,19 @@ def best_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimize.best_pairs(_eligible(spark, sf_dir), "torso", "legs", 2400.0)
 
 
-@register("best_set")
+def _penalty(a: str, b: str) -> str:
+    apart = f"abs({a}.hue - {b}.hue)"
+    return f"(CASE WHEN {a}.print = 'estampado' AND {b}.print = 'estampado' THEN 0.5e0 ELSE 1e0 END * CASE WHEN least({apart}, {len(optimize.WHEEL)} - {apart}) > {optimize.HARMONY} THEN 0.7e0 ELSE 1e0 END)"
+
+
+@register(
+    "best_set",
+    f"""WITH {CATALOG_SQL}, {_ELIGIBLE_SQL}, k AS (SELECT *, list_position({optimize.WHEEL}, color) AS hue, row_number() OVER (PARTITION BY slot ORDER BY opp DESC, price, url) AS k FROM el), q AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY k) AS i FROM k WHERE k <= {optimize.SHORTLIST} AND price <= 4000),
+    p AS (SELECT slot, i, url, price, CAST(opp AS DOUBLE) AS opp, print, hue FROM q WHERE i <= {optimize.POOL} UNION ALL SELECT s, 0, NULL, 0, 0, NULL, NULL FROM (VALUES ('torso'), ('legs'), ('feet')) v(s)),
+    sets AS (SELECT a.url AS u1, b.url AS u2, c.url AS u3, a.price AS p1, b.price AS p2, c.price AS p3, a.opp + (b.opp - greatest(b.opp, 0) * (1 - {_penalty("b", "a")})) + (c.opp - greatest(c.opp, 0) * (1 - {_penalty("c", "a")} * {_penalty("c", "b")})) AS total, a.i AS i, b.i AS j, c.i AS l
+        FROM p a, p b, p c WHERE a.slot = 'torso' AND b.slot = 'legs' AND c.slot = 'feet' AND a.price + b.price + c.price <= 4000), best AS (SELECT * FROM sets ORDER BY total DESC, i, j, l LIMIT 1)
+    SELECT * FROM (SELECT 'torso' AS slot, u1 AS url, p1 AS price FROM best UNION ALL SELECT 'legs', u2, p2 FROM best UNION ALL SELECT 'feet', u3, p3 FROM best) WHERE url IS NOT NULL""",
+)
 def best_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = optimize.build(optimize.pools(_eligible(spark, sf_dir)), 4000.0, ["torso", "legs", "feet"])
     return spark.createDataFrame([(c.slot, c.url, c.price) for c in found["picks"]], "slot string, url string, price double")
