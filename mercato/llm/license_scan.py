@@ -4,8 +4,7 @@ A unit is a whole document or one whole line of it. The canonical form of a unit
 lines, lower-cases A-Z, rewrites equivalent spellings, turns punctuation into spaces and squeezes
 spaces; its MD5 digest is hash-joined to the digests of the known licence texts.
 
-Every line is canonicalised once; the form of a document is made of the forms of its lines. Only
-units whose form has the length of a known one are digested, which loses nothing.
+Every line is canonicalised once; the form of a document is made of the forms of its lines.
 
 Defined results: a null or empty text, or one whose canonical form is empty, matches nothing; a text
 of any length is read whole; a unit that equals the texts of several licences reports each; repeated
@@ -65,10 +64,10 @@ def canonical(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame) -> DataFrame:
-    """``digest, length, license_id`` of (license_id, text): a list, or a DataFrame for a larger collection."""
+    """``digest, license_id`` of (license_id, text): a list, or a DataFrame for a larger collection."""
     texts = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license_id string, text string")
     form = canonical(F.split("text", r"\n"))
-    return texts.select("license_id", form.alias("form")).where("form <> ''").select(F.md5("form").alias("digest"), F.length("form").alias("length"), "license_id").distinct()
+    return texts.select("license_id", form.alias("form")).where("form <> ''").select(F.md5("form").alias("digest"), "license_id").distinct()
 
 
 def scan_licenses(docs: DataFrame, digests: DataFrame) -> DataFrame:
@@ -77,13 +76,11 @@ def scan_licenses(docs: DataFrame, digests: DataFrame) -> DataFrame:
     Only digests meet in the join; the known list is broadcast by Spark's own size check and
     shuffled if it is larger. No text is shuffled.
     """
-    lengths = digests.select("length").distinct()
     forms = docs.where("text is not null").select("doc_id", F.transform(F.split("text", r"\n"), _form).alias("forms"))
     units = F.concat(F.array(_joined(F.col("forms"))), F.col("forms"))
     return (
         forms.select("doc_id", F.posexplode(units).alias("line_no", "form"))
         .where("form <> ''")
-        .join(lengths, F.length("form") == lengths["length"], "left_semi")
         .select("doc_id", "line_no", F.md5("form").alias("digest"))
         .join(digests, "digest")
         .select("doc_id", F.when(F.col("line_no") == 0, "document").otherwise("line").alias("unit"), "line_no", "license_id")
