@@ -45,10 +45,8 @@ def best_of_category(catalog: DataFrame, vertical: str | None = None, categories
     A product stands once, under the first of these labels.
     """
     rows = _vertical(catalog.where(~blank(F.col("category"))), vertical).where(F.lower(F.trim(F.coalesce("gender", F.lit("")))) != "infantil")
-    largest = rows.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "category").limit(categories)
-    rows = rows.join(largest, "category")
     image = ~blank(F.col("image"))
-    ranked = Window.partitionBy("category").orderBy(F.when(image, 0).otherwise(1), F.when(image, _rank_score()), "price", "url")
+    worth, cheap = F.struct(F.when(image, 0).otherwise(1), F.when(image, _rank_score()), "price", "url"), F.struct("price", "url")
     segment = F.coalesce("segment", F.lit("standard"))
     labels = {
         "valor": F.lit(True),
@@ -56,13 +54,14 @@ def best_of_category(catalog: DataFrame, vertical: str | None = None, categories
         "histLow": F.array_contains("badges", "all_time_low"),
         "oferta": F.array_contains("badges", "verified_deal"),
     }
-    rows = rows.withColumn("value_place", F.row_number().over(ranked))
-    for k, (name, test) in enumerate(labels.items()):
-        order = Window.partitionBy("category").orderBy(F.when(test, 0).otherwise(1), *(["value_place"] if name == "valor" else ["price", "url"]))
-        rows = rows.withColumn(f"first{k}", test & (F.row_number().over(order) == 1))
-    label = F.coalesce(*[F.when(F.col(f"first{k}"), name) for k, name in enumerate(labels)], F.when(image, "top"))
-    rank = F.coalesce(*[F.when(F.col(f"first{k}"), k) for k in range(len(labels))], F.lit(len(labels)))
-    place = Window.partitionBy("category").orderBy(rank, "value_place")
+    # The first of each label is an aggregate, combined before the shuffle, so a category of any size is no single task.
+    firsts = [F.min_by("url", F.when(test, worth if name == "valor" else cheap)).alias(f"first{k}") for k, (name, test) in enumerate(labels.items())]
+    largest = rows.groupBy("category").agg(F.count("*").alias("n"), *firsts).orderBy(F.col("n").desc(), "category").limit(categories)
+    rows = rows.join(F.broadcast(largest), "category")  # at most ``categories`` rows
+    is_first = [F.col("url") == F.col(f"first{k}") for k in range(len(labels))]
+    label = F.coalesce(*[F.when(test, name) for test, name in zip(is_first, labels, strict=True)], F.when(image, "top"))
+    rank = F.coalesce(*[F.when(test, k) for k, test in enumerate(is_first)], F.lit(len(labels)))
+    place = Window.partitionBy("category").orderBy(rank, worth)
     return rows.withColumn("label", label).where("label is not null").withColumn("place", F.row_number().over(place)).where(F.col("place") <= picks).select("category", "n", "place", "label", "url", "price")
 
 
@@ -105,10 +104,11 @@ def gender_fits(requested: str | None) -> Column:
 
 def broaden_gender(rows: DataFrame, requested: str | None) -> DataFrame:
     """Per category: rows that fit the request, else unisex rows, else all."""
-    by = Window.partitionBy(F.coalesce("category", F.lit("")))
-    unisex = F.lower(F.trim(F.coalesce("gender", F.lit("")))) == "unisex"
-    rows = rows.withColumns({"fits": gender_fits(requested), "uni": unisex}).withColumns({"any_fit": F.max("fits").over(by), "any_uni": F.max("uni").over(by)})
-    return rows.where(F.when(F.col("any_fit"), F.col("fits")).when(F.col("any_uni"), F.col("uni")).otherwise(True)).drop("fits", "uni", "any_fit", "any_uni")
+    fits, unisex = gender_fits(requested), F.lower(F.trim(F.coalesce("gender", F.lit("")))) == "unisex"
+    key = F.coalesce("category", F.lit(""))
+    found = rows.groupBy(key.alias("__of")).agg(F.max(fits).alias("__fit"), F.max(unisex).alias("__uni"))
+    joined = rows.join(found, key == F.col("__of"))
+    return joined.where(F.when(F.col("__fit"), fits).when(F.col("__uni"), unisex).otherwise(True)).drop("__of", "__fit", "__uni")
 
 
 def yield_alerts(before: DataFrame, now: DataFrame, least: int = 20, share: float = 0.5) -> DataFrame:

@@ -13,26 +13,34 @@ LEAST_BIN = 5000
 BADGES = ["all_time_low", "below_market", "verified_deal", "trending", "price_dropping", "above_market", "fake_discount"]
 
 
+def _counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, v, c``: how often each value above zero stands in its group. Counts are combined before the shuffle."""
+    return rows.select(*keys, F.col(value).alias("v")).where("v > 0").groupBy(*keys, "v").agg(F.count("*").alias("c"))
+
+
 def price_stats(rows: DataFrame, keys: list[str], value: str, least_bin: int = LEAST_BIN) -> DataFrame:
     """n, mean, median, q1, q3, iqr, mode, std, mad, cv and Tukey fences of the values above zero.
 
-    Three aggregations over one partitioning by ``keys``: moments and quartiles, then the median
-    distance from the median, then the fullest bin and its median.
+    Works on one row for each different value of a group, with its count: a group that holds a third
+    of all rows has no more of those than it has prices. Three aggregations over these: moments and
+    quartiles, then the distances from mean and median, then the fullest bin and its median.
     """
-    rows = rows.select(*keys, F.col(value).alias("v")).where("v > 0")
-    base = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg("v").alias("mean"),
-        F.percentile("v", F.lit(0.5)).alias("median"),
-        F.percentile("v", F.lit(0.25)).alias("q1"),
-        F.percentile("v", F.lit(0.75)).alias("q3"),
-        F.stddev_pop("v").alias("std"),
+    counted = _counted(rows, keys, value)
+    middle = lambda v, at=0.5: F.percentile(v, F.lit(at), F.col("c"))
+    mean = F.sum(F.col("v") * F.col("c")) / F.sum("c")
+    base = counted.groupBy(*keys).agg(
+        F.sum("c").alias("n"),
+        F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(mean).alias("mean"),
+        middle("v").alias("median"),
+        middle("v", 0.25).alias("q1"),
+        middle("v", 0.75).alias("q3"),
     )
     base = base.withColumn("iqr", F.col("q3") - F.col("q1"))
-    seen = rows.join(base.select(*keys, "median", "iqr"), keys)
-    mad = seen.groupBy(*keys).agg(F.percentile(F.abs(F.col("v") - F.col("median")), F.lit(0.5)).alias("mad"))
+    seen = counted.join(base.select(*keys, "mean", "median", "iqr"), keys)
+    apart = F.col("v") - F.col("mean")
+    mad = seen.groupBy(*keys).agg(middle(F.abs(F.col("v") - F.col("median"))).alias("mad"), F.sqrt(F.sum(apart * apart * F.col("c")) / F.sum("c")).alias("std"))
     width = F.when(F.col("iqr") > 0, F.greatest(F.lit(least_bin), F.floor(F.col("iqr") / 5))).otherwise(least_bin)
-    bins = seen.withColumn("bin", F.floor(F.col("v") / width)).groupBy(*keys, "bin").agg(F.count("*").alias("n_bin"), F.percentile("v", F.lit(0.5)).alias("mode"))
+    bins = seen.withColumn("bin", F.floor(F.col("v") / width)).groupBy(*keys, "bin").agg(F.sum("c").alias("n_bin"), middle("v").alias("mode"))
     fullest = Window.partitionBy(*keys).orderBy(F.col("n_bin").desc(), "bin")
     mode = bins.withColumn("k", F.row_number().over(fullest)).where("k = 1").select(*keys, "mode")
     out = base.join(mad, keys).join(mode, keys)
@@ -57,7 +65,8 @@ def score(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     A group's statistics are as ``price_stats``; the rank counts values strictly below.
     """
     stats = price_stats(rows, keys, value).select(*keys, "n", "mean", "median", "q1", "q3", "iqr", "std", "mad", "cv", "fence_low", "fence_high")
-    below = F.rank().over(Window.partitionBy(*keys).orderBy(value)) - 1
+    earlier = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    below = _counted(rows, keys, value).withColumn("below", F.coalesce(F.sum("c").over(earlier), F.lit(0))).select(*keys, F.col("v").alias(value), "below")
     x = F.col(value)
     small = F.col("n") < LEAST_SAMPLE
     z = F.when(small | (F.col("std") == 0), 0.0).otherwise((x - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)))
@@ -68,7 +77,7 @@ def score(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     spread = ~small & (F.col("iqr") > 0)
     return (
         rows.where(x > 0)
-        .withColumn("below", below)
+        .join(below, [*keys, value])
         .join(stats, keys)
         .withColumn("percentile", F.when(F.col("n") < 2, 50).otherwise(F.floor(100 * F.col("below") / F.col("n"))).cast("int"))
         .withColumn("z", z)
