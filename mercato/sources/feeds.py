@@ -6,8 +6,12 @@ original_price, category, sizes, image``. Fetching is outside: payloads come fro
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from mercato.functions.prices import listing_price, local_price, shop_price, tech_price
@@ -18,6 +22,7 @@ SHOPIFY = "products array<struct<title:string,handle:string,product_type:string,
 VTEX = "array<struct<productName:string,linkText:string,categories:array<string>,items:array<struct<images:array<struct<imageUrl:string>>,sellers:array<struct<commertialOffer:struct<Price:double,ListPrice:double>>>>>>>"
 TIENDANUBE = "array<struct<name:string,canonical_url:string,categories:array<struct<name:string>>,images:array<struct<src:string>>,variants:array<struct<price:string,compare_at_price:string,values:array<string>>>>>"
 RPC = "scName string, data struct<page:int,pagesTotal:int,items:array<struct<item_id:int,item_desc:string,item_desc4link:string,prli_price:string,strikeThroughPrice_original:double>>>"
+LINKS, AMOUNTS = ("url", "link", "slug"), ("price", "salePrice")
 CARD = "id string, name string, category string, brand string, price double"
 
 
@@ -129,16 +134,41 @@ def plugin_cards(pages: DataFrame) -> DataFrame:
     return _done(rows.select("site", "page", "place", F.regexp_extract("card", r'href="([^"]+)"', 1).alias("url"), tagless(F.regexp_extract("card", r"(?s)<h[23][^>]*>(.*?)</h[23]>", 1)).alias("name"), price.alias("price"), F.when(high > price, high).alias("original_price"), F.lit(None).cast("string").alias("category"), F.array().cast("array<string>").alias("sizes"), F.regexp_extract("card", r'<img[^>]*src="([^"]+)"', 1).alias("image")))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _products(states: pd.Series) -> pd.Series:
+    """JSON objects, at any depth, that have a name, a link and a price, in page order; a product's own parts aren't searched."""
+
+    def inside(text: str | None) -> list[str]:
+        try:
+            waiting = [json.loads(text or "null")]
+        except ValueError:
+            return []
+        found = []
+        while waiting:
+            x = waiting.pop()
+            if isinstance(x, dict) and x.get("name") and any(x.get(k) for k in LINKS) and any(k in x for k in AMOUNTS):
+                found.append(json.dumps(x))
+            elif isinstance(x, (dict, list)):
+                waiting += reversed(list(x.values() if isinstance(x, dict) else x))
+        return found
+
+    return states.map(inside)
+
+
 def state_pages(pages: DataFrame) -> DataFrame:
-    """Server-rendered shops that keep their products as JSON in the page state: any object with a name, a link and a price."""
+    """Server-rendered shops that keep their products as JSON in the page state: any object with a name, a link and a price.
+
+    Price and image may be objects themselves. A page without such a state, or with a broken one, gives no rows.
+    """
     state = F.regexp_extract("payload", r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
-    flat = F.regexp_extract_all(state, F.lit(r'\{[^{}]*"name"[^{}]*\}'), F.lit(0))
-    rows = pages.select("site", "base_url", "page", F.posexplode(flat).alias("place", "item"))
+    rows = pages.select("site", "base_url", "page", F.posexplode(_products(state)).alias("place", "item"))
     text = lambda *paths: F.coalesce(*[F.get_json_object("item", f"$.{p}") for p in paths])
-    link = text("url", "link", "slug")
+    amount = lambda *names: F.coalesce(*[text(p).try_cast("double") for n in names for p in (n, f"{n}.value", f"{n}.amount")])
+    link = text(*LINKS)
     url = F.when(link.startswith("http"), link).otherwise(F.concat("base_url", F.when(link.startswith("/"), "").otherwise("/"), link))
-    price, high = text("price", "salePrice").try_cast("double"), text("listPrice", "originalPrice").try_cast("double")
-    rows = rows.select("site", "page", "place", url.alias("url"), text("name").alias("name"), price.alias("price"), F.when(high > price, high).alias("original_price"), text("category").alias("category"), F.array().cast("array<string>").alias("sizes"), text("image", "img").alias("image"))
+    price, high = amount(*AMOUNTS), amount("listPrice", "originalPrice")
+    image = text("image.url", "image.src", "images[0].url", "images[0]", "image", "img")
+    rows = rows.select("site", "page", "place", url.alias("url"), text("name").alias("name"), price.alias("price"), F.when(high > price, high).alias("original_price"), text("category.name", "category").alias("category"), F.array().cast("array<string>").alias("sizes"), image.alias("image"))
     return _done(rows)
 
 

@@ -39,6 +39,14 @@ def test_store_api_and_cards(spark):
     assert (r.name, r.price, r.original_price) == ("T x", 1500.0, 2000.0)
 
 
+def test_state_pages_find_nested_products(spark):
+    product = {"name": "A", "link": "/a", "price": {"value": 7.5}, "listPrice": 9, "images": [{"url": "i"}], "brand": {"name": "B", "link": "/b", "price": 1}}
+    state = {"props": {"name": "page", "rows": [[{"item": product}], {"name": "no price", "link": "/x"}, {"name": "", "url": "/y", "price": 1}]}}
+    page = lambda text: f'<script id="__NEXT_DATA__" type="application/json">{text}</script>'
+    got = feeds.state_pages(pages(spark, page(json.dumps(state)), page("{broken"), "no state", None)).collect()
+    assert [(r.url, r.name, r.price, r.original_price, r.image) for r in got] == [("https://shop.example/a", "A", 7.5, 9.0, "i")]
+
+
 def test_rpc_and_three_feeds(spark):
     inner = {"scName": "Mouse", "data": {"page": 1, "pagesTotal": 1, "items": [{"item_id": 3, "item_desc": "Mouse Óptico", "prli_price": "1.234", "strikeThroughPrice_original": 2.0}]}}
     r = feeds.rpc_store(pages(spark, json.dumps({"d": json.dumps(inner)}))).first()
