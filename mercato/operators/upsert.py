@@ -119,3 +119,38 @@ def refresh(previous: DataFrame, catalog: DataFrame, refreshed: DataFrame, deriv
 def fk_violations(rows: DataFrame, lookup: DataFrame, column: str, key: str) -> DataFrame:
     """Rows whose value isn't in the lookup (nulls are allowed)."""
     return rows.where(F.col(column).isNotNull()).join(lookup.select(F.col(key).alias(column)), column, "left_anti")
+
+
+class ProtectedRows(RuntimeError):
+    """Favourites that keep a catalog from being emptied."""
+
+
+def protecting(catalog: DataFrame, favourites: DataFrame) -> DataFrame:
+    """Favourites whose product is in the catalog."""
+    return favourites.join(catalog.select("url").distinct(), "url", "left_semi")
+
+
+def emptied(catalog: DataFrame, favourites: DataFrame) -> DataFrame:
+    """The empty next snapshot; raises while favourites hold rows of the catalog. Check and write belong to one writer."""
+    held = protecting(catalog, favourites).count()
+    if held:
+        raise ProtectedRows(f"{held} favourites hold products of the catalog")
+    return catalog.where(F.lit(False))
+
+
+def renamed_values(rows: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """Rows with old values of a closed vocabulary replaced; all others, null too, stay."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return rows.withColumn(column, F.coalesce(F.try_element_at(table, F.col(column)), F.col(column)) if names else F.col(column))
+
+
+def without_site_brands(rows: DataFrame, genuine: list[str]) -> DataFrame:
+    """Rows whose brand is only their site's name get a blank brand, unless the site is a ``genuine`` brand."""
+    fallback = (F.col("brand") == F.col("site")) & ~F.col("brand").isin(list(genuine))
+    return rows.withColumn("brand", F.when(fallback, "").otherwise(F.col("brand")))
+
+
+def child_rows(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``url, place, <name>``: a row for each value of an array column that isn't empty; places count from 1 over all values."""
+    values = rows.select("url", F.posexplode(column).alias("place", name)).where(F.col(name) != "")
+    return values.withColumn("place", F.col("place") + 1)

@@ -62,6 +62,17 @@ def feed_shopify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.shopify(_pages(spark, sf_dir, item, "to_json(named_struct('products', items))"), per_page=10).select(*_OUT)
 
 
+@register(
+    "feed_gender",
+    f"WITH {PLACES_SQL} SELECT 'https://s/products/h' || k AS url, CASE WHEN k % 8 IN (2, 3, 5, 6) THEN 'unisex' WHEN k % 8 IN (0, 7) THEN 'hombre' WHEN k % 8 = 1 THEN 'mujer' ELSE '' END AS gender FROM places",
+)
+def feed_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = "CASE k % 8 WHEN 0 THEN array('Hombre') WHEN 1 THEN array('x', 'DAMAS') WHEN 2 THEN array('hombre', 'mujer') WHEN 3 THEN array('Women') WHEN 5 THEN array('hombre', 'neutro') WHEN 7 THEN array('varones') ELSE array('x') END"
+    item = f"named_struct('title', 'Item ' || k, 'handle', 'h' || k, 'product_type', CASE WHEN k % 8 = 6 THEN 'Unisex' ELSE 'x' END, 'tags', {tags}, 'variants', array(named_struct('price', CAST(price AS STRING))))"
+    pages = _places(spark, sf_dir).selectExpr("CAST(k AS STRING) AS site", "'https://s' AS base_url", "1 AS page", f"to_json(named_struct('products', array({item}))) AS payload")
+    return feeds.shopify(pages).select("url", "gender")
+
+
 @register("feed_vtex", _sql("base_url || '/t' || k || '/p'"))
 def feed_vtex(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = "array(named_struct('commertialOffer', named_struct('Price', 0D, 'ListPrice', 9D)), named_struct('commertialOffer', named_struct('Price', price, 'ListPrice', coalesce(high, price))))"
@@ -130,6 +141,16 @@ def feed_index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.index_series(texts).select(F.col("day").cast("string").alias("day"), "value")
 
 
+@register("feed_index_fallback", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE)::VARCHAR AS day, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1")
+def feed_index_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point in the first source, so that the second one counts, which has the other form."""
+    months = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.trunc("o_orderdate", "month").alias("day")).agg(F.count("*").alias("n"))
+    point = F.struct(F.col("day").cast("string").alias("fecha"), F.col("n").alias("valor"))
+    second = months.groupBy(F.year("day")).agg(F.to_json(F.collect_list(point)).alias("payload"))
+    first = spark.range(1).selectExpr("""'{"data": [["1990-01-01", "7"], ["x", "8"]]}' AS payload""")
+    return feeds.index_series(first, second).select(F.col("day").cast("string").alias("day"), "value")
+
+
 @register(
     "feed_market_search",
     f"WITH {PLACES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY site, page ORDER BY k) AS i FROM places WHERE k % 6 <> 0) SELECT site || '/' || page AS url, name AS title, price, 'm' || k AS link, 'new' AS condition FROM r WHERE i <= 8",

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.plans.adapter import CATALOG, CATALOG_SQL, catalog
 from mercato.session import shared_folder
 from mercato.streaming import ingest
 
@@ -53,3 +54,34 @@ def stream_first_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_first_of_day"] = stream_first_of_day
 ORACLES["stream_first_of_day"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS url, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events"
+
+
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _events(spark, sf_dir).where("value is not null").select(F.col("user_id").cast("string").alias("url"), "ts", (F.floor(F.col("value") * 10 + 0.5) / 10).alias("price"))
+    found = _to_the_end(ingest.changes_only(prices), "append")
+    return found.select("url", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "price")
+
+
+QUERIES["stream_changes"] = stream_changes
+ORACLES["stream_changes"] = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS url, CAST(ts AS TIMESTAMP) AS ts, floor(value * 10 + 0.5) / 10 AS price, row_number() OVER (PARTITION BY user_id ORDER BY ts, floor(value * 10 + 0.5)) AS i FROM events WHERE value IS NOT NULL),
+    r AS (SELECT url, i, ts, price AS last, true AS moved FROM e WHERE i = 1 UNION ALL SELECT e.url, e.i, e.ts, CASE WHEN abs(e.price - r.last) > 0.01 THEN e.price ELSE r.last END, abs(e.price - r.last) > 0.01 FROM r JOIN e ON e.url = r.url AND e.i = r.i + 1)
+    SELECT url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, last AS price FROM r WHERE moved"""
+
+
+_SNAPSHOT = ["url", "site", "name", "price", "category", "fit", "active", "locked_by"]
+
+
+def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = catalog(spark, sf_dir).where("seq % 4 <> 3").withColumn("locked_by", F.when(F.col("seq") % 10 == 1, F.lit("human"))).select(*_SNAPSHOT)
+    schema = spark.read.parquet(f"{sf_dir}/part.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/par[t].parquet").selectExpr(*CATALOG).where("seq % 3 = 0")
+    batch = rows.selectExpr("url", "site", "name", "price + 5 AS price", "'new' AS category", "CASE WHEN seq % 2 = 0 THEN '' ELSE 'wide' END AS fit", "seq AS ord")
+    folder = f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    run = ingest.upserts(batch, first, folder).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return ingest.latest(first, folder, run.lastProgress["batchId"] + 1 if run.lastProgress else 0)
+
+
+QUERIES["stream_upserts"] = stream_upserts
+ORACLES["stream_upserts"] = f"""WITH {CATALOG_SQL}, r AS (SELECT *, seq % 3 = 0 AS hit, seq % 4 <> 3 AS old, CASE WHEN seq % 4 <> 3 AND seq % 10 = 1 THEN 'human' END AS locked_by FROM catalog WHERE seq % 3 = 0 OR seq % 4 <> 3)
+    SELECT url, site, name, CASE WHEN hit THEN price + 5 ELSE price END AS price, CASE WHEN hit AND locked_by IS NULL THEN 'new' ELSE category END AS category, CASE WHEN NOT hit THEN fit WHEN seq % 2 = 1 THEN 'wide' WHEN old THEN fit ELSE '' END AS fit, hit OR active AS active, locked_by FROM r"""

@@ -23,6 +23,10 @@ VTEX = "array<struct<productName:string,linkText:string,categories:array<string>
 TIENDANUBE = "array<struct<name:string,canonical_url:string,categories:array<struct<name:string>>,images:array<struct<src:string>>,variants:array<struct<price:string,compare_at_price:string,values:array<string>>>>>"
 RPC = "scName string, data struct<page:int,pagesTotal:int,items:array<struct<item_id:int,item_desc:string,item_desc4link:string,prli_price:string,strikeThroughPrice_original:double>>>"
 LINKS, AMOUNTS = ("url", "link", "slug"), ("price", "salePrice")
+# Parts of a type, title or tag that name a gender.
+FOR_MEN = "hombre hombres masculino masculina men man male caballero varones".split()
+FOR_WOMEN = "mujer mujeres femenino femenina women woman female dama damas".split()
+FOR_ALL = "unisex unisexo neutro".split()
 CARD = "id string, name string, category string, brand string, price double"
 
 
@@ -45,15 +49,23 @@ def _first(x: Column) -> Column:
     return F.get(x, F.lit(0))
 
 
-def _done(rows: DataFrame) -> DataFrame:
+def told_gender(*texts: Column) -> Column:
+    """Gender that the parts of texts name anywhere: unisex before all and for both, blank for none."""
+    text = F.lower(F.concat_ws("\n", *texts))
+    names = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    men, women = names(FOR_MEN), names(FOR_WOMEN)
+    return F.when(names(FOR_ALL) | (men & women), "unisex").when(men, "hombre").when(women, "mujer").otherwise("")
+
+
+def _done(rows: DataFrame, *more: str) -> DataFrame:
     """Products with name, URL and price; each URL of a site once, from its first page."""
     order = Window.partitionBy("site", "url").orderBy("page", "place")
     good = rows.where("coalesce(name, '') <> '' and coalesce(url, '') <> '' and price > 0")
-    return good.withColumn("k", F.row_number().over(order)).where("k = 1").select(*OUTPUT)
+    return good.withColumn("k", F.row_number().over(order)).where("k = 1").select(*OUTPUT, *more)
 
 
 def shopify(pages: DataFrame, per_page: int = 250, most_pages: int = 20) -> DataFrame:
-    """``products.json`` pages up to and including the first short one; the first variant has the price."""
+    """``products.json`` pages up to and including the first short one; the first variant has the price. Adds gender, from type, title and tags."""
     parsed = pages.where(F.col("page") <= most_pages).select("site", "base_url", "page", F.from_json("payload", SHOPIFY).products.alias("products"))
     before = Window.partitionBy("site").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     parsed = parsed.withColumn("ended", F.coalesce(F.max(F.coalesce(F.size("products"), F.lit(0)) < per_page).over(before), F.lit(False))).where("not ended")
@@ -63,7 +75,8 @@ def shopify(pages: DataFrame, per_page: int = 250, most_pages: int = 20) -> Data
     sizes = F.when(F.size(sized) > 0, option1).otherwise(F.coalesce(_first(F.col("p.options"))["values"], F.array().cast("array<string>")))
     variant = _first(F.col("p.variants"))
     return _done(
-        rows.select("site", "page", "place", F.concat("base_url", F.lit("/products/"), "p.handle").alias("url"), F.col("p.title").alias("name"), local_price(variant["price"]).alias("price"), local_price(variant["compare_at_price"]).alias("original_price"), F.col("p.product_type").alias("category"), sizes.alias("sizes"), _first(F.col("p.images"))["src"].alias("image"))
+        rows.select("site", "page", "place", F.concat("base_url", F.lit("/products/"), "p.handle").alias("url"), F.col("p.title").alias("name"), local_price(variant["price"]).alias("price"), local_price(variant["compare_at_price"]).alias("original_price"), F.col("p.product_type").alias("category"), sizes.alias("sizes"), _first(F.col("p.images"))["src"].alias("image"), told_gender(F.col("p.product_type"), F.col("p.title"), F.col("p.tags")).alias("gender")),
+        "gender",
     )
 
 
@@ -184,10 +197,26 @@ def commerce_cards(pages: DataFrame) -> DataFrame:
     return _done(rows.select("site", "page", "place", found(title).alias("url"), F.trim(found(title, 2)).alias("name"), price.alias("price"), F.when(high > price, high).alias("original_price"), F.lit(None).cast("string").alias("category"), F.array().cast("array<string>").alias("sizes"), image.alias("image")))
 
 
-def index_series(documents: DataFrame) -> DataFrame:
-    """``day, value`` of a price index from JSON texts ``(payload)`` such as {"data": [["2024-01-01", 123.4], ...]}."""
-    rows = documents.select(F.explode(F.from_json(F.get_json_object("payload", "$.data"), "array<array<string>>")).alias("p"))
-    return rows.select(F.get("p", F.lit(0)).cast("date").alias("day"), F.get("p", F.lit(1)).try_cast("double").alias("value")).where("value > 0").dropDuplicates(["day"])
+def _points(documents: DataFrame) -> DataFrame:
+    """Points of both forms of an index: {"data": [[day, value], ...]} and [{"fecha": day, "valor": value}, ...]."""
+    pairs = F.from_json(F.get_json_object("payload", "$.data"), "array<array<string>>")
+    pairs = F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("fecha"), F.get(p, F.lit(1)).alias("valor")))
+    named = F.from_json(F.when(F.ltrim("payload").startswith("["), F.col("payload")), "array<struct<fecha:string,valor:string>>")
+    rows = documents.select(F.explode(F.coalesce(pairs, named)).alias("p"))
+    return rows.select(F.col("p.fecha").try_cast("date").alias("day"), F.col("p.valor").try_cast("double").alias("value")).where("day is not null and value > 0").groupBy("day").agg(F.min("value").alias("value"))
+
+
+def index_series(documents: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """``day, value`` of a price index from JSON texts ``(payload)``, of either source's form.
+
+    A source with fewer than two points is none: then the points are those of ``second``, where that is
+    given and has two. A day counts once, with its least value.
+    """
+    if second is None:
+        return _points(documents)
+    both = _points(documents).withColumn("source", F.lit(1)).unionByName(_points(second).withColumn("source", F.lit(2)))
+    usable = both.groupBy("source").agg(F.count("*").alias("n")).where("n >= 2").agg(F.min("source").alias("source"))
+    return both.join(F.broadcast(usable), "source", "left_semi").select("day", "value")  # one row is broadcast
 
 
 def market_search(documents: DataFrame, most: int = 8) -> DataFrame:

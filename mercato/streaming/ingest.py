@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mercato.operators import upsert
+
 PRICE_STEP = 0.01
 
 
@@ -21,6 +23,27 @@ def ingest(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
+def upserts(stream: DataFrame, first: DataFrame, folder: str) -> DataStreamWriter:
+    """Writer that upserts every micro-batch of finished sites into the catalog.
+
+    Batch k reads the snapshot of batch k - 1 in the shared ``folder`` (``first`` for k = 0) and writes
+    its own beside it, so that a batch that comes again after a failure overwrites itself with the same
+    rows. ``latest`` reads the newest; the caller removes old ones.
+    """
+    spark = first.sparkSession
+
+    def apply(batch: DataFrame, k: int) -> None:
+        current = spark.read.schema(first.schema).parquet(f"{folder}/snapshot/{k - 1}") if k else first
+        upsert.upsert(current, batch).write.mode("overwrite").parquet(f"{folder}/snapshot/{k}")
+
+    return ingest(stream, apply, f"{folder}/state")
+
+
+def latest(first: DataFrame, folder: str, batches: int) -> DataFrame:
+    """The catalog after so many micro-batches of ``upserts``."""
+    return first.sparkSession.read.schema(first.schema).parquet(f"{folder}/snapshot/{batches - 1}") if batches else first
+
+
 def once_a_day(prices: DataFrame, lateness: str = "2 days") -> DataFrame:
     """First price of each URL and day of ``prices(url, ts, price)``; older state than ``lateness`` is dropped."""
     return prices.withColumn("day", F.to_date("ts")).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["url", "day"])
