@@ -37,7 +37,7 @@ from mercato.llm.common import load, slices
 #: Largest tokenizer file that is sent to the executors.
 MOST_BYTES = 64_000_000
 #: Words of a task whose ids are remembered, and the longest such word.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 40
+CACHE_WORDS, CACHE_LENGTH = 300_000, 40
 #: How byte-level vocabularies cut texts into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -168,7 +168,7 @@ def decode(ids: Column, vocabulary: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = _vocabulary(vocabulary)
         for batch in batches:
-            yield pa.array((None if x.as_py() is None else words.decode(x.as_py()) for x in batch), pa.string())
+            yield pa.array((words.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in batch), pa.string())
 
     return run(ids)
 

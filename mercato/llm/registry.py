@@ -1,10 +1,11 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from mercato.llm import ann, decontaminate, html_extract, license_scan, mix_sources, quality, simhash, substring_dedup, toxicity, url_filter
+from mercato.llm import ann, bpe, decontaminate, html_extract, license_scan, mix_sources, quality, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op13_bpe": bpe.op13_bpe,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_mix_sources": mix_sources.op3_mix_sources,
     "op4_html_extract": html_extract.op4_html_extract,
