@@ -11,8 +11,8 @@ The vocabulary is a tokenizer file whose path is a parameter; the driver reads i
 text (some 1.5 MB, checked) to the executors. Nothing else leaves a task, and no row moves.
 
 Null texts give a null list; callers who want them empty coalesce first. Empty texts give an empty
-list. Repeated rows and ties give the same ids. Other columns never reach Python, so their names
-don't matter. Very long texts take memory in proportion to themselves.
+list. Repeated rows and ties give the same ids. Other columns stay as they are, but own columns named
+ids or decoded are replaced. Very long texts take memory in proportion to themselves.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ from mercato.llm.common import load, slices
 #: Largest tokenizer file that is sent to the executors.
 MOST_BYTES = 64_000_000
 #: Words of a task whose ids are remembered, and the longest such word.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 40
+CACHE_WORDS, CACHE_LENGTH = 200_000, 40
 #: How byte-level vocabularies cut texts into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -141,55 +141,60 @@ def read_vocabulary(path: str) -> str:
     return text
 
 
-def encode(text: Column, vocabulary: str) -> Column:
-    """Token ids of each text, special tokens in it included, none added."""
+def encode(docs: DataFrame, vocabulary: str, packed: bool = False, decoded: bool = False) -> DataFrame:
+    """``docs`` with ids: those of text, special tokens in it included, none added.
 
-    @F.arrow_udf("array<int>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    Lists of integers, or with ``packed`` unsigned 32-bit integers, lowest byte first, in one binary
+    value, as training files hold them. With ``decoded`` the text that the ids give stands beside them.
+    """
+    kept = docs.drop("ids", "decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(vocabulary)
-        for batch in batches:
-            parts = []
-            for piece in slices([pa.record_batch([batch], ["text"])]):
-                found = [None if t is None else words.encode(t) for t in piece["text"].to_pylist()]
-                ends = np.cumsum([0, *(len(x or ()) for x in found)], dtype=np.int32)
-                values = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(x, np.int32) for x in found if x)])
-                none = pa.array([x is None for x in found] + [False])
-                offsets = pc.if_else(none, pa.scalar(None, pa.int32()), pa.array(ends))
-                parts.append(pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32())))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        for rows in slices(batches):
+            found = [None if t is None else words.encode(t) for t in rows["text"].to_pylist()]
+            rows = rows.append_column("ids", _packed(found) if packed else _lists(found))
+            if decoded:
+                rows = rows.append_column("decoded", pa.array([None if x is None else words.decode(x) for x in found], pa.string()))
+            yield rows
 
-    return run(text)
+    return kept.mapInArrow(run, _with(kept, ids="binary" if packed else "array<int>", **{"decoded": "string"} if decoded else {}))
 
 
-def decode(ids: Column, vocabulary: str) -> Column:
-    """The text of each list of ids, special tokens included; null for null."""
+def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """``rows`` with decoded, the text of each list of ids, special tokens included; packed or not, null for null."""
+    kept = rows.drop("decoded")
 
-    @F.arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(vocabulary)
         for batch in batches:
-            yield pa.array((words.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in batch), pa.string())
+            found = [None if x is None else words.decode(np.frombuffer(x, "<u4").tolist() if isinstance(x, bytes) else x) for x in batch["ids"].to_pylist()]
+            yield batch.append_column("decoded", pa.array(found, pa.string()))
 
-    return run(ids)
+    return kept.mapInArrow(run, _with(kept, decoded="string"))
 
 
-@F.arrow_udf(T.BinaryType())
-def little_endian(ids: pa.Array) -> pa.Array:
-    """Each list of ids as unsigned 32-bit integers, lowest byte first."""
-    return pa.array((None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in ids), pa.binary())
+def _with(df: DataFrame, **columns: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items())])
 
 
-def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``docs`` with ids (of text, null: none) and decoded; columns of these names are replaced."""
-    kept = docs.drop("ids", "decoded")
-    return kept.withColumn("ids", encode(F.coalesce("text", F.lit("")), vocabulary)).withColumn("decoded", decode(F.col("ids"), vocabulary))
+def _packed(found: list[array | None]) -> pa.Array:
+    return pa.array([None if x is None else np.frombuffer(x, np.int32).astype("<u4").tobytes() for x in found], pa.binary())
+
+
+def _lists(found: list[array | None]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x or ()) for x in found)], dtype=np.int32)
+    values = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(x, np.int32) for x in found if x)])
+    offsets = pc.if_else(pa.array([x is None for x in found] + [False]), pa.scalar(None, pa.int32()), pa.array(ends))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    return tokenize(load(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select(
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return encode(docs, vocabulary, packed=True, decoded=True).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian("ids"), 256).alias("ids_sha256"),
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

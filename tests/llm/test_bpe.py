@@ -65,12 +65,15 @@ def test_query_over_a_whole_table(spark, theirs, monkeypatch):
 
 def test_rows_of_every_kind(spark, documents):
     words = bpe.read_vocabulary(PATH)
-    docs = documents([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x" * 3_000_000)]).withColumns({"ids": F.lit("own"), "row": F.lit(1), "decoded": F.lit(None)})
-    got = bpe.tokenize(docs, words).select("doc_id", F.size("ids").alias("n"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same")).collect()
-    assert sorted((r.doc_id or 0, r.n, r.same) for r in got)[1:] == [(1, 0, True), (2, 0, True), (3, 2, True), (3, 2, True)]
-    assert all(r.same for r in got)
-    null = documents([(1, None), (2, "a")]).select(bpe.encode(F.col("text"), words).alias("ids")).select("ids", bpe.decode(F.col("ids"), words).alias("t")).collect()
-    assert [(r.ids, r.t) for r in null] == [(None, None), ([64], "a")]
-    assert bpe.tokenize(documents([]), words).count() == 0
+    docs = documents([(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, "x" * 3_000_000)]).withColumns({"ids": F.lit("own"), "row": F.lit(1), "decoded": F.lit(None)})
+    for packed in (False, True):
+        got = bpe.encode(docs, words, packed, decoded=True)
+        assert got.columns == ["doc_id", "text", "row", "ids", "decoded"]
+        size = F.length("ids") / 4 if packed else F.when(F.col("ids").isNotNull(), F.size("ids"))
+        again = bpe.decode(got.withColumn("once", F.col("decoded")), words)
+        rows = again.select("doc_id", size.cast("int").alias("n"), F.col("decoded").eqNullSafe(F.col("text")) & F.col("once").eqNullSafe(F.col("text"))).collect()
+        assert sorted(tuple(r) for r in rows if r.doc_id < 4) == [(1, None, True), (2, 0, True), (3, 2, True), (3, 2, True)]
+        assert all(r[2] for r in rows) and len(rows) == 5
+    assert bpe.encode(documents([]), words).count() == 0
     with pytest.raises(ValueError):
         bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
