@@ -30,9 +30,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from mercato.llm.common import load, slices
+from mercato.llm.common import load, schema_with, slices
 
 #: Largest tokenizer file that is sent to the executors.
 MOST_BYTES = 64_000_000
@@ -158,7 +157,7 @@ def encode(docs: DataFrame, vocabulary: str, packed: bool = False, decoded: bool
                 rows = rows.append_column("decoded", pa.array([None if x is None else words.decode(x) for x in found], pa.string()))
             yield rows
 
-    return kept.mapInArrow(run, _with(kept, ids="binary" if packed else "array<int>", **{"decoded": "string"} if decoded else {}))
+    return kept.mapInArrow(run, schema_with(kept, ids="binary" if packed else "array<int>", **{"decoded": "string"} if decoded else {}))
 
 
 def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
@@ -171,11 +170,7 @@ def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
             found = [None if x is None else words.decode(np.frombuffer(x, "<u4").tolist() if isinstance(x, bytes) else x) for x in batch["ids"].to_pylist()]
             yield batch.append_column("decoded", pa.array(found, pa.string()))
 
-    return kept.mapInArrow(run, _with(kept, decoded="string"))
-
-
-def _with(df: DataFrame, **columns: str) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items())])
+    return kept.mapInArrow(run, schema_with(kept, decoded="string"))
 
 
 def _packed(found: list[array | None]) -> pa.Array:

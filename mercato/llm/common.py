@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.session import shared_folder
 
@@ -55,6 +56,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             at = to
 
 
+def schema_with(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` and columns of these names and types behind it."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in kinds.items())])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected graph ``edges(src, dst)``.
 
