@@ -213,12 +213,18 @@ def find_runs(docs: DataFrame, times: int = TIMES, least: int = LEAST) -> DataFr
 def planted(doc_id: Column, text: Column) -> Column:
     """The text; for a tenth of the documents, chosen by the hash of their ids, its end repeats a stretch of itself."""
     h = F.crc32(doc_id.cast("decimal(38,0)").cast("string").cast("binary"))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n, g = F.size(words), F.floor(h / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & (F.regexp_count(text, F.lit(WORD)) > 0), F.array_join(again, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        copies = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, 1, a), F.slice(copies, 1, n - a)), " ")
+
+    # A list of one list, so that the words are found once however often they are used.
+    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), repeated)
+    return F.when((h % 10 == 0) & (F.regexp_count(text, F.lit(WORD)) > 0), F.get(found, F.lit(0))).otherwise(text)
 
 
 def strongest(runs: Column) -> Column:
