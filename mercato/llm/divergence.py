@@ -12,8 +12,8 @@ Shares p and q are integers: 1 + floor(10^9 (n + 1) / (N + V)), n being the term
 terms there and V the number of kept terms. A term's divergence is floor((p - q)^2 / q). The sum over all
 kept terms for a pair of sources needs postings only: terms that neither source holds all add the same, those
 that one of them holds follow from how often each number of occurrences comes up there, and only those that both
-hold are paired. A term's sources are joined with one another, so a term costs the square
-of the number of sources that hold it, as the result itself has a row for each pair.
+hold are paired, counted by their two numbers of occurrences. So a term costs the square
+of the number of sources that hold it, as the result itself has a row for each pair of sources.
 
 Null text, lang and source count as ''. Empty texts make their group occur but add no term. Repeated rows
 count as often as they stand. Ties rank by the other source's or the term's UTF-8 bytes. An empty table gives no rows. Very long texts
@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import pandas as pd
@@ -48,7 +49,7 @@ _PLAIN = bytes(32 if _DELIMITERS.match(bytes([b])) else b + 32 if 65 <= b <= 90
 
 
 def terms(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split(b" ")
+    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -65,18 +66,17 @@ def document_counts(docs: DataFrame) -> DataFrame:
             for lang, (docs, times) in held.items():
                 words = list(docs)
                 yield pa.record_batch(
-                    [pa.array([lang] * len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(docs.values(), pa.int64()), pa.array([(len(w) + 1) * times[w] for w in words], pa.int64())],
+                    [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(docs.values(), pa.int64()), pa.array([(len(w) + 1) * times[w] for w in words], pa.int64())],
                     ["lang", "term", "docs", "bytes"],
                 )
             held.clear()
 
         for rows in slices(batches):
             for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True):
-                once = Counter(terms(text))
-                once.pop(b"", None)
+                words = terms(text)
                 docs, times = held[lang]
-                docs.update(once.keys())
-                times.update(once)
+                docs.update(set(words))
+                times.update(words)
             if sum(len(d) for d, _ in held.values()) > HELD:
                 yield from flush()
         yield from flush()
@@ -85,34 +85,39 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
 
 
-def shard_of(term: Column, n: Column) -> Column:
-    return (F.crc32(term.cast("binary")) % n).cast("int")
+class Places(dict):
+    """The shard of each term that has come up, out of ``n``."""
+
+    def __init__(self, n: int):
+        super().__init__()
+        self.n = n
+
+    def __missing__(self, term: bytes) -> int:
+        place = self[term] = zlib.crc32(term) % self.n
+        return place
 
 
 def _deal(shards: dict[str, int], tasks: dict[tuple[str, int], int]):
     """Terms of the texts by shard, in their order, padded: ``lang, shard, part, source, words``."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
+        places = {lang: Places(n) for lang, n in shards.items()}
         for rows in slices(batches):
             texts: dict[tuple[str, str], list[bytes]] = defaultdict(list)
             for lang, source, text in zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["text"].to_pylist(), strict=True):
                 if lang in shards:
                     texts[lang, source] += terms(text)
-            if len(number) > HELD:
-                number.clear()
             out = []
             for (lang, source), words in texts.items():
-                n, dealt = shards[lang], defaultdict(list)
+                place, dealt = places[lang], [[] for _ in range(shards[lang])]
                 for w in words:
-                    if w:
-                        h = number.get(w)
-                        if h is None:
-                            h = number[w] = zlib.crc32(w)
-                        dealt[h % n].append(w)
-                for shard, own in dealt.items():
-                    padded = b" " + b" ".join(own) + b" "
-                    out.append((lang, shard, zlib.crc32(padded) % tasks.get((lang, shard), 1), source, padded))
+                    dealt[place[w]].append(w)
+                if len(place) > HELD:
+                    place.clear()
+                for shard, own in enumerate(dealt):
+                    if own:
+                        padded = b" " + b" ".join(own) + b" "
+                        out.append((lang, shard, zlib.crc32(padded) % tasks.get((lang, shard), 1), source, padded))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["lang", "shard", "part", "source", "words"])
 
@@ -128,23 +133,30 @@ def _scan(padded: pa.Table, kept: pa.Table) -> pa.Table:
             automaton.add_word(f" {term.encode().decode('latin-1')} ", k)
         automaton.make_automaton()
         for source, words in zip(padded["source"].to_pylist(), padded["words"], strict=True):
-            counts[source].update(k for _, k in automaton.iter(words.as_py().decode("latin-1")))
+            counts[source].update(map(itemgetter(1), automaton.iter(words.as_py().decode("latin-1"))))
     lang = kept["lang"][0].as_py() if kept.num_rows else ""
     rows = [(lang, source, names[k], n) for source, found in counts.items() for k, n in found.items()]
     columns = zip(*rows, strict=True) if rows else [[]] * 4
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "source", "term", "n"])
 
 
+#: Rows of a side that is broadcast; beyond it Spark chooses.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def vocabulary(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, term, bytes, shard, shards``: the kept terms of each language, dealt to shards."""
-    kept = document_counts(docs).where(F.col("docs") >= least)
-    kept = cut(kept.select("lang", "term", "bytes"))
-    sizes = kept.groupBy("lang").agg(F.ceil(F.sum(F.octet_length("term") + 2) / SHARD_BYTES).cast("int").alias("shards"))
-    return kept.join(sizes, "lang").withColumn("shard", shard_of(F.col("term"), F.col("shards")))
+    kept = cut(document_counts(docs).where(F.col("docs") >= least).select("lang", "term", "bytes"))
+    sizes = cut(kept.groupBy("lang").agg(F.ceil(F.sum(F.octet_length("term") + 2) / SHARD_BYTES).cast("int").alias("shards")))
+    return kept.join(small(sizes), "lang").withColumn("shard", (F.crc32(F.col("term").cast("binary")) % F.col("shards")).cast("int"))
 
 
 def postings(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """``lang, source, term, n``: occurrences of kept terms where there are any.
+    """``lang, term, posts``: source and n, its occurrences, for each source that holds a kept term.
 
     The driver gets one row for each shard, never a term.
     """
@@ -156,12 +168,16 @@ def postings(docs: DataFrame, kept: DataFrame) -> DataFrame:
     each = kept.join(parts, ["lang", "shard"]).select("lang", "shard", "part", "term")
     key = ["lang", "shard", "part"]
     found = dealt.groupBy(*key).cogroup(each.groupBy(*key)).applyInArrow(_scan, "lang string, source string, term string, n long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    # Dealt by term once: both groupings below find their rows together.
+    summed = found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    return summed.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("posts"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
-    whole = (n.cast("decimal(20,0)") + 1) * F.lit(WHOLE).cast("decimal(10,0)")
-    return F.call_function("div", whole, (total + kept).cast("decimal(20,0)")).cast("long") + 1
+    """1 + floor(10^9 (n + 1) / (total + kept)), in decimals where the product leaves 64 bits."""
+    most = (2**63 - 1) // WHOLE - 1
+    large = F.call_function("div", (n.cast("decimal(20,0)") + 1) * F.lit(WHOLE).cast("decimal(10,0)"), (total + kept).cast("decimal(20,0)"))
+    return F.when(n < most, F.call_function("div", (n + 1) * WHOLE, total + kept)).otherwise(large.cast("long")) + 1
 
 
 def far(p: Column, q: Column) -> Column:
@@ -171,16 +187,17 @@ def far(p: Column, q: Column) -> Column:
 def audit(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataFrame:
     """``lang, source, part, item, value, rank``: other sources (part pair) and terms (part term) by divergence."""
     docs = named(docs)
-    kept = vocabulary(docs, least)
-    posted = cut(postings(docs, kept))
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"))
-    held = posted.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
+    posted = cut(postings(docs, vocabulary(docs, least)))
+    each = posted.select("lang", "term", F.aggregate("posts", F.lit(0).cast("long"), lambda x, p: x + p["n"]).alias("all"), F.explode("posts").alias("post")).select("lang", "term", "all", "post.*")
+    often = cut(each.groupBy("lang", "source", "n").agg(F.count("*").alias("m")))
+    held = often.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("total"), F.sum("m").alias("held"))
+    sizes = posted.groupBy("lang").agg(F.count("*").alias("kept"))
     zero = F.lit(0).cast("long")
     groups = docs.select("lang", "source").distinct().join(held, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.select("lang", "source", *(F.coalesce(c, zero).alias(c) for c in ("total", "held", "kept")))
     groups = cut(groups.withColumn("none", F.when(F.col("total") + F.col("kept") > 0, share(zero, F.col("total"), F.col("kept")))))
-    shares = posted.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("kept")))
-    ranked = _pairs(groups, shares).select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", _rank()).unionByName(_terms(posted, sizes, shares, best))
+    ranked = _pairs(groups, often, posted).select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", _rank())
+    ranked = ranked.unionByName(_terms(groups, each, best))
     return ranked.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
@@ -188,36 +205,47 @@ def _rank() -> Column:
     return F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
 
 
-def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, often: DataFrame, posted: DataFrame) -> DataFrame:
     """``lang, source, item, value`` for every two sources of a language."""
     one, other = groups.alias("a"), groups.alias("b")
-    pairs = one.join(other, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") != F.col("b.source"))).select(
+    pairs = one.join(small(other), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") != F.col("b.source"))).select(
         F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("b.source").alias("item"), F.col("a.none").alias("p0"), F.col("b.none").alias("q0"), F.col("a.held").alias("p_held"), F.col("b.held").alias("q_held"), F.col("a.kept").alias("kept")
     )
     # As if all terms were held by neither, then by one only, then by both: each step corrects the one before.
     neither = pairs.select("lang", "source", "item", (far(F.col("p0"), F.col("q0")) * (F.col("kept") - F.col("p_held") - F.col("q_held"))).alias("value"))
-    often = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("m"))
-    first = pairs.join(often, ["lang", "source"]).select("lang", "source", "item", (far(F.col("p"), F.col("q0")) * F.col("m")).alias("value"))
-    second = pairs.join(often.withColumnsRenamed({"source": "item", "p": "q"}), ["lang", "item"]).select("lang", "source", "item", (far(F.col("p0"), F.col("q")) * F.col("m")).alias("value"))
-    a = shares.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("pa"), F.col("none").alias("a0"))
-    b = shares.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("pb"), F.col("none").alias("b0"))
+    counted = often.join(small(groups), ["lang", "source"]).select("lang", "source", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), "m")
+    zeros = small(groups.select("lang", F.col("source").alias("other"), F.col("none").alias("zero")))
+    alone = counted.join(zeros, "lang").where("source <> other")
+    first = alone.select("lang", "source", F.col("other").alias("item"), (far(F.col("p"), F.col("zero")) * F.col("m")).alias("value"))
+    second = alone.select("lang", F.col("other").alias("source"), F.col("source").alias("item"), (far(F.col("zero"), F.col("p")) * F.col("m")).alias("value"))
+    # Terms that both hold, counted by how often each does: far fewer rows than pairs of postings.
+    a = posted.select("lang", "posts", F.explode("posts").alias("a"))
+    both = a.select("lang", "a", F.explode(F.filter("posts", lambda x: x["source"] > F.col("a.source"))).alias("b"))
+    both = both.groupBy("lang", F.col("a.source").alias("a"), F.col("b.source").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).agg(F.count("*").alias("m"))
+    kinds = [groups.select("lang", F.col("source").alias(x), share_inputs(x)) for x in "ab"]
+    both = both.join(small(kinds[0]), ["lang", "a"]).join(small(kinds[1]), ["lang", "b"])
+    pa_, pb = (share(F.col(f"{x}n"), F.col(f"{x}_in.total"), F.col(f"{x}_in.kept")) for x in "ab")
+    both = both.select("lang", "a", "b", "m", pa_.alias("pa"), pb.alias("pb"), F.col("a_in.none").alias("a0"), F.col("b_in.none").alias("b0"))
 
     def extra(p: str, p0: str, q: str, q0: str) -> Column:
         p, p0, q, q0 = map(F.col, (p, p0, q, q0))
-        return far(p, q) - far(p, q0) - far(p0, q) + far(p0, q0)
+        return F.sum((far(p, q) - far(p, q0) - far(p0, q) + far(p0, q0)) * F.col("m"))
 
-    both = a.join(b, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b").agg(F.sum(extra("pa", "a0", "pb", "b0")).alias("ab"), F.sum(extra("pb", "b0", "pa", "a0")).alias("ba"))
+    both = both.groupBy("lang", "a", "b").agg(extra("pa", "a0", "pb", "b0").alias("ab"), extra("pb", "b0", "pa", "a0").alias("ba"))
     both = both.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item"), F.col("ab").alias("value")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"), F.col("ba").alias("value")))).alias("row")).select("lang", "row.*")
     summed = neither.unionByName(first).unionByName(second).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return summed.withColumn("value", F.coalesce("value", F.lit(0).cast("long")))
 
 
-def _terms(posted: DataFrame, sizes: DataFrame, shares: DataFrame, best: int) -> DataFrame:
+def share_inputs(side: str) -> Column:
+    return F.struct("total", "kept", "none").alias(f"{side}_in")
+
+
+def _terms(groups: DataFrame, each: DataFrame, best: int) -> DataFrame:
     """The terms that a source holds more than its language does, ranked."""
-    every = posted.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    totals = posted.groupBy("lang").agg(F.sum("n").alias("all")).join(sizes.withColumnRenamed("kept", "all_kept"), "lang")
-    q = every.join(totals, "lang").select("lang", "term", share(F.col("n"), F.col("all"), F.col("all_kept")).alias("q"))
-    found = shares.select("lang", "source", "term", "p").join(q, ["lang", "term"]).where("p > q")
+    whole = small(groups.groupBy("lang").agg(F.sum("total").alias("whole")))
+    found = each.join(small(groups.select("lang", "source", "total", "kept")), ["lang", "source"]).join(whole, "lang")
+    found = found.select("lang", "source", "term", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(F.col("all"), F.col("whole"), F.col("kept")).alias("q")).where("p > q")
     ranked = found.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), far(F.col("p"), F.col("q")).alias("value")).withColumn("rank", _rank())
     return ranked.where(F.col("rank") <= best)
 
