@@ -40,7 +40,7 @@ from mercato.llm.common import cut, load, slices
 LEAST, BEST = 3, 200
 WHOLE = 1_000_000_000
 #: Bytes of kept terms in one automaton (its nodes take some 50 bytes for each), and of texts that one task scans.
-SHARD_BYTES, TASK_BYTES = 256_000, 4_000_000
+SHARD_BYTES, TASK_BYTES = 256_000, 12_000_000
 #: Different terms that a task of the first pass holds before it hands its counts on.
 HELD = 300_000
 _DELIMITERS = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
