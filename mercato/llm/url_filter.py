@@ -68,7 +68,9 @@ def resource(url: Column) -> Column:
 
 
 COMMENT = r"(?s)<!--.*?(?:-->|$)"
-LINK, MOVE = r"(?i)<link\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", r"(?i)<meta\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+#: Inside of a tag. Possessive, so that Java's matcher loops over it instead of descending once a character.
+INSIDE = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+LINK, MOVE = rf"(?i)<link\b{INSIDE}>", rf"(?i)<meta\b{INSIDE}>"
 CANONICAL, REFRESH = r"(?i)\srel\s*=\s*[\"']?[^\"'>]*\bcanonical\b", r"(?i)\shttp-equiv\s*=\s*[\"']?\s*refresh\b"
 HREF, TARGET = r"(?i)\shref\s*=\s*(?:[\"']\s*)?([^\"'\s>]+)", r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
 # Character references that occur in URLs, as (pattern, character); & comes last.
@@ -168,6 +170,8 @@ def _resource_sql(url: str) -> str:
 _DECODED = "href"
 for _reference, _mark in REFERENCES:
     _DECODED = f"regexp_replace({_DECODED}, {_sql(_reference)}, {_sql(_mark)}, 'g')"
+#: The same for DuckDB, whose matcher knows no possessive forms and needs none.
+_INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 SQL = f"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
 parts AS (SELECT page_id, url, html, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
@@ -175,9 +179,9 @@ page AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)',
 source AS (SELECT url, regexp_replace(html, {_sql(COMMENT)}, '', 'g') AS html FROM pages WHERE html IS NOT NULL AND contains(url, '://')),
 raw AS (
     SELECT url, regexp_extract(t, {_sql(HREF)}, 1) AS href
-    FROM (SELECT url, unnest(regexp_extract_all(html, {_sql(LINK)})) AS t FROM source) WHERE regexp_matches(t, {_sql(CANONICAL)})
+    FROM (SELECT url, unnest(regexp_extract_all(html, {_sql(LINK.replace(INSIDE, _INSIDE))})) AS t FROM source) WHERE regexp_matches(t, {_sql(CANONICAL)})
     UNION SELECT url, regexp_extract(t, {_sql(TARGET)}, 1)
-    FROM (SELECT url, unnest(regexp_extract_all(html, {_sql(MOVE)})) AS t FROM source) WHERE regexp_matches(t, {_sql(REFRESH)})),
+    FROM (SELECT url, unnest(regexp_extract_all(html, {_sql(MOVE.replace(INSIDE, _INSIDE))})) AS t FROM source) WHERE regexp_matches(t, {_sql(REFRESH)})),
 plain AS (SELECT url, {_DECODED} AS href, regexp_extract(url, {_sql(SITE)}, 1) AS site, regexp_extract(url, {_sql(FOLDER)}, 1) AS folder FROM raw),
 target AS (SELECT url, CASE
     WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.-]*://') THEN href
