@@ -63,6 +63,13 @@ def _sorted(table: pa.Table) -> pa.Table:
     return table.sort_by("vid")
 
 
+def _scaled(x: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """``x`` in doubles, divided by a power of two so that no product leaves their range; orders of inner products stay."""
+    x = np.asarray(x, np.float64)
+    _, power = np.frexp(np.abs(x).max(axis=axis, keepdims=True, initial=0.0))
+    return np.ldexp(x, -power)
+
+
 def _graph_rows(table: pa.Table, nodes: np.ndarray, near: list[np.ndarray]) -> pa.Table:
     n = len(nodes)
     return pa.table({"dim": pa.array(np.full(n, table["dim"][0].as_py()), pa.int32()), "shard": pa.array(np.full(n, table["shard"][0].as_py()), pa.int64()), "node": pa.array(nodes, pa.int32()), "near": _lists(near)})
@@ -81,7 +88,7 @@ def _best(x: np.ndarray, node: int, others: np.ndarray) -> np.ndarray:
 
 def _start(table: pa.Table) -> pa.Table:
     """First graph of a shard: the best neighbours within random-projection leaves of bounded size."""
-    x = _matrix(_sorted(table)["embedding"]).astype(np.float32)
+    x = _scaled(_matrix(_sorted(table)["embedding"]))
     rng = np.random.default_rng(SEED)
     n, found = len(x), [[] for _ in range(len(x))]
     for _ in range(TREES):
@@ -92,7 +99,7 @@ def _start(table: pa.Table) -> pa.Table:
                 if len(leaf) <= LEAF:
                     split.append(leaf)
                 else:
-                    order = leaf[np.argsort(x[leaf] @ rng.normal(size=x.shape[1]).astype(np.float32), kind="stable")]
+                    order = leaf[np.argsort(x[leaf] @ rng.normal(size=x.shape[1]), kind="stable")]
                     split += [order[: len(order) // 2], order[len(order) // 2 :]]
             leaves = split
         for leaf in leaves:
@@ -110,7 +117,7 @@ def _improve(table: pa.Table, offers: pa.Table) -> pa.Table:
     """Keeps the best of the neighbours of neighbours that the join offers each node."""
     if not table.num_rows:
         return pa.table({"dim": pa.array([], pa.int32()), "shard": pa.array([], pa.int64()), "node": pa.array([], pa.int32()), "near": pa.array([], pa.list_(pa.int32()))})
-    x = _matrix(_sorted(table)["embedding"]).astype(np.float32)
+    x = _scaled(_matrix(_sorted(table)["embedding"]))
     lists = offers["offer"].combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     nodes = offers["node"].to_numpy()
@@ -166,7 +173,7 @@ def walk(x: np.ndarray, near: np.ndarray, q: np.ndarray, beam: int = BEAM, keep:
         repeat[:, 1:] = new[:, 1:] == new[:, :-1]
         fresh = ~repeat & ~seen[rows, new]
         seen[rows, new] = True
-        s = np.full(new.shape, -np.inf, np.float32)
+        s = np.full(new.shape, -np.inf)
         r, c = np.nonzero(fresh)
         s[r, c] = np.einsum("ij,ij->i", q[r], x[new[r, c]])
         node, score = np.concatenate([node, new], 1), np.concatenate([score, s], 1)
@@ -184,7 +191,7 @@ def _search(table: pa.Table, queries: pa.Table) -> pa.Table:
     if table.num_rows and queries.num_rows:
         table = _sorted(table)
         vid, exact = table["vid"].to_numpy(), _matrix(table["embedding"]).astype(np.float64)
-        x, n = exact.astype(np.float32), table.num_rows
+        x, n = _scaled(exact), table.num_rows
         lists = table["near"].to_pylist()
         near = np.full((n + 1, 2 * DEGREE), n, np.int64)
         fill = np.zeros(n, np.int64)
@@ -199,7 +206,7 @@ def _search(table: pa.Table, queries: pa.Table) -> pa.Table:
         q_vid, q_exact = queries["query_vid"].to_numpy(), _matrix(queries["q_embedding"]).astype(np.float64)
         for at in range(0, len(q_vid), 256):
             part = slice(at, at + 256)
-            node, _ = walk(x, near, q_exact[part].astype(np.float32))
+            node, _ = walk(x, near, _scaled(q_exact[part], axis=1))
             r, c = np.nonzero(node >= 0)
             hit = node[r, c]
             for k, v in enumerate((q_vid[part][r], vid[hit], np.einsum("ij,ij->i", q_exact[part][r], exact[hit]))):
