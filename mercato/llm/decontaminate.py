@@ -171,7 +171,7 @@ def align(passages: list[bytes], items: list[bytes]) -> np.ndarray:
 
 
 def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null").distinct()
+    rows = benchmark.select("item_id", "text").where("text is not null").distinct()
     n = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / CHUNK_BYTES * 1.2))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
