@@ -70,7 +70,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     starts = np.concatenate([[0], np.flatnonzero(sign[1:] != sign[:-1]) + 1])
     ends = np.append(starts[1:], len(scores))
     sums = np.add.reduceat(scores, starts)
-    found: list[list] = []  # start, end, sum before, sum after
+    # start, end, sum before, sum after, and the last earlier segment with a smaller sum before (-1: none).
+    # Segments between are never looked at again, so the whole takes time in proportion to the scores.
+    found: list[list] = []
     total = 0.0
     for a, b, s in zip(starts.tolist(), ends.tolist(), sums.tolist(), strict=True):
         if s <= 0:
@@ -78,16 +80,18 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
             continue
         new = [a, b, total, total + s]
         total += s
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+                found.append([*new, j])
                 break
             new = [found[j][0], new[1], found[j][2], new[3]]
+            before = found[j][4]
             del found[j:]
-    return [(a, b, after - before) for a, b, before, after in found]
+            j = before
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 def passages(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
