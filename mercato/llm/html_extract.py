@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,10 +68,21 @@ def _kinds(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+@functools.lru_cache(64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*+>" if tag != "head" else r"</head\b[^>]*+>|(?=<body\b)", re.I)
+
+
 def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(path, text, characters in links) of the leaf blocks; a path is a tuple of element features."""
+    """(path, text, characters in links) of the leaf blocks; a path is the features of all elements around and those of the innermost.
+
+    Time grows with the page, also where tags are nested deeply or never closed.
+    """
     out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], frozenset[str]]] = []
+    nested: Counter[str] = Counter()  # open elements by tag
+    endless: set[str] = set()  # silent tags that aren't closed any more
+    last = page.rfind(">") + 1  # no tag ends behind
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -79,13 +91,14 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((tuple(k for _, k in stack), text, linked))
+                out.append(((stack[-1][2], stack[-1][1]) if stack else (frozenset(), ()), text, linked))
             parts.clear()
         linked = 0
 
     while at < len(page):
-        m = TOKEN.search(page, at)
-        chunk = page[at : m.start() if m else len(page)]
+        m = TOKEN.search(page, at, last) if at < last else None
+        stop = m.start() if m else page.find("<!--", at)
+        chunk = page[at : stop if stop >= 0 else len(page)]
         if chunk:
             chunk = entities.unescape(chunk)
             parts.append(chunk)
@@ -93,6 +106,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
         if not m:
             break
         at = m.end()
+        if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+            break  # a comment that never ends
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -101,16 +116,18 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
                 in_link = 0
             if tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if tag == "p" and stack[k][0] != "p":
-                        break
+                if nested[tag] and (tag != "p" or stack[-1][0] == "p"):
+                    while stack:
+                        gone = stack.pop()[0]
+                        nested[gone] -= 1
+                        if gone == tag:
+                            break
             continue
         attributes = m[3] if m[3] is not None else m[6] or ""
         if tag in SILENT and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
+            end = None if tag in endless else _end_of(tag).search(page, at, last)
+            if not end:
+                endless.add(tag)
             at = end.end() if end else (len(page) if tag in RAW else at)
             continue
         if tag == "a":
@@ -120,9 +137,11 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
         if tag in BLOCKS:
             flush()
             while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ()) or tag[0] == "h" and tag[1:].isdigit() and stack[-1][0] == tag):
-                stack.pop()
+                nested[stack.pop()[0]] -= 1
             if tag not in VOID:
-                stack.append((tag, _kinds(tag, attributes)))
+                kinds, around = _kinds(tag, attributes), stack[-1][2] if stack else frozenset()
+                stack.append((tag, kinds, around if around.issuperset(kinds) else around.union(kinds)))
+                nested[tag] += 1
     flush()
     return out
 
@@ -141,8 +160,8 @@ def _text_features(text: str, linked: int, first: bool, last: bool) -> list[str]
 
 @functools.lru_cache(20_000)
 def _path_features(path: tuple) -> tuple[str, ...]:
-    own = path[-1] if path else ()
-    return tuple(sorted({f for element in path for f in element} | {"own:" + f for f in own if f.startswith("tag:")}))
+    around, own = path
+    return tuple(sorted(around | {"own:" + f for f in own if f.startswith("tag:")}))
 
 
 class Crf:
