@@ -193,16 +193,18 @@ def sub_category(name: Column, cat: Column) -> Column:
     return F.when(blank(name), "").otherwise(F.coalesce(*own, *sports, F.lit("")))
 
 
-def normalize(rows: DataFrame, taxonomy: Taxonomy | None = None, sites: DataFrame | None = None) -> DataFrame:
+def normalize(rows: DataFrame, taxonomy: Taxonomy | None = None, sites: DataFrame | None = None, categorized: bool = False) -> DataFrame:
     """Normalised rows. ``sites(site_key, forced_vertical)`` is the lookup of sites, joined by Spark as its size allows.
 
     Each column rests on those before it: category, gender, sizes, brand, vertical, gym, units, sub-category.
+    With ``categorized`` the categories are final already, as ``operators.cascade.categorize`` gives them.
     """
     taxonomy = taxonomy or Taxonomy()
     rows = rows.withColumn("site_key", site_key(F.coalesce("site", F.lit(""))))
     rows = rows.join(sites.select("site_key", "forced_vertical"), "site_key", "left") if sites is not None else rows.withColumn("forced_vertical", F.lit(None).cast("string"))
     name = F.col("name")
-    rows = rows.withColumn("category", category(F.col("category"), name, taxonomy))
+    if not categorized:
+        rows = rows.withColumn("category", category(F.col("category"), name, taxonomy))
     rows = rows.withColumns({"gender": gender(F.col("gender"), name, F.col("category")), "sizes": sizes(F.col("sizes")), "brand": F.when(blank(F.col("brand")), brand(name, taxonomy.brands)).otherwise(F.col("brand"))})
     rows = rows.withColumn("vertical", vertical(F.col("category"), F.col("forced_vertical"), F.col("vertical")))
     rows = rows.withColumns({"gym": is_gym(name, F.col("site_key"), F.col("category"), F.col("vertical"), F.col("brand"), taxonomy), "units": units(name, taxonomy), "sub_category": sub_category(name, F.col("category"))})
