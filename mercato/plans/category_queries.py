@@ -32,7 +32,7 @@ def register(name: str, sql: str):
 
 def _names(pick) -> list[str]:
     """Columns over part; ``pick`` makes SQL for the element of a fixed list at an expression."""
-    one, two = pick(WORDS, "p_partkey"), pick(WORDS, "p_partkey * 7 + CAST(floor(p_partkey / 11) AS INT)")
+    one, two = pick(WORDS, "p_partkey + CAST(floor(p_partkey / 5) AS INT)"), pick(WORDS, "p_partkey * 7 + CAST(floor(p_partkey / 11) AS INT)")
     ends = "CASE p_partkey % 9 WHEN 1 THEN ' 500 g' WHEN 2 THEN ' talle 38' WHEN 3 THEN ' de hombre' WHEN 4 THEN ' x 3 unidades' ELSE '' END"
     return [
         "p_partkey AS seq",

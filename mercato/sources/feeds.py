@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from mercato.functions.prices import listing_price, local_price, shop_price, tech_price
 from mercato.functions.text import slug
+from mercato.sources.paging import until_last
 
 OUTPUT = ["site", "url", "name", "price", "original_price", "category", "sizes", "image"]
 SHOPIFY = "products array<struct<title:string,handle:string,product_type:string,tags:string,images:array<struct<src:string>>,options:array<struct<name:string,values:array<string>>>,variants:array<struct<price:string,compare_at_price:string,option1:string>>>>"
@@ -91,6 +92,20 @@ def vtex(pages: DataFrame) -> DataFrame:
     )
 
 
+def vtex_search(pages: DataFrame) -> DataFrame:
+    """Search pages of the newer form, {"products": [...], "pagination": {"last": {"index": n}}}, up to the last page that they tell.
+
+    Products are those of ``vtex``; page is the one that shows them first.
+    """
+    told = F.get_json_object("payload", "$.pagination.last.index").try_cast("int")
+    read = until_last(pages.where(F.get_json_object("payload", "$.products[0]").isNotNull()), told, ["site"])
+    key = F.to_json(F.struct("site", "page"))
+    rows = vtex(read.select(key.alias("site"), "base_url", "page", F.get_json_object("payload", "$.products").alias("payload")))
+    rows = rows.withColumn("told", F.from_json("site", "site string, page int")).withColumns({"site": F.col("told.site"), "page": F.col("told.page")})
+    first = Window.partitionBy("site", "url").orderBy("page")
+    return rows.withColumn("k", F.row_number().over(first)).where("k = 1").select(*OUTPUT, "page")
+
+
 def tiendanube(pages: DataFrame) -> DataFrame:
     """Store API pages: first variant's price, first category, first values of the variants as sizes unless unique."""
     rows = pages.select("site", "base_url", "page", F.posexplode(F.from_json("payload", TIENDANUBE)).alias("place", "p"))
