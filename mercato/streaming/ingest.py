@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mercato.operators import upsert
+from mercato.sources.keyed_store import KeyedStore
 
 PRICE_STEP = 0.01
 
@@ -39,6 +40,11 @@ def upserts(stream: DataFrame, first: DataFrame, folder: str) -> DataStreamWrite
     return ingest(stream, apply, f"{folder}/state")
 
 
+def upserts_in_place(stream: DataFrame, store: KeyedStore, checkpoint: str) -> DataStreamWriter:
+    """Writer that upserts every micro-batch into the buckets of ``store`` that it touches; a batch that comes again changes nothing."""
+    return ingest(stream, lambda batch, _: store.upsert(batch), checkpoint)
+
+
 def latest(first: DataFrame, folder: str, batches: int) -> DataFrame:
     """The catalog after so many micro-batches of ``upserts``."""
     return first.sparkSession.read.schema(first.schema).parquet(f"{folder}/snapshot/{batches - 1}") if batches else first
