@@ -24,51 +24,99 @@ TERM = "[a-zA-ZáéíóúñÁÉÍÓÚÑ]+"
 def similar_pairs(catalog: DataFrame, least: float = JACCARD) -> DataFrame:
     """``left, right, similarity`` of rows with one identity from different sites, word sets at least ``least`` alike.
 
-    An equi-join on identity; AQE splits identities that very many rows share.
+    Different word sets are paired once each, by the rare words that they share; their rows follow by a join.
     """
-    words = F.array_distinct(significant_words(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name")))
+    words = F.array_sort(F.array_distinct(significant_words(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name"))))
     rows = catalog.select("url", "site", identity(F.col("category"), F.col("brand"), F.col("name")).alias("key"), words.alias("words"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.url") < F.col("b.url")) & (F.col("a.site") != F.col("b.site")))
-    return pairs.select(F.col("a.url").alias("left"), F.col("b.url").alias("right"), jaccard(F.col("a.words"), F.col("b.words")).alias("similarity")).where(F.col("similarity") >= least)
-
-
-def _seed_groups(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy groups of one identity: the first free row is a seed and takes all later rows of other sites that are like it."""
-    rows = rows.sort_values("seq").reset_index(drop=True)
-    words, sites = [set(w) for w in rows["words"]], rows["site"].tolist()
-    seed = [-1] * len(rows)
-    free = list(range(len(rows)))
-    while free:
-        first, rest = free[0], []
-        seed[first] = first
-        for j in free[1:]:
-            both = len(words[first] & words[j])
-            all_ = len(words[first]) + len(words[j]) - both
-            alike = both / all_ if all_ else 1.0
-            if sites[j] != sites[first] and alike >= JACCARD:
-                seed[j] = first
-            else:
-                rest.append(j)
-        free = rest
-    return pd.DataFrame({"url": rows["url"], "group_url": [rows["url"][s] for s in seed]})
+    rows = rows.withColumn("set_id", F.md5(F.concat_ws(" ", "words")))
+    sets = rows.groupBy("key", "set_id").agg(F.first("words").alias("words"))
+    alike = alike_sets(sets, least).unionByName(sets.select("key", F.col("set_id").alias("a"), F.col("set_id").alias("b")))
+    of = lambda c: rows.select("key", F.col("set_id").alias(c), F.struct("url", "site", "words").alias(f"{c}_row"))
+    pairs = alike.join(of("a"), ["key", "a"]).join(of("b"), ["key", "b"]).where((F.col("a_row.site") != F.col("b_row.site")) & ((F.col("a") != F.col("b")) | (F.col("a_row.url") < F.col("b_row.url"))))
+    return pairs.select(F.least("a_row.url", "b_row.url").alias("left"), F.greatest("a_row.url", "b_row.url").alias("right"), jaccard(F.col("a_row.words"), F.col("b_row.words")).alias("similarity"))
+
+
+def alike_sets(sets: DataFrame, least: float = JACCARD) -> DataFrame:
+    """``key, a, b``: pairs a < b of different word sets ``(key, set_id, words)`` of one key that are at least ``least`` alike.
+
+    Two such sets share one of the rarest words of either, as many as a set can lack and still be alike (the
+    prefix filter), and their sizes differ by no more than ``least`` allows. So only sets that share a rare word meet.
+    """
+    each = sets.select("key", "set_id", F.size("words").alias("m"), F.explode("words").alias("word"))
+    often = each.groupBy("key", "word").agg(F.count("*").alias("n"))
+    ranked = each.join(often, ["key", "word"]).groupBy("key", "set_id", "m").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
+    rare = F.slice("ranked", 1, (F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1).cast("int"))
+    seeds = ranked.select("key", "set_id", "m", F.explode(rare).alias("r")).select("key", F.col("r.word").alias("word"), "set_id", "m")
+    x, y = seeds.alias("x"), seeds.alias("y")
+    near = (F.col("x.m") >= F.col("y.m") * least - 1e-9) & (F.col("y.m") >= F.col("x.m") * least - 1e-9)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.set_id") < F.col("y.set_id")) & near)
+    met = met.select(F.col("x.key").alias("key"), F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+    words = lambda c: sets.select("key", F.col("set_id").alias(c), F.col("words").alias(f"{c}_words"))
+    return met.join(words("a"), ["key", "a"]).join(words("b"), ["key", "b"]).where(jaccard(F.col("a_words"), F.col("b_words")) >= least).select("key", "a", "b")
+
+
+def _first_two(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``first, first_site, second, second_site``: the least ``o`` and the least of another site, of ``rows(site, o)``."""
+    sites = rows.groupBy(*by, "site").agg(F.min("o").alias("o"))
+    ranked = sites.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("o", "site"))).where("k <= 2")
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    return ranked.groupBy(*by).agg(at(1, "o").alias("first"), at(1, "site").alias("first_site"), at(2, "o").alias("second"), at(2, "site").alias("second_site"))
+
+
+def _nearest(nodes: DataFrame, of: DataFrame, alike: DataFrame, to: str) -> DataFrame:
+    """``nodes`` with the least ``o`` in ``of`` of an alike set and another site.
+
+    Sets pass on their two least of different sites only, so the join has some rows for each pair of sets, however many sites there are.
+    """
+    own = _first_two(of, ["key", "set_id"])
+    told = F.array_compact(F.array(F.struct(F.col("first_site").alias("site"), F.col("first").alias("o")), F.when(F.col("second").isNotNull(), F.struct(F.col("second_site").alias("site"), F.col("second").alias("o")))))
+    met = alike.join(own.select("key", F.col("set_id").alias("a"), F.explode(told).alias("t")), ["key", "a"])
+    around = _first_two(met.select("key", F.col("b").alias("set_id"), "t.*"), ["key", "set_id"])
+    joined = nodes.join(around, ["key", "set_id"], "left")
+    return joined.select(*nodes.columns, F.when(F.col("first_site") != F.col("site"), F.col("first")).otherwise(F.col("second")).alias(to))
+
 
+def product_groups(catalog: DataFrame, least: float = JACCARD, most_rounds: int = 100) -> DataFrame:
+    """``url, group_url``: rows of one identity by greedy likeness to a seed, in catalog order (seq, then url).
 
-def product_groups(catalog: DataFrame) -> DataFrame:
-    """``url, group_url``: rows of one identity by greedy likeness to a seed, in catalog order (seq). Parallel by identity.
+    The rule is sequential: the first free row is a seed and takes all later free rows of other sites that are
+    ``least`` alike. Here it is followed in parallel rounds: a row is taken once an earlier row like
+    it is a seed, and becomes a seed once no earlier row like it is open. Nothing but pairs of
+    different word sets is ever joined, so an identity that very many rows share is dealt to many tasks.
 
-    Only the first row of each word set and site goes to the greedy step. Later rows of the same
+    Only the first row of each word set and site takes part. Later rows of the same
     words and site share its fate exactly: where it joined a seed they join the same one; where it is
     a seed, nothing else can take them, so that each is a group of its own.
     """
     words = F.array_sort(F.array_distinct(significant_words(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name"))))
-    rows = catalog.select("url", F.coalesce("site", F.lit("")).alias("site"), "seq", identity(F.col("category"), F.col("brand"), F.col("name")).alias("key"), words.alias("words"))
-    same = ["key", "words", "site"]
-    firsts = rows.groupBy(*same).agg(F.min_by("url", "seq").alias("first_url"), F.min("seq").alias("seq"))
-    seeded = firsts.withColumnRenamed("first_url", "url").groupBy("key").applyInPandas(_seed_groups, "url string, group_url string")
-    joined = rows.join(firsts.select(*same, "first_url"), same).join(seeded.withColumnRenamed("url", "first_url"), "first_url")
-    alone = (F.col("url") != F.col("first_url")) & (F.col("group_url") == F.col("first_url"))
-    return joined.select("url", F.when(alone, F.col("url")).otherwise(F.col("group_url")).alias("group_url"))
+    rows = catalog.select("url", F.coalesce("site", F.lit("")).alias("site"), F.struct("seq", "url").alias("o"), identity(F.col("category"), F.col("brand"), F.col("name")).alias("key"), words.alias("words"))
+    rows = rows.withColumn("set_id", F.md5(F.concat_ws(" ", "words")))
+    same = ["key", "set_id", "site"]
+    firsts = graph.cut(rows.groupBy(*same).agg(F.min("o").alias("o"), F.first("words").alias("words")))
+    sets = firsts.groupBy("key", "set_id").agg(F.first("words").alias("words"))
+    pairs = alike_sets(sets, least)
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    alike = pairs.select("key", both.alias("p")).select("key", "p.*").unionByName(sets.select("key", F.col("set_id").alias("a"), F.col("set_id").alias("b")))
+    alike = graph.cut(alike)
+    seeds, open_ = None, firsts.select(*same, "o")
+    for _ in range(most_rounds):
+        judged = _nearest(open_, open_, alike, "open")
+        judged = _nearest(judged, seeds, alike, "seed") if seeds is not None else judged.withColumn("seed", F.lit(None).cast(open_.schema["o"].dataType))
+        taken = F.coalesce(F.col("seed") < F.col("o"), F.lit(False))
+        free = F.coalesce(F.col("open") > F.col("o"), F.lit(True))
+        judged = graph.cut(judged.select(*same, "o", taken.alias("taken"), (~taken & free).alias("is_seed")))
+        new = judged.where("is_seed").select(*same, "o")
+        seeds = new if seeds is None else seeds.unionByName(new)
+        open_ = judged.where("not taken and not is_seed").select(*same, "o")
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
+    seeds = graph.cut(seeds)
+    found = _nearest(firsts.select(*same, "o"), seeds, alike, "seed").join(seeds.select(*same, F.lit(True).alias("is_seed")), same, "left")
+    fate = found.select(*same, F.col("o").alias("first"), F.when(F.col("is_seed"), F.col("o")).otherwise(F.col("seed")).alias("group"))
+    alone = (F.col("o") != F.col("first")) & (F.col("group") == F.col("first"))
+    return rows.join(fate, same).select("url", F.when(alone, F.col("url")).otherwise(F.col("group.url")).alias("group_url"))
 
 
 def group_prices(catalog: DataFrame, groups: DataFrame, several_sites: bool = True) -> DataFrame:

@@ -113,16 +113,29 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "similar_pairs",
-    f"""WITH {CATALOG_SQL}, r AS (SELECT url, site, {_identity_sql("'x'", "'' || (seq % 400)", "name")} AS key, list_distinct({_WORDS_SQL % "coalesce('' || (seq % 400), '') || ' ' || name"}) AS words FROM catalog),
+    f"""WITH {CATALOG_SQL}, r AS (SELECT url, site, {_identity_sql("category", "brand", "name")} AS key, list_distinct({_WORDS_SQL % "coalesce(brand, '') || ' ' || name"}) AS words FROM catalog),
     p AS (SELECT a.url AS left_url, b.url AS right_url, CASE WHEN len(a.words) + len(b.words) = 0 THEN 1e0 ELSE len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) END AS s FROM r a JOIN r b ON a.key = b.key AND a.url < b.url AND a.site <> b.site)
     SELECT left_url, right_url, floor(s * 10000 + 0.500001) / 10000 AS similarity FROM p WHERE s >= 0.55""",
 )
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog(spark, sf_dir).withColumns({"category": F.lit("x"), "brand": (F.col("seq") % 400).cast("string")})
-    return _rounded(similarity.similar_pairs(rows).withColumnsRenamed({"left": "left_url", "right": "right_url"}))
+    return _rounded(similarity.similar_pairs(catalog(spark, sf_dir)).withColumnsRenamed({"left": "left_url", "right": "right_url"}))
 
 
-@register("product_groups")
+_LIKE = "CASE WHEN len({0}) + len({1}) = 0 THEN 1e0 ELSE len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END >= 0.55"
+
+
+@register(
+    "product_groups",
+    f"""WITH RECURSIVE {CATALOG_SQL}, r AS (SELECT seq, url, site, price, name, {_identity_sql("category", "brand", "name")} AS key, list_distinct({_WORDS_SQL % "coalesce(brand, '') || ' ' || name"}) AS words FROM catalog),
+    n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM r), walk AS (
+        SELECT key, k, [{{'url': url, 'site': site, 'words': words, 'k': k}}] AS seeds FROM n WHERE k = 1 UNION ALL
+        SELECT n.key, n.k, CASE WHEN len(list_filter(w.seeds, lambda s: s.site <> n.site AND {_LIKE.format("s.words", "n.words")})) > 0 THEN w.seeds ELSE list_append(w.seeds, {{'url': n.url, 'site': n.site, 'words': n.words, 'k': n.k}}) END
+        FROM walk w JOIN n ON n.key = w.key AND n.k = w.k + 1),
+    ends AS (SELECT key, arg_max(seeds, k) AS seeds FROM walk GROUP BY key),
+    g AS (SELECT n.*, coalesce(list_filter(seeds, lambda s: s.k < n.k AND s.site <> n.site AND {_LIKE.format("s.words", "n.words")})[1].url, n.url) AS group_url FROM n JOIN ends USING (key))
+    SELECT group_url, count(*) AS n, count(DISTINCT site) AS sites, min(price) AS low, max(price) AS high, arg_min(name, (length(name), price, url)) AS name, CASE WHEN max(price) > 0 THEN (max(price) - min(price)) / max(price) * 100 ELSE 0e0 END AS saving_pct
+    FROM g GROUP BY group_url HAVING count(DISTINCT site) >= 2""",
+)
 def product_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog(spark, sf_dir)
     return similarity.group_prices(rows, similarity.product_groups(rows), several_sites=True)

@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from mercato.functions.text import identity, significant_words
 from mercato.operators import history, optimize, ranking, search, similarity, stats, upsert
 from mercato.operators.search import CatalogFilter
 
@@ -240,6 +241,36 @@ def test_groups_equal_the_naive_greedy_rule(spark, seed):
     assert {r.url: r.group_url for r in similarity.product_groups(df).collect()} == naive
 
 
+def test_groups_of_one_identity_that_all_rows_share(spark):
+    """Chains of likeness, repeated sets and many sites within one identity; the naive rule works on different sets and sites."""
+    rng = random.Random(9)
+    head, pool = "alpha bravo carbon delta echo", [f"word{k}" for k in range(40)]
+    names = [" ".join([head, *rng.sample(pool, rng.randint(1, 6))]) for _ in range(150)]
+    rows = [(f"u{k}", k, f"s{rng.randint(0, 60)}", "Cat", "", rng.choice(names)) for k in range(20_000)]
+    seeds, want = [], {}
+    for url, _, site, *_, name in rows:
+        a = set(name.split())
+        want[url] = next((u for u, s, b in seeds if s != site and len(a & b) / len(a | b) >= similarity.JACCARD), None) or url
+        if want[url] == url:
+            seeds.append((url, site, a))
+    df = spark.createDataFrame(rows, "url string, seq long, site string, category string, brand string, name string").repartition(4)
+    groups = similarity.product_groups(df)
+    assert {r.url: r.group_url for r in groups.collect()} == want
+    assert "Pandas" not in groups._jdf.queryExecution().toString()
+    assert similarity.product_groups(df.limit(0)).count() == 0
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(f"u{k}", f"s{rng.randint(0, 3)}", "Cat", None, " ".join(rng.sample(["red", "blue", "shoe", "long", "tall", "and", "38"], rng.randint(0, 6)))) for k in range(120)]
+    df = spark.createDataFrame(rows, "url string, site string, category string, brand string, name string")
+    words = significant_words(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name"))
+    told = df.select("url", "site", identity(F.col("category"), F.col("brand"), F.col("name")).alias("key"), words.alias("words")).collect()
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = {(*sorted((x.url, y.url)), share(set(x.words), set(y.words))) for x, y in itertools.combinations(told, 2) if x.key == y.key and x.site != y.site}
+    assert {tuple(r) for r in similarity.similar_pairs(df).collect()} == {x for x in want if x[2] >= similarity.JACCARD}
+
+
 def test_cluster_blocks_follow_the_greedy_rule(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(20)]
