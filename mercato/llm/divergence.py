@@ -12,7 +12,7 @@ Shares p and q are integers: 1 + floor(10^9 (n + 1) / (N + V)), n being the term
 terms there and V the number of kept terms. A term's divergence is floor((p - q)^2 / q). The sum over all
 kept terms for a pair of sources needs postings only: terms that neither source holds all add the same, those
 that one of them holds follow from how often each number of occurrences comes up there, and only those that both
-hold are paired, counted by their two numbers of occurrences. So a term costs the square
+hold are paired. So a term costs the square
 of the number of sources that hold it, as the result itself has a row for each pair of sources.
 
 Null text, lang and source count as ''. Empty texts make their group occur but add no term. Repeated rows
@@ -48,8 +48,8 @@ _DELIMITERS = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 _PLAIN = bytes(32 if _DELIMITERS.match(bytes([b])) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def terms(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+def terms(text: bytes) -> list[bytes]:
+    return text.translate(_PLAIN).split()
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for rows in slices(batches):
-            for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True):
+            for lang, text in zip(rows["lang"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), strict=True):
                 words = terms(text)
                 docs, times = held[lang]
                 docs.update(set(words))
@@ -104,7 +104,7 @@ def _deal(shards: dict[str, int], tasks: dict[tuple[str, int], int]):
         places = {lang: Places(n) for lang, n in shards.items()}
         for rows in slices(batches):
             texts: dict[tuple[str, str], list[bytes]] = defaultdict(list)
-            for lang, source, text in zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["text"].to_pylist(), strict=True):
+            for lang, source, text in zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), strict=True):
                 if lang in shards:
                     texts[lang, source] += terms(text)
             out = []
@@ -218,29 +218,23 @@ def _pairs(groups: DataFrame, often: DataFrame, posted: DataFrame) -> DataFrame:
     alone = counted.join(zeros, "lang").where("source <> other")
     first = alone.select("lang", "source", F.col("other").alias("item"), (far(F.col("p"), F.col("zero")) * F.col("m")).alias("value"))
     second = alone.select("lang", F.col("other").alias("source"), F.col("source").alias("item"), (far(F.col("zero"), F.col("p")) * F.col("m")).alias("value"))
-    # Terms that both hold, counted by how often each does: far fewer rows than pairs of postings.
-    a = posted.select("lang", "posts", F.explode("posts").alias("a"))
-    both = a.select("lang", "a", F.explode(F.filter("posts", lambda x: x["source"] > F.col("a.source"))).alias("b"))
-    both = both.groupBy("lang", F.col("a.source").alias("a"), F.col("b.source").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).agg(F.count("*").alias("m"))
-    kinds = [groups.select("lang", F.col("source").alias(x), share_inputs(x)) for x in "ab"]
-    both = both.join(small(kinds[0]), ["lang", "a"]).join(small(kinds[1]), ["lang", "b"])
-    pa_, pb = (share(F.col(f"{x}n"), F.col(f"{x}_in.total"), F.col(f"{x}_in.kept")) for x in "ab")
-    both = both.select("lang", "a", "b", "m", pa_.alias("pa"), pb.alias("pb"), F.col("a_in.none").alias("a0"), F.col("b_in.none").alias("b0"))
-
-    def extra(p: str, p0: str, q: str, q0: str) -> Column:
-        p, p0, q, q0 = map(F.col, (p, p0, q, q0))
-        return F.sum((far(p, q) - far(p, q0) - far(p0, q) + far(p0, q0)) * F.col("m"))
-
-    both = both.groupBy("lang", "a", "b").agg(extra("pa", "a0", "pb", "b0").alias("ab"), extra("pb", "b0", "pa", "a0").alias("ba"))
+    # Terms that both hold: their shares are found once a posting, and pairs are summed where they arise.
+    shared = posted.where(F.size("posts") > 1).select("lang", "term", F.explode("posts").alias("post")).select("lang", "term", "post.*")
+    shared = shared.join(small(groups), ["lang", "source"]).select("lang", "term", F.struct("source", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), F.col("none").alias("p0")).alias("post"))
+    lists = shared.groupBy("lang", "term").agg(F.collect_list("post").alias("posts"))
+    both = lists.select("lang", "posts", F.explode("posts").alias("a"))
+    both = both.select("lang", "a", F.explode(F.filter("posts", lambda x: x["source"] > F.col("a.source"))).alias("b"))
+
+    def extra(one: str, other: str) -> Column:
+        p, p0, q, q0 = (F.col(x) for x in (f"{one}.p", f"{one}.p0", f"{other}.p", f"{other}.p0"))
+        return F.sum(far(p, q) - far(p, q0) - far(p0, q) + far(p0, q0))
+
+    both = both.groupBy("lang", F.col("a.source").alias("one"), F.col("b.source").alias("other")).agg(extra("a", "b").alias("ab"), extra("b", "a").alias("ba")).withColumnsRenamed({"one": "a", "other": "b"})
     both = both.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item"), F.col("ab").alias("value")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"), F.col("ba").alias("value")))).alias("row")).select("lang", "row.*")
     summed = neither.unionByName(first).unionByName(second).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return summed.withColumn("value", F.coalesce("value", F.lit(0).cast("long")))
 
 
-def share_inputs(side: str) -> Column:
-    return F.struct("total", "kept", "none").alias(f"{side}_in")
-
-
 def _terms(groups: DataFrame, each: DataFrame, best: int) -> DataFrame:
     """The terms that a source holds more than its language does, ranked."""
     whole = small(groups.groupBy("lang").agg(F.sum("total").alias("whole")))
