@@ -52,8 +52,8 @@ SMALL, MANY = 512, 8
 FAMILY_BYTES = 16_000_000
 #: Buckets of more nodes than this are hot.
 BUCKET = 8192
-#: Rows of many buckets that a Python call gets at once, and nodes that are dealt at once.
-CALL_ROWS, NODES = 1_000_000, 4000
+#: Rows of many buckets that a Python call gets at once, and nodes that are dealt at once: some 110 and 70 MB at work.
+CALL_ROWS, NODES = 500_000, 2000
 #: Most ids, some 30 bytes each in memory, that are broadcast to find the texts to check; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 #: One node in so many is sampled for hot buckets; these are kept in a bitmap of so many bits.
