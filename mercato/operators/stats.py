@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mercato.operators.graph import cut
+from mercato.operators.percentiles import MOST_VALUES, large_groups, percentiles, weighted
+
 LEAST_SAMPLE = 3
 #: Width of a bin of the mode: a fifth of the interquartile range, but not less than this.
 LEAST_BIN = 5000
@@ -18,32 +21,43 @@ def _counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.select(*keys, F.col(value).alias("v")).where("v > 0").groupBy(*keys, "v").agg(F.count("*").alias("c"))
 
 
-def price_stats(rows: DataFrame, keys: list[str], value: str, least_bin: int = LEAST_BIN) -> DataFrame:
+def price_stats(rows: DataFrame, keys: list[str], value: str, least_bin: int = LEAST_BIN, most_values: int = MOST_VALUES) -> DataFrame:
     """n, mean, median, q1, q3, iqr, mode, std, mad, cv and Tukey fences of the values above zero.
 
-    Works on one row for each different value of a group, with its count: a group that holds a third
-    of all rows has no more of those than it has prices. Three aggregations over these: moments and
-    quartiles, then the distances from mean and median, then the fullest bin and its median.
+    Works on one row for each different value of a group, with its count, which is written once: a group
+    that holds a third of all rows has no more of those than it has prices. Three aggregations over these:
+    moments and quartiles, then the distances from mean and median, then the fullest bin and its median.
+    Medians of groups with more than ``most_values`` prices are found by rounds (``percentiles``).
     """
-    counted = _counted(rows, keys, value)
-    middle = lambda v, at=0.5: F.percentile(v, F.lit(at), F.col("c"))
+    counted = cut(_counted(rows, keys, value))
+    plain = large_groups(counted, keys, most_values).isEmpty()  # then no bin and no set of distances is larger either
+    middle = lambda v, at=0.5: weighted(v, at, F.col("c"))
     mean = F.sum(F.col("v") * F.col("c")) / F.sum("c")
-    base = counted.groupBy(*keys).agg(
-        F.sum("c").alias("n"),
-        F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(mean).alias("mean"),
-        middle("v").alias("median"),
-        middle("v", 0.25).alias("q1"),
-        middle("v", 0.75).alias("q3"),
-    )
+    moments = [F.sum("c").alias("n"), F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(mean).alias("mean")]
+    quartiles = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+    base = counted.groupBy(*keys).agg(*moments, *([middle("v", p).alias(name) for name, p in quartiles.items()] if plain else []))
+    if not plain:
+        base = cut(base.join(percentiles(counted, keys, quartiles, most_values), keys))
     base = base.withColumn("iqr", F.col("q3") - F.col("q1"))
     seen = counted.join(base.select(*keys, "mean", "median", "iqr"), keys)
     apart = F.col("v") - F.col("mean")
-    mad = seen.groupBy(*keys).agg(middle(F.abs(F.col("v") - F.col("median"))).alias("mad"), F.sqrt(F.sum(apart * apart * F.col("c")) / F.sum("c")).alias("std"))
+    distance = F.abs(F.col("v") - F.col("median"))
+    spread = F.sqrt(F.sum(apart * apart * F.col("c")) / F.sum("c")).alias("std")
     width = F.when(F.col("iqr") > 0, F.greatest(F.lit(least_bin), F.floor(F.col("iqr") / 5))).otherwise(least_bin)
-    bins = seen.withColumn("bin", F.floor(F.col("v") / width)).groupBy(*keys, "bin").agg(F.sum("c").alias("n_bin"), middle("v").alias("mode"))
+    binned = seen.withColumn("bin", F.floor(F.col("v") / width))
+    if plain:
+        mad = seen.groupBy(*keys).agg(middle(distance).alias("mad"), spread)
+        bins = binned.groupBy(*keys, "bin").agg(F.sum("c").alias("n_bin"), middle("v").alias("mode"))
+    else:
+        distances = seen.groupBy(*keys, distance.alias("v")).agg(F.sum("c").alias("c"))
+        mad = seen.groupBy(*keys).agg(spread).join(percentiles(distances, keys, {"mad": 0.5}, most_values), keys)
+        bins = binned.groupBy(*keys, "bin").agg(F.sum("c").alias("n_bin"))
     fullest = Window.partitionBy(*keys).orderBy(F.col("n_bin").desc(), "bin")
-    mode = bins.withColumn("k", F.row_number().over(fullest)).where("k = 1").select(*keys, "mode")
-    out = base.join(mad, keys).join(mode, keys)
+    mode = bins.withColumn("k", F.row_number().over(fullest)).where("k = 1").drop("k")
+    if not plain:
+        inside = binned.join(mode.select(*keys, "bin"), [*keys, "bin"]).select(*keys, "v", "c")
+        mode = percentiles(inside, keys, {"mode": 0.5}, most_values)
+    out = base.join(mad, keys).join(mode.select(*keys, "mode"), keys)
     return out.withColumns(
         {
             "cv": F.when(F.col("mean") > 0, F.col("std") / F.col("mean") * 100).otherwise(0.0),

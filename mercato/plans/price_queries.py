@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mercato.functions import prices
 from mercato.operators import history as hist
 from mercato.operators import stats
+from mercato.operators.percentiles import percentiles
 from mercato.plans.adapter import CATALOG_SQL, HISTORY_SQL, catalog, history
 
 QUERIES: dict = {}
@@ -68,6 +69,21 @@ def price_stats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.price_stats(lines, ["grp"], "v", BIN))
 
 
+#: Different prices that a task may hold: little, so that the small test tables take rounds too.
+_HELD = 500
+
+
+@register(
+    "price_quartiles",
+    "SELECT l_returnflag, l_linestatus, floor(quantile_cont(v, 0.25) * 10000 + 0.500001) / 10000 AS q1, floor(quantile_cont(v, 0.5) * 10000 + 0.500001) / 10000 AS median, floor(quantile_cont(v, 0.75) * 10000 + 0.500001) / 10000 AS q3, floor(quantile_cont(v, 0.99) * 10000 + 0.500001) / 10000 AS p99 FROM (SELECT l_returnflag, l_linestatus, l_extendedprice / l_quantity AS v FROM lineitem) GROUP BY ALL",
+)
+def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few groups with nearly unique prices each."""
+    keys = ["l_returnflag", "l_linestatus"]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(*keys, (F.col("l_extendedprice") / F.col("l_quantity")).alias("v")).agg(F.count("*").alias("c"))
+    return _rounded(percentiles(lines, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}, _HELD))
+
+
 _SCORED = f"""{_stats_sql(_CATEGORY, 'grp')},
     x AS (SELECT c.url, c.grp, c.v, rank() OVER (PARTITION BY c.grp ORDER BY c.v) - 1 AS below, stats.* EXCLUDE (grp) FROM ({_CATEGORY}) c JOIN stats USING (grp) WHERE c.v > 0),
     y AS (SELECT *, CASE WHEN n < 2 THEN 50 ELSE CAST(floor(100 * below / n) AS INT) END AS percentile, CASE WHEN n < 3 OR std = 0 THEN 0 ELSE (v - mean) / std END AS z FROM x),
