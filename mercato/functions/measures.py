@@ -14,7 +14,7 @@ COUNT = dict.fromkeys("capsulas capsula caps cap comprimidos comprimido tabletas
 DOSE = {"mg": 0.0}  # never a package size
 
 _UNITS = sorted([*MASS, *VOLUME, *COUNT, *DOSE], key=lambda u: (-len(u), u))
-_MEASURE = rf"(\d+(?:[.,]\d+)?)\s*({'|'.join(_UNITS)})\b"
+MEASURE = rf"(\d+(?:[.,]\d+)?)\s*({'|'.join(_UNITS)})\b"
 
 
 def _number(raw: Column) -> Column:
@@ -27,7 +27,7 @@ def _number(raw: Column) -> Column:
 def package(name: Column) -> Column:
     """struct<family, amount>: the largest size named; a count beats a mass, a mass a volume."""
     text = fold(name)
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(_MEASURE), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(_MEASURE), F.lit(2)).alias("u"))
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(MEASURE), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(MEASURE), F.lit(2)).alias("u"))
 
     def largest(units: dict[str, float]) -> Column:
         table = F.create_map(*[F.lit(x) for pair in units.items() for x in pair])

@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.functions.measures import package
-from mercato.functions.text import STOP_WORDS, identity
+from mercato.functions import measures
+from mercato.functions.text import ACCENTED, PLAIN, STOP_WORDS, identity
 from mercato.operators import optimize, similarity, upsert
 from mercato.plans.adapter import CATALOG_SQL, HISTORY_SQL, catalog, history
 from mercato.plans.price_queries import _rounded
@@ -188,17 +188,25 @@ def nearest_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(similarity.against_prototypes(vectors, prototypes, 0.2, 0.01).withColumn("label", F.coalesce("label", F.lit(-1))))
 
 
+_PACKAGE_UNITS = [" g", " kg", " ml", " capsulas", " mg", " lb"]
+_FACTORS = {family: ", ".join(f"'{u}': {x}e0" for u, x in units.items()) for family, units in (("count", measures.COUNT), ("mass", measures.MASS), ("volume", measures.VOLUME))}
+_AMOUNT = "max(n * coalesce(element_at(MAP {{{0}}}, u)[1], 0e0))"
+
+
 @register(
     "package_sizes",
-    """WITH n AS (SELECT doc_id, strip_accents(lower(left(text, 20))) || ' ' || (doc_id % 900 + 1) || CASE doc_id % 6 WHEN 0 THEN ' g' WHEN 1 THEN ' kg' WHEN 2 THEN ' ml' WHEN 3 THEN ' capsulas' WHEN 4 THEN ' mg' ELSE ' lb' END || CASE WHEN doc_id % 4 = 0 THEN ' x 60 caps' ELSE '' END AS name, doc_id % 900 + 1 AS q FROM documents)
-    SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 6 = 3 THEN 'count' WHEN doc_id % 6 IN (0, 1, 5) THEN 'mass' WHEN doc_id % 6 = 2 THEN 'volume' ELSE 'unknown' END AS family,
-      CAST(CASE WHEN doc_id % 4 = 0 THEN greatest(60, CASE WHEN doc_id % 6 = 3 THEN q ELSE 0 END) WHEN doc_id % 6 = 3 THEN q WHEN doc_id % 6 = 0 THEN q WHEN doc_id % 6 = 1 THEN q * 1000 WHEN doc_id % 6 = 2 THEN q WHEN doc_id % 6 = 5 THEN q * 453.592e0 ELSE 0 END AS DOUBLE) AS amount FROM n""",
+    f"""WITH t AS (SELECT doc_id, translate(lower(coalesce(text, '') || ' ' || (n_chars % 900 + 1) || [{", ".join(repr(u) for u in _PACKAGE_UNITS)}][CAST(n_chars % 6 AS INT) + 1] || CASE WHEN n_chars % 4 = 0 THEN ' x 60 caps' ELSE '' END), '{ACCENTED}', '{PLAIN}') AS t FROM documents),
+    m AS (SELECT doc_id, unnest(regexp_extract_all(t, '{measures.MEASURE}', 1)) AS raw, unnest(regexp_extract_all(t, '{measures.MEASURE}', 2)) AS u FROM t),
+    p AS (SELECT doc_id, u, replace(raw, ',', '.') AS raw FROM m), q AS (SELECT doc_id, u, TRY_CAST(CASE WHEN regexp_full_match(raw, '\\d+\\.\\d{{3}}') AND NOT starts_with(raw, '0.') THEN replace(raw, '.', '') ELSE raw END AS DOUBLE) AS n FROM p),
+    s AS (SELECT doc_id, {", ".join(f"{_AMOUNT.format(x)} AS {family}_" for family, x in _FACTORS.items())} FROM q GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN count_ > 0 THEN 'count' WHEN mass_ > 0 THEN 'mass' WHEN volume_ > 0 THEN 'volume' ELSE 'unknown' END AS family, CASE WHEN count_ > 0 THEN count_ WHEN mass_ > 0 THEN mass_ WHEN volume_ > 0 THEN volume_ ELSE 0e0 END AS amount FROM documents LEFT JOIN s USING (doc_id)""",
 )
 def package_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes named in whole texts, to each of which one more is added that follows from its length."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    unit = F.element_at(F.array(*map(F.lit, [" g", " kg", " ml", " capsulas", " mg", " lb"])), (F.col("doc_id") % 6 + 1).cast("int"))
-    name = F.concat(F.lit("Suplemento "), (F.col("doc_id") % 900 + 1).cast("string"), unit, F.when(F.col("doc_id") % 4 == 0, " x 60 caps").otherwise(""))
-    return docs.select("doc_id", package(name).alias("p")).select("doc_id", "p.family", "p.amount")
+    unit = F.element_at(F.array(*map(F.lit, _PACKAGE_UNITS)), (F.col("n_chars") % 6 + 1).cast("int"))
+    more = F.concat(F.lit(" "), (F.col("n_chars") % 900 + 1).cast("string"), unit, F.when(F.col("n_chars") % 4 == 0, " x 60 caps").otherwise(""))
+    return docs.select("doc_id", measures.package(F.concat(F.coalesce("text", F.lit("")), more)).alias("p")).select("doc_id", "p.family", "p.amount")
 
 
 _SLOTS = "CASE seq % 3 WHEN 0 THEN 'torso' WHEN 1 THEN 'legs' ELSE 'feet' END"

@@ -6,10 +6,14 @@ of shop 0 is a short one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.session import shared_folder
 from mercato.sources import feeds, sinks
+from mercato.sources.feed_store import FeedStore
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -188,3 +192,15 @@ def payload_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = """'{"scores":{"a":1},"tendencias":{}}'"""
     rows = _places(spark, sf_dir).selectExpr("k AS id", f"CASE WHEN k % 3 = 0 THEN 'junk' ELSE {good} END AS payload")
     return sinks.retain(rows.where("id % 3 = 1"), rows.where("id % 3 <> 1"), 10).select("id")
+
+
+_STORED = "site IN ('shop1', 'shop3', 'shop8') AND price BETWEEN 905 AND 990"
+
+
+@register("feed_stored_range", _sql("base_url || '/t' || k || '/p'", where=_STORED))
+def feed_stored_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed products of all sites stored once, then read for some sites and a price range."""
+    item = "named_struct('productName', name, 'linkText', 't' || k, 'categories', array('/x/' || type || '/'), 'items', array(named_struct('sellers', array(named_struct('commertialOffer', named_struct('Price', price, 'ListPrice', coalesce(high, price)))))))"
+    store = FeedStore(spark, f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}")
+    store.put(feeds.vtex(_pages(spark, sf_dir, item, "to_json(items)")))
+    return store.read(["shop1", "shop3", "shop8"], 905.0, 990.0).select(*_OUT)

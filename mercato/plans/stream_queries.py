@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mercato.plans.adapter import CATALOG, CATALOG_SQL, catalog
 from mercato.session import shared_folder
-from mercato.streaming import ingest
+from mercato.streaming import deadlines, ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,3 +85,18 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["stream_upserts"] = stream_upserts
 ORACLES["stream_upserts"] = f"""WITH {CATALOG_SQL}, r AS (SELECT *, seq % 3 = 0 AS hit, seq % 4 <> 3 AS old, CASE WHEN seq % 4 <> 3 AND seq % 10 = 1 THEN 'human' END AS locked_by FROM catalog WHERE seq % 3 = 0 OR seq % 4 <> 3)
     SELECT url, site, name, CASE WHEN hit THEN price + 5 ELSE price END AS price, CASE WHEN hit AND locked_by IS NULL THEN 'new' ELSE category END AS category, CASE WHEN NOT hit THEN fit WHEN seq % 2 = 1 THEN 'wide' WHEN old THEN fit ELSE '' END AS fit, hit OR active AS active, locked_by FROM r"""
+
+
+def stream_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("site"), "ts")
+    found = _to_the_end(deadlines.closed(rows, silence_s=12 * 3600, most_s=48 * 3600, lateness="1 hour"), "append")
+    return found.select("site", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("opened", "last_seen", "closed_at")], "n", "reason")
+
+
+QUERIES["stream_deadlines"] = stream_deadlines
+ORACLES["stream_deadlines"] = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS site, CAST(ts AS TIMESTAMP) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    r AS (SELECT site, i, ts, ts AS opened, 1 AS n, false AS fresh FROM e WHERE i = 1 UNION ALL
+      SELECT e.site, e.i, e.ts, CASE WHEN e.ts >= least(r.ts + INTERVAL 12 HOUR, r.opened + INTERVAL 48 HOUR) THEN e.ts ELSE r.opened END, CASE WHEN e.ts >= least(r.ts + INTERVAL 12 HOUR, r.opened + INTERVAL 48 HOUR) THEN 1 ELSE r.n + 1 END, e.ts >= least(r.ts + INTERVAL 12 HOUR, r.opened + INTERVAL 48 HOUR) FROM r JOIN e ON e.site = r.site AND e.i = r.i + 1),
+    s AS (SELECT *, coalesce(lead(fresh) OVER (PARTITION BY site ORDER BY i), true) AS ends, least(ts + INTERVAL 12 HOUR, opened + INTERVAL 48 HOUR) AS closed_at, lead(fresh) OVER (PARTITION BY site ORDER BY i) IS NULL AS is_last FROM r)
+    SELECT site, strftime(opened, '%Y-%m-%d %H:%M:%S.%f') AS opened, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS last_seen, strftime(closed_at, '%Y-%m-%d %H:%M:%S.%f') AS closed_at, n, CASE WHEN opened + INTERVAL 48 HOUR < ts + INTERVAL 12 HOUR THEN 'overdue' ELSE 'silent' END AS reason
+    FROM s WHERE ends AND (NOT is_last OR epoch_ms(closed_at) < (SELECT epoch_ms(max(ts)) FROM e) - 3600000)"""
