@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from mercato.functions import measures
 from mercato.functions.text import ACCENTED, PLAIN, STOP_WORDS, identity
-from mercato.operators import optimize, similarity, upsert
+from mercato.operators import history as hist
+from mercato.operators import optimize, similarity, stats, upsert
+from mercato.operators.graph import cut
 from mercato.plans.adapter import CATALOG_SQL, HISTORY_SQL, catalog, history
-from mercato.plans.price_queries import _rounded
+from mercato.plans.price_queries import _DISCOUNTS, _SCORED, _TRENDS, _priced, _rounded
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -161,18 +163,50 @@ def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.clusters(catalog(spark, sf_dir))
 
 
-@register(
-    "linked_clusters",
-    f"""WITH RECURSIVE raw AS (SELECT p_partkey AS seq, {_TERMS_SQL.replace("lower(text)", "lower(p_type || ' ' || p_brand || ' ' || p_name)")} AS ts FROM part), bag AS (SELECT seq, list_sort(ts) AS b FROM raw WHERE len(ts) > 0),
+def _clusters_sql(text: str, least: float) -> str:
+    """``seq, cluster`` of parts: the smallest label spreads over the cosine graph of different bags of terms."""
+    return f"""WITH RECURSIVE raw AS (SELECT p_partkey AS seq, {_TERMS_SQL.replace("lower(text)", f"lower({text})")} AS ts FROM part), bag AS (SELECT seq, list_sort(ts) AS b FROM raw WHERE len(ts) > 0),
     head AS (SELECT min(seq) AS seq, b FROM bag GROUP BY b), x AS (SELECT seq, unnest(ts) AS term FROM raw), tf AS (SELECT seq, term, count(*) AS f FROM x GROUP BY ALL),
     t AS (SELECT *, sum(f) OVER (PARTITION BY seq) AS total, count(*) OVER (PARTITION BY term) AS df FROM tf), w AS (SELECT seq, term, f / total * (ln(((SELECT count(*) FROM part) + 1) / (df + 1)) + 1) AS w FROM t JOIN head USING (seq)),
-    u AS (SELECT seq, term, w / sqrt(sum(w * w) OVER (PARTITION BY seq)) AS w FROM w), e AS (SELECT a.seq AS a, b.seq AS b FROM u a JOIN u b USING (term) WHERE a.seq <> b.seq GROUP BY ALL HAVING sum(a.w * b.w) > {_LINK}),
-    reach(a, b) AS (SELECT seq, seq FROM head UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), low AS (SELECT a AS seq, min(b) AS cluster FROM reach GROUP BY a)
-    SELECT raw.seq, coalesce(low.cluster, raw.seq) AS cluster FROM raw LEFT JOIN bag USING (seq) LEFT JOIN head ON bag.b = head.b LEFT JOIN low ON low.seq = head.seq""",
-)
-def linked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u AS (SELECT seq, term, w / sqrt(sum(w * w) OVER (PARTITION BY seq)) AS w FROM w), e AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b FROM u a JOIN u b USING (term) WHERE a.seq <> b.seq GROUP BY ALL HAVING sum(a.w * b.w) > {least}),
+    low(a, c) USING KEY (a) AS (SELECT seq, seq FROM head UNION SELECT e.b, min(n.c) FROM low n JOIN e ON e.a = n.a JOIN recurring.low o ON o.a = e.b WHERE n.c < o.c GROUP BY e.b)
+    SELECT raw.seq, coalesce(low.c, raw.seq) AS cluster FROM raw LEFT JOIN bag USING (seq) LEFT JOIN head ON bag.b = head.b LEFT JOIN low ON low.a = head.seq"""
+
+
+def _clusters(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("seq"), F.concat_ws(" ", "p_type", "p_brand", "p_name").alias("text"))
-    return similarity.linked_clusters(rows, "seq", "text", _LINK)
+    return similarity.linked_clusters(rows, "seq", "text", least)
+
+
+@register("linked_clusters", _clusters_sql("p_type || ' ' || p_brand || ' ' || p_name", similarity.COSINE))
+def linked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir, similarity.COSINE)
+
+
+@register("linked_clusters_near", _clusters_sql("p_type || ' ' || p_brand || ' ' || p_name", _LINK))
+def linked_clusters_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir, _LINK)
+
+
+@register(
+    "badges",
+    f"""WITH {CATALOG_SQL}, {_SCORED}, {_DISCOUNTS}, {_TRENDS}, linked AS (SELECT * FROM ({_clusters_sql("p_name", _LINK)})), sizes AS (SELECT cluster, count(*) AS size FROM linked GROUP BY cluster),
+    l AS (SELECT list(size ORDER BY size DESC) AS ordered, quantile_cont(size, 0.5) AS median, count(*) AS n FROM sizes), demand AS (SELECT 'p' || seq AS url, size >= (SELECT greatest(8, least(ordered[greatest(1, CAST(floor(n * 0.1) AS BIGINT))], 3 * median)) FROM l) AS high FROM linked JOIN sizes USING (cluster)),
+    j AS (SELECT s.url, composite, mz, cheap_outlier, dear_outlier, ratio, discount_pct, significant, demand.high AS high, coalesce(at_low, false) AS at_low, coalesce(t.trend, 'estable') AS tr FROM scored s JOIN disc USING (url) JOIN demand USING (url) LEFT JOIN trends t USING (url))
+    SELECT url, array_to_string(list_filter([CASE WHEN at_low AND composite <= 35 THEN 'all_time_low' END, CASE WHEN cheap_outlier OR (composite <= 20 AND mz <= -1.5) THEN 'below_market' END,
+      CASE WHEN ratio >= 1.2 AND ratio <= 3.5 AND discount_pct >= 20 AND composite <= 40 AND significant THEN 'verified_deal' END, CASE WHEN high AND composite <= 65 THEN 'trending' END,
+      CASE WHEN tr = 'bajando' AND composite <= 40 THEN 'price_dropping' END, CASE WHEN dear_outlier OR (composite >= 80 AND mz >= 1.5) THEN 'above_market' END, CASE WHEN ratio > 1 AND discount_pct < 12 THEN 'fake_discount' END], lambda x: x IS NOT NULL), ',') AS badges FROM j""",
+)
+def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand is high for names whose cluster of like names is large."""
+    scored = stats.discounts(stats.score(_priced(spark, sf_dir), ["grp"], "v")).drop("trend", "badges")
+    rows = scored.join(hist.trends(history(spark, sf_dir)).select("url", "trend", "at_low"), "url", "left")
+    linked = cut(similarity.linked_clusters(catalog(spark, sf_dir).select("seq", "name"), "seq", "name", _LINK))
+    sizes = linked.groupBy("cluster").agg(F.count("*").alias("size"))
+    threshold = similarity.demand_threshold(sizes)  # one row
+    demand = linked.join(sizes, "cluster").crossJoin(threshold).select("seq", (F.col("size") >= F.col("threshold")).alias("high"))
+    found = stats.badges(F.coalesce("at_low", F.lit(False)), F.col("high"), F.coalesce("trend", F.lit("estable")), stats.real_deal(F.lit(True)))
+    return rows.join(demand, "seq").select("url", F.array_join(found, ",").alias("badges"))
 
 
 @register(

@@ -139,21 +139,6 @@ def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(hist.trends(history(spark, sf_dir)).withColumn("velocity", _stable(F.col("velocity"), 3)))
 
 
-@register(
-    "badges",
-    f"""WITH {CATALOG_SQL}, {_SCORED}, {_DISCOUNTS}, {_TRENDS},
-    j AS (SELECT s.url, composite, mz, cheap_outlier, dear_outlier, ratio, discount_pct, significant, coalesce(at_low, false) AS at_low, coalesce(t.trend, 'estable') AS tr FROM scored s JOIN disc USING (url) LEFT JOIN trends t USING (url))
-    SELECT url, array_to_string(list_filter([CASE WHEN at_low AND composite <= 35 THEN 'all_time_low' END, CASE WHEN cheap_outlier OR (composite <= 20 AND mz <= -1.5) THEN 'below_market' END,
-      CASE WHEN ratio >= 1.2 AND ratio <= 3.5 AND discount_pct >= 20 AND composite <= 40 AND significant THEN 'verified_deal' END,
-      CASE WHEN tr = 'bajando' AND composite <= 40 THEN 'price_dropping' END, CASE WHEN dear_outlier OR (composite >= 80 AND mz >= 1.5) THEN 'above_market' END, CASE WHEN ratio > 1 AND discount_pct < 12 THEN 'fake_discount' END], lambda x: x IS NOT NULL), ',') AS badges FROM j""",
-)
-def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = stats.discounts(stats.score(_priced(spark, sf_dir), ["grp"], "v")).drop("trend", "badges")
-    rows = scored.join(hist.trends(history(spark, sf_dir)).select("url", "trend", "at_low"), "url", "left")
-    found = stats.badges(F.coalesce("at_low", F.lit(False)), F.lit(False), F.coalesce("trend", F.lit("estable")), stats.real_deal(F.lit(True)))
-    return rows.select("url", F.array_join(found, ",").alias("badges"))
-
-
 @register("badge_counts", f"WITH {CATALOG_SQL}, b AS (SELECT unnest(badges) AS badge FROM catalog) SELECT badge, count(*) AS n FROM b WHERE badge <> '' GROUP BY badge")
 def badge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).select(F.explode("badges").alias("badge")).where("badge <> ''").groupBy("badge").agg(F.count("*").alias("n"))
