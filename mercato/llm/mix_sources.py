@@ -4,16 +4,17 @@
    words; a target stops at ``max_repeat`` times its source's size and the excess is shared again.
 2. A source gives ``floor(target / size)`` whole copies of everything and one partial draw of the
    remaining words.
-3. Documents fall into virtual blocks by a seeded hash, many per source, so that no source, however
-   large, is one group. The partial draw is an exact quota of words that a tree of hypergeometric
-   draws splits over the source's blocks, ``FANOUT`` children at a time.
+3. Documents fall into output shards and, within a shard, into virtual blocks by seeded hashes, many
+   per source, so that no source, however large, is one group. The partial draw is an exact quota of
+   words. A tree of hypergeometric draws splits it over the output shards, by what the source has in
+   each, and then every shard's part over the shard's blocks, ``FANOUT`` children at a time.
 4. A block permutes its documents by a seeded hash and takes words until its quota is used up; the
    document on the boundary gives its first words only. Blocks are disjoint and each belongs to
    one output shard, in which the copies are ordered by a seeded hash.
 
 Defined results: a null text has size 0; documents without words take 0; a null source is a source
-of its own, last; a null doc_id is kept and drawn like any other; repeated rows are drawn one by
-one; an empty table gives no rows; columns other than doc_id, text and source are kept by ``mix``
+of its own, last; a null doc_id is kept and drawn like any other, and such rows are dealt by their
+texts; repeated rows are drawn one by one; an empty table gives no rows; columns other than doc_id, text and source are kept by ``mix``
 unless they clash with its own names, which it replaces.
 """
 
@@ -155,11 +156,22 @@ def block_quotas(blocks: DataFrame, quotas: DataFrame, seed: int = SEED) -> Data
     return given.select("source_no", F.col("node").alias("block"), "quota")
 
 
+def shard_quotas(blocks: DataFrame, quotas: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
+    """``source_no, shard, quota``: every source's quota split over the output shards.
+
+    ``blocks(source_no, shard, block, words)``, ``quotas(source_no, quota)``.
+    """
+    shards = cut(blocks.groupBy("source_no", F.col("shard").alias("block")).agg(F.sum("words").alias("words")))
+    return block_quotas(shards, quotas, seed).withColumnRenamed("block", "shard")
+
+
 def draw(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, block_docs: int = BLOCK_DOCS, n_shards: int = 64, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target, copies, part, taken and shard to ``sizes(doc_id, source, size)``; a column row is carried along.
+    """Adds source_size, target, copies, part, taken and shard to ``sizes(doc_id, source, size, spread)``; a column row is carried along.
 
-    A document is taken ``copies`` times whole and its first ``part`` words once more.
+    A document is taken ``copies`` times whole and its first ``part`` words once more. ``spread`` is a
+    hash of the text, by which rows without a doc_id are dealt; it may be absent and is dropped.
     """
+    sizes = sizes if "spread" in sizes.columns else sizes.withColumn("spread", F.lit(None).cast("long"))
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     plan = cut(per_source)  # one row per source: read several times below
     goal = targets(plan.select("source", "source_size"), weights, max_repeat)
@@ -169,25 +181,33 @@ def draw(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float
     plan = cut(
         plan.select(
             "source_no", "s", "source_size", "target", copies.alias("copies"),
-            F.ceil(F.col("n_docs") / block_docs).alias("n_blocks"),
+            F.ceil(F.col("n_docs") / (block_docs * n_shards)).alias("n_blocks"),
             F.least(F.round(F.col("target")).cast("long") - copies * F.col("source_size"), "source_size").alias("quota"),
         )
     )
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
+    who = ["doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("spread"))]
     # A row per source. Up to this many are broadcast, which saves a shuffle by a skewed key; more are joined by shuffling.
     by_source = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    placed = sizes.join(by_source, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(key, F.col("n_blocks"))).drop("s", "n_blocks")
-    blocks = cut(placed.where("quota > 0").groupBy("source_no", "block").agg(F.sum("size").alias("words")))
-    quotas = block_quotas(blocks, plan.where("quota > 0").select("source_no", "quota"), seed)
-    order = Window.partitionBy("source_no", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        sizes.join(by_source, F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2), *who), F.lit(n_shards)))
+        .withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *who), F.col("n_blocks")))
+        .drop("s", "n_blocks")
+    )
+    blocks = cut(placed.where("quota > 0").groupBy("source_no", "shard", "block").agg(F.sum("size").alias("words")))
+    by_shard = shard_quotas(blocks, plan.where("quota > 0").select("source_no", "quota"), n_shards, seed)
+    # A source's part in a shard is split like a source of its own.
+    part_no = (F.col("source_no") * n_shards + F.col("shard")).alias("source_no")
+    quotas = block_quotas(blocks.select(part_no, "block", "words"), by_shard.select(part_no, "quota"), seed + 4)
+    quotas = quotas.select(F.floor(F.col("source_no") / n_shards).alias("source_no"), (F.col("source_no") % n_shards).alias("shard"), "block", "quota")
+    order = Window.partitionBy("source_no", "shard", "block").orderBy(F.xxhash64(F.lit(seed + 1), *who), "doc_id", "size", "spread").rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.drop("quota")
-        .join(quotas, ["source_no", "block"], "left")
+        .join(quotas, ["source_no", "shard", "block"], "left")
         .withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("quota", F.lit(0)) - F.col("before"))))
         .withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2), "source_no", "block"), F.lit(n_shards)))
-        .drop("source_no", "block", "quota", "before")
+        .drop("source_no", "block", "quota", "before", "spread")
     )
 
 
@@ -197,7 +217,7 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     ``place`` is a seeded random key; sorting by (shard, place) shuffles each shard locally.
     """
     seed = params.get("seed", SEED)
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("spread"), F.struct(*docs.columns).alias("row"))
     drawn = draw(rows, **params).where("size > 0")
     none = F.array().cast("array<struct<copy:bigint,n:bigint>>")
     whole = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.col("copies")), lambda k: F.struct(k.alias("copy"), F.col("size").alias("n"))))
@@ -214,5 +234,5 @@ def mix(docs: DataFrame, **params) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Counted once: the sizes are read several times below.
-    docs = cut(load(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    docs = cut(load(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("spread")))
     return draw(docs).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "copies", "part", "shard", "source")

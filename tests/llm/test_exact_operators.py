@@ -209,6 +209,40 @@ def test_mix(spark):
     assert mix_sources.draw(sizes.where("false")).count() == 0
 
 
+def test_mix_splits_quotas_over_shards(spark):
+    """What a source draws in a shard is what the tree gave it, near the shard's share, and sums to the quota."""
+    rng = random.Random(3)
+    rows = [(i, "a" if i % 3 else "b", rng.randint(1, 60)) for i in range(6000)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mix_sources.draw(sizes, n_shards=8, block_docs=40).collect()
+    words, drawn = {}, {}
+    for r in got:
+        words[r.source, r.shard] = words.get((r.source, r.shard), 0) + r.size
+        drawn[r.source, r.shard] = drawn.get((r.source, r.shard), 0) + r.part
+    assert len(words) == 16 and {s for _, s in words} == set(range(8))
+    for source in ("a", "b"):
+        total = sum(n for (s, _), n in words.items() if s == source)
+        quota = sum(n for (s, _), n in drawn.items() if s == source)
+        target = next(r.target for r in got if r.source == source)
+        assert quota == round(target) - int(target // total) * total and quota > 0
+        for shard in range(8):
+            n, q = words[source, shard], drawn[source, shard]
+            deviation = (quota * n / total * (1 - n / total) * (total - quota) / (total - 1)) ** 0.5
+            assert abs(q - quota * n / total) <= 5 * deviation
+    plan = spark.createDataFrame([(1, s, 0, words["a", s]) for s in range(8)], "source_no long, shard long, block long, words long")
+    split = mix_sources.shard_quotas(plan, spark.createDataFrame([(1, 5000)], "source_no long, quota long"), 8).collect()
+    assert sum(r.quota for r in split) == 5000 and all(0 <= r.quota <= words["a", r.shard] for r in split)
+
+
+def test_mix_deals_rows_without_an_id_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"w{k} x y", "a") for k in range(3000)] + [(k, "b c", "b") for k in range(3000)], "doc_id long, text string, source string")
+    mixed = mix_sources.mix(docs, n_shards=8, block_docs=40)
+    per_shard = [r["count"] for r in mixed.where("source = 'a'").groupBy("shard").count().collect()]
+    assert len(per_shard) == 8 and max(per_shard) < 2 * min(per_shard)
+    once, again = (sorted((r.text, r["copy"], r.shard) for r in mix_sources.mix(docs.repartition(n), n_shards=8, block_docs=40).where("source = 'a'").collect()) for n in (3, 5))
+    assert once == again
+
+
 PAGES = "page_id long, url string, html string"
 ROWS = [
     (1, "https://A.Example.org/es/x#f", '<link href="https://b.com/q" rel="canonical">'),
