@@ -1,10 +1,11 @@
 """How far sources of one language diverge in their use of words.
 
-Two passes. The first counts, exactly, in how many documents of its language each term stands;
-terms in ``least`` documents or more are kept. For the second, kept terms are dealt by their hash to
+Two passes. The first finds the terms that stand in ``least`` documents of their language or more, which are kept: a task
+counts a term's documents up to ``least`` and then passes over it, as more documents can't change the choice. It also
+weighs what occurs in each of ``BUCKETS`` parts of the hash. For the second, kept terms are dealt by their hash to
 shards of some ``SHARD_BYTES`` bytes, and so are the terms of the texts, in their order, padded by a delimiter on
 each side. One task gets a shard's automaton (Aho-Corasick over the padded kept terms) and a share of
-the texts' terms dealt to it, and recounts occurrences. What comes out are sparse postings: a row for each
+the texts' terms dealt to it, and counts occurrences. What comes out are sparse postings: a row for each
 kept term and source that holds it. Neither the vocabulary nor a source is ever in one place; a
 shard that very frequent terms make hot is dealt to several tasks by ``TASK_BYTES``, each with its own automaton.
 
@@ -25,11 +26,13 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse, groupby
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,101 +46,169 @@ WHOLE = 1_000_000_000
 SHARD_BYTES, TASK_BYTES = 256_000, 12_000_000
 #: Different terms that a task of the first pass holds before it hands its counts on.
 HELD = 300_000
+#: Parts of a language's terms by hash whose occurrences the first pass weighs.
+BUCKETS = 4096
+#: Terms whose bytes are gathered at a time.
+GATHERED = 100_000
 _DELIMITERS = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 #: Bytes to bytes: A-Z in lower case, delimiters to the space, all else as it is.
 _PLAIN = bytes(32 if _DELIMITERS.match(bytes([b])) else b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
-def terms(text: bytes) -> list[bytes]:
-    return text.translate(_PLAIN).split()
+#: What keeps the first 0 to 8 bytes of a little-endian number, and odd numbers that mix bits.
+_FIRST = np.array([256**k - 1 for k in range(9)], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def named(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """``lang, term, docs, bytes``: in how many documents of the language a term stands, and bytes of all its occurrences."""
+def _joined(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of plain texts end to end as bytes, where their terms start and end, and how many terms each group has."""
+    groups = [b" ".join(t) for t in texts]
+    joined = np.frombuffer(b" ".join([b" " * 7, *groups, b" " * 8]), np.uint8)
+    word = joined != 32
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    begins = 8 + np.cumsum([0, *(len(g) + 1 for g in groups)])
+    return joined, starts, ends, np.diff(np.searchsorted(starts, begins))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
-        def flush():
-            for lang, (docs, times) in held.items():
-                words = list(docs)
-                yield pa.record_batch(
-                    [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(docs.values(), pa.int64()), pa.array([(len(w) + 1) * times[w] for w in words], pa.int64())],
-                    ["lang", "term", "docs", "bytes"],
-                )
-            held.clear()
+def places(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """32 mixed bits of each term's length, first eight and last eight bytes. Where they agree, terms share a shard, not a count."""
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    size = ends - starts
+    first = eight[starts] & _FIRST[np.minimum(size, 8)]
+    last = np.where(size > 8, eight[ends - 8], 0)
+    mixed = (first ^ (last + size.astype(np.uint64)) * _MIX[0]) * _MIX[1]
+    mixed = (mixed ^ mixed >> np.uint64(29)) * _MIX[2]
+    return mixed >> np.uint64(32)
+
+
+def document_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``lang, term, bucket, n``: with a term, in how many documents of the language it stands; with a bucket, bytes of all occurrences there.
+
+    A task counts a term up to ``least`` documents and hands it on; from then on it passes over the term. So sums
+    below ``least`` are exact, and all others say that the term is kept.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, dict[bytes, int]] = defaultdict(dict)
+        known: dict[str, set[bytes]] = defaultdict(set)
+        ready: list[tuple[str, bytes]] = []
+        weights: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS))
+
+        def found(lang: str, words: list[bytes], n: list[int]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.nulls(len(words), pa.int32()), pa.array(n, pa.int64())], ["lang", "term", "bucket", "n"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, held in open_.items():
+                yield found(lang, list(held), list(held.values()))
+            sure: dict[str, list[bytes]] = defaultdict(list)
+            for lang, word in ready:
+                sure[lang].append(word)
+            for lang, words in sure.items():
+                yield found(lang, words, [least] * len(words))
+            open_.clear()
+            ready.clear()
 
         for rows in slices(batches):
+            texts: dict[str, list[bytes]] = defaultdict(list)
             for lang, text in zip(rows["lang"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), strict=True):
-                words = terms(text)
-                docs, times = held[lang]
-                docs.update(set(words))
-                times.update(words)
-            if sum(len(d) for d, _ in held.values()) > HELD:
+                plain, held, passed = text.translate(_PLAIN), open_[lang], known[lang]
+                texts[lang].append(plain)
+                for word in set(filterfalse(passed.__contains__, plain.split())):
+                    n = held.get(word, 0) + 1
+                    if n < least:
+                        held[word] = n
+                    else:
+                        held.pop(word, None)
+                        passed.add(word)
+                        ready.append((lang, word))
+            joined, starts, ends, sizes = _joined(texts.values())
+            bucket, size, upto = places(joined, starts, ends) * BUCKETS >> 32, ends - starts + 1, np.cumsum([0, *sizes])
+            for lang, a, b in zip(texts, upto, upto[1:], strict=False):
+                weights[lang] += np.bincount(bucket[a:b].astype(np.int64), size[a:b], BUCKETS)
+            if len(ready) + sum(map(len, open_.values())) > HELD:
                 yield from flush()
+            if sum(map(len, known.values())) > HELD:
+                known.clear()
         yield from flush()
+        for lang, held in weights.items():
+            some = np.flatnonzero(held)
+            yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.nulls(len(some), pa.string()), pa.array(some, pa.int32()), pa.array(held[some].astype(np.int64))], ["lang", "term", "bucket", "n"])
+
+    counts = docs.select("lang", "text").mapInArrow(count, "lang string, term string, bucket int, n long")
+    return counts.groupBy("lang", "term", "bucket").agg(F.sum("n").alias("n"))
 
-    counts = docs.select("lang", "text").mapInArrow(count, "lang string, term string, docs long, bytes long")
-    return counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
 
+def _place(shards: dict[str, int]):
+    """Kept terms with their shard."""
 
-class Places(dict):
-    """The shard of each term that has come up, out of ``n``."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            joined, starts, ends, _ = _joined([b["term"].cast(pa.binary()).to_pylist()])
+            n = np.array([shards[lang] for lang in b["lang"].to_pylist()], np.uint64)
+            shard = places(joined, starts, ends) * n >> np.uint64(32)
+            yield pa.record_batch([b["lang"], b["term"], pa.array(shard.astype(np.int32))], ["lang", "term", "shard"])
 
-    def __init__(self, n: int):
-        super().__init__()
-        self.n = n
+    return place
 
-    def __missing__(self, term: bytes) -> int:
-        place = self[term] = zlib.crc32(term) % self.n
-        return place
+
+def _gather(joined: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return joined[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
 def _deal(shards: dict[str, int], tasks: dict[tuple[str, int], int]):
-    """Terms of the texts by shard, in their order, padded: ``lang, shard, part, source, words``."""
+    """Terms of the texts by shard, in their order, a space behind each: ``lang, shard, part, source, words``."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = {lang: Places(n) for lang, n in shards.items()}
         for rows in slices(batches):
             texts: dict[tuple[str, str], list[bytes]] = defaultdict(list)
             for lang, source, text in zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["text"].cast(pa.binary()).to_pylist(), strict=True):
                 if lang in shards:
-                    texts[lang, source] += terms(text)
-            out = []
-            for (lang, source), words in texts.items():
-                place, dealt = places[lang], [[] for _ in range(shards[lang])]
-                for w in words:
-                    dealt[place[w]].append(w)
-                if len(place) > HELD:
-                    place.clear()
-                for shard, own in enumerate(dealt):
-                    if own:
-                        padded = b" " + b" ".join(own) + b" "
-                        out.append((lang, shard, zlib.crc32(padded) % tasks.get((lang, shard), 1), source, padded))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["lang", "shard", "part", "source", "words"])
+                    texts[lang, source].append(text.translate(_PLAIN))
+            joined, starts, ends, sizes = _joined(texts.values())
+            n = np.array([shards[lang] for lang, _ in texts], np.int64)
+            base = np.cumsum([0, *n])
+            row = np.repeat(base[:-1], sizes) + (places(joined, starts, ends) * np.repeat(n, sizes).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(row.astype(np.uint16) if base[-1] < 1 << 16 else row, kind="stable")
+            size = ends - starts + 1
+            bytes_ = np.bincount(row, size, base[-1]).astype(np.int64)
+            starts, size = starts[order], size[order]
+            words = np.concatenate([np.zeros(0, np.uint8), *(_gather(joined, starts[k : k + GATHERED], size[k : k + GATHERED]) for k in range(0, len(order), GATHERED))])
+            some = np.flatnonzero(bytes_)
+            upto = np.cumsum([0, *bytes_[some]])
+            group = np.searchsorted(base, some, side="right") - 1
+            lang, source = (pa.array([g[k] for g in texts], pa.string()).take(pa.array(group)) for k in (0, 1))
+            shard = some - base[group]
+            part = [zlib.crc32(words[a:b]) % tasks.get(of, 1) for a, b, of in zip(upto, upto[1:], zip(lang.to_pylist(), shard.tolist(), strict=True), strict=False)]
+            dealt = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(words)])
+            yield pa.record_batch([lang, pa.array(shard, pa.int32()), pa.array(part, pa.int32()), source, dealt], ["lang", "shard", "part", "source", "words"])
 
     return deal
 
 
-def _scan(padded: pa.Table, kept: pa.Table) -> pa.Table:
+def _scan(dealt: pa.Table, kept: pa.Table) -> pa.Table:
     """Occurrences of a shard's kept terms in the words dealt to it."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-    if kept.num_rows and padded.num_rows:
-        automaton, names = ahocorasick.Automaton(ahocorasick.STORE_INTS), kept["term"].to_pylist()
-        for k, term in enumerate(names):
+    sources, terms_, counts = [], [], []
+    if kept.num_rows and dealt.num_rows:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, term in enumerate(kept["term"].to_pylist()):
             automaton.add_word(f" {term.encode().decode('latin-1')} ", k)
         automaton.make_automaton()
-        for source, words in zip(padded["source"].to_pylist(), padded["words"], strict=True):
-            counts[source].update(map(itemgetter(1), automaton.iter(words.as_py().decode("latin-1"))))
-    lang = kept["lang"][0].as_py() if kept.num_rows else ""
-    rows = [(lang, source, names[k], n) for source, found in counts.items() for k, n in found.items()]
-    columns = zip(*rows, strict=True) if rows else [[]] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "source", "term", "n"])
+        dealt = dealt.select(["source", "words"]).sort_by("source")
+        for source, rows in groupby(zip(dealt["source"].to_pylist(), dealt["words"], strict=True), itemgetter(0)):
+            found = np.zeros(kept.num_rows, np.int64)
+            for _, words in rows:
+                hits = np.fromiter(map(itemgetter(1), automaton.iter(" " + words.as_py().decode("latin-1"))), np.int32)
+                found += np.bincount(hits, minlength=kept.num_rows)
+            some = np.flatnonzero(found)
+            sources += [source] * len(some)
+            terms_.append(some)
+            counts.append(found[some])
+    taken = kept.take(pa.array(np.concatenate([np.zeros(0, np.int64), *terms_])))
+    n = pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))
+    return pa.table([taken["lang"], pa.array(sources, pa.string()), taken["term"], n], ["lang", "source", "term", "n"])
 
 
 #: Rows of a side that is broadcast; beyond it Spark chooses.
@@ -148,21 +219,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def vocabulary(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lang, term, bytes, shard, shards``: the kept terms of each language, dealt to shards."""
-    kept = cut(document_counts(docs).where(F.col("docs") >= least).select("lang", "term", "bytes"))
-    sizes = cut(kept.groupBy("lang").agg(F.ceil(F.sum(F.octet_length("term") + 2) / SHARD_BYTES).cast("int").alias("shards")))
-    return kept.join(small(sizes), "lang").withColumn("shard", (F.crc32(F.col("term").cast("binary")) % F.col("shards")).cast("int"))
-
-
-def postings(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """``lang, term, posts``: source and n, its occurrences, for each source that holds a kept term.
+def vocabulary(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, dict[str, int], dict[tuple[str, int], int]]:
+    """``lang, term, shard``, the kept terms of each language dealt to shards; how many shards a language has, and tasks a shard.
 
-    The driver gets one row for each shard, never a term.
+    The driver gets a row for each language and each shard, never a term.
     """
-    shares = kept.groupBy("lang", "shard", "shards").agg(F.sum("bytes").alias("bytes")).collect()
-    shards = {r.lang: r.shards for r in shares}
-    tasks = {(r.lang, r.shard): math.ceil(r.bytes / TASK_BYTES) for r in shares}
+    counted = cut(document_counts(docs, least).where((F.col("n") >= least) | F.col("term").isNull()))
+    kept = counted.where("term is not null").select("lang", "term")
+    sizes = kept.groupBy("lang").agg(F.ceil(F.sum(F.octet_length("term") + 2) / SHARD_BYTES).cast("int").alias("shards"))
+    shards = {r.lang: r.shards for r in sizes.collect()}
+    # A bucket's bytes count for every shard that it overlaps: one or two, unless shards outnumber buckets.
+    sized = docs.sparkSession.createDataFrame(pd.DataFrame(list(shards.items()), columns=["lang", "shards"]), "lang string, shards long")
+    weights = counted.where("term is null").join(small(sized), "lang").withColumn("shard", F.explode(F.expr(f"sequence(bucket * shards div {BUCKETS}, ((bucket + 1) * shards - 1) div {BUCKETS})")))
+    tasks = {(r.lang, r.shard): math.ceil(r.n / TASK_BYTES) for r in weights.groupBy("lang", "shard").agg(F.sum("n").alias("n")).collect()}
+    return kept.mapInArrow(_place(shards), "lang string, term string, shard int"), shards, tasks
+
+
+def postings(docs: DataFrame, kept: DataFrame, shards: dict[str, int], tasks: dict[tuple[str, int], int]) -> DataFrame:
+    """``lang, term, posts``: source and n, its occurrences, for each source that holds a kept term."""
     parts = docs.sparkSession.createDataFrame(pd.DataFrame([(*k, part) for k, n in tasks.items() for part in range(n)], columns=["lang", "shard", "part"]), "lang string, shard int, part int")
     dealt = docs.mapInArrow(_deal(shards, tasks), "lang string, shard int, part int, source string, words binary")
     each = kept.join(parts, ["lang", "shard"]).select("lang", "shard", "part", "term")
@@ -187,7 +261,7 @@ def far(p: Column, q: Column) -> Column:
 def audit(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataFrame:
     """``lang, source, part, item, value, rank``: other sources (part pair) and terms (part term) by divergence."""
     docs = named(docs)
-    posted = cut(postings(docs, vocabulary(docs, least)))
+    posted = cut(postings(docs, *vocabulary(docs, least)))
     each = posted.select("lang", "term", F.aggregate("posts", F.lit(0).cast("long"), lambda x, p: x + p["n"]).alias("all"), F.explode("posts").alias("post")).select("lang", "term", "all", "post.*")
     often = cut(each.groupBy("lang", "source", "n").agg(F.count("*").alias("m")))
     held = often.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("total"), F.sum("m").alias("held"))

@@ -59,3 +59,28 @@ def test_query_over_a_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     got = rows(divergence.op12_source_divergence(spark, sf).toPandas())
     assert got == by_sql(pd.read_parquet(f"{sf}/documents.parquet"))
+
+
+def test_terms_are_counted_up_to_the_least_and_then_passed_over(spark):
+    """A task hands on three documents of a term, however many hold it; the weights hold every occurrence."""
+    texts = [(f"Often often rare{chr(97 + k % 26)}{chr(97 + k // 26)} " + "pair " * (k < 2), "en", "a") for k in range(600)]
+    docs = divergence.named(spark.createDataFrame(texts, "text string, lang string, source string")).coalesce(1)
+    got = divergence.document_counts(docs).toPandas()
+    found = got.dropna(subset=["term"]).set_index("term")["n"].to_dict()
+    assert found["often"] == 3 and found["pair"] == 2 and len(found) == 602 and set(found.values()) == {1, 2, 3}
+    assert got[got["term"].isna()]["n"].sum() == sum(len(w) + 1 for text, _, _ in texts for w in text.split())
+
+
+@pytest.mark.parametrize("buckets", [4096, 4])
+def test_terms_of_every_length_meet_in_their_shard(spark, monkeypatch, buckets):
+    """Also terms that differ only in their middle, texts longer than a slice, and more shards than weighed parts."""
+    monkeypatch.setattr(divergence, "SHARD_BYTES", 20)
+    monkeypatch.setattr(divergence, "TASK_BYTES", 500_000)
+    monkeypatch.setattr(divergence, "BUCKETS", buckets)
+    monkeypatch.setattr(divergence, "GATHERED", 1000)
+    letters = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnop"
+    words = [letters[:k] for k in range(1, 41)] + [f"samestart{m}sameends" for m in ("x", "y", "é", "日")] + ["é" * k for k in range(1, 12)]
+    texts = [(" ".join(words[k % 3 :]), "en", f"s{k % 4}") for k in range(9)] + [("samestartxsameends " * 260_000, "en", "s0"), ("é", "", None)]
+    docs = pd.DataFrame(texts, columns=["text", "lang", "source"])
+    got = rows(divergence.audit(spark.createDataFrame(texts, "text string, lang string, source string").repartition(3)).toPandas())
+    assert got == by_sql(docs) and len(got) > 100
