@@ -76,10 +76,13 @@ def _end_of(tag: str) -> re.Pattern:
 def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
     """(path, text, characters in links) of the leaf blocks; a path is the features of all elements around and those of the innermost.
 
-    Time grows with the page, also where tags are nested deeply or never closed.
+    Time grows with the page, also where tags are nested deeply or never closed. Equal paths are one object: the
+    collector of cycles visits all that is held, so a page of many blocks should hold few containers.
     """
     out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, tuple[str, ...], frozenset[str]]] = []
+    stack: list[str] = []  # open elements
+    paths: list[tuple[frozenset[str], tuple[str, ...]]] = [(frozenset(), ())]  # of the page and of each open element
+    same: dict[tuple, tuple] = {}
     nested: Counter[str] = Counter()  # open elements by tag
     endless: set[str] = set()  # silent tags that aren't closed any more
     last = page.rfind(">") + 1  # no tag ends behind
@@ -91,7 +94,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(((stack[-1][2], stack[-1][1]) if stack else (frozenset(), ()), text, linked))
+                out.append((paths[-1], text, linked))
             parts.clear()
         linked = 0
 
@@ -116,9 +119,10 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
                 in_link = 0
             if tag in BLOCKS:
                 flush()
-                if nested[tag] and (tag != "p" or stack[-1][0] == "p"):
+                if nested[tag] and (tag != "p" or stack[-1] == "p"):
                     while stack:
-                        gone = stack.pop()[0]
+                        gone = stack.pop()
+                        paths.pop()
                         nested[gone] -= 1
                         if gone == tag:
                             break
@@ -136,11 +140,14 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, int]]:
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ()) or tag[0] == "h" and tag[1:].isdigit() and stack[-1][0] == tag):
-                nested[stack.pop()[0]] -= 1
+            while stack and (stack[-1] == "p" or stack[-1] in CLOSES.get(tag, ()) or tag[0] == "h" and tag[1:].isdigit() and stack[-1] == tag):
+                nested[stack.pop()] -= 1
+                paths.pop()
             if tag not in VOID:
-                kinds, around = _kinds(tag, attributes), stack[-1][2] if stack else frozenset()
-                stack.append((tag, kinds, around if around.issuperset(kinds) else around.union(kinds)))
+                kinds, around = _kinds(tag, attributes), paths[-1][0]
+                path = (around if around.issuperset(kinds) else around.union(kinds), kinds)
+                stack.append(tag)
+                paths.append(same.setdefault(path, path))
                 nested[tag] += 1
     flush()
     return out

@@ -1,5 +1,6 @@
 """Inputs that once crashed an executor, lost results or took time with the square of their length."""
 
+import gc
 import time
 
 import numpy as np
@@ -70,6 +71,23 @@ def test_time_of_the_parser_grows_with_the_page(piece):
     assert took < 2 * 4 * max(seconds(html_extract.leaf_blocks, piece * (250_000 // len(piece))), 0.05)
 
 
+@pytest.mark.parametrize("piece", ["<div>x", "<div class=nav>x<section>y", "<p>x", "<div>x</div>"])
+def test_parser_holds_one_container_a_block(piece):
+    """Beside a large heap, collections of cycles made the time of nested tags grow faster than the page."""
+    page = piece * 20_000
+    html_extract.leaf_blocks(page)
+    gc.collect()
+    gc.disable()
+    try:
+        before = gc.get_count()[0]
+        blocks = html_extract.leaf_blocks(page)
+        held = gc.get_count()[0] - before
+    finally:
+        gc.enable()
+    assert len(blocks) >= 20_000 and held < 1.1 * len(blocks)
+    assert len({id(path) for path, _, _ in blocks}) <= 4
+
+
 def test_comments_that_never_end():
     texts = lambda page: [t for _, t, _ in html_extract.leaf_blocks(page)]
     assert texts("<p>a</p>b<!-- c <p>d</p> e") == ["a", "b"]
