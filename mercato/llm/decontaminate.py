@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import load, slices
+from mercato.llm.common import cut, load, slices
 from mercato.llm.toxicity import tokens
 
 THRESHOLD = 0.5
@@ -207,7 +207,8 @@ def leak_scores(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
     if found is None:
         item = benchmark.schema["item_id"].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"digest string, item_id {item}, score double")
-    return found.groupBy("digest").agg(F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("item_id"), F.max("score").alias("score"))
+    # Cut, so that the join on it reads two plain shuffles: only then can Spark split the rows of a text that stands very often.
+    return cut(found.groupBy("digest").agg(F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("item_id"), F.max("score").alias("score")))
 
 
 def _score(texts: DataFrame, seeds: Seeds) -> DataFrame:
