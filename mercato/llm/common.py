@@ -61,12 +61,23 @@ def schema_with(df: DataFrame, **kinds: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in kinds.items())])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _large_star(links: DataFrame, hubs: bool) -> DataFrame:
+    """Larger neighbours of a node, linked to the smallest one around it."""
+    both = links.select(F.col("hi").alias("node"), F.col("lo").alias("near")).union(
+        links.select(F.col("lo").alias("node"), F.col("hi").alias("near"))
+    )
+    low = both.groupBy("node").agg(F.min("near").alias("low")).select("node", F.least("node", "low").alias("low"))
+    low = cut(low) if hubs else low
+    return both.where("near > node").join(low, "node").select(F.col("near").alias("hi"), F.col("low").alias("lo")).distinct()
+
+
+def components(edges: DataFrame, max_rounds: int = 60, hubs: bool = False) -> DataFrame:
     """Connected components of the undirected graph ``edges(src, dst)``.
 
     Large-star / small-star rounds: every node ends up linked to the smallest node of its
     component. Minima are aggregated before each shuffle, so a node with very many neighbours
-    costs one row per task there; the join on it is an ordinary equi-join that AQE can split.
+    costs one row per task there. With ``hubs``, these are written before they are joined: only then does
+    the join read two plain shuffles, so that AQE can split the neighbours of one node.
     Returns ``node, component`` for the nodes that have an edge to another node; self loops and
     edges with a null end are ignored, and no edges give no rows.
     """
@@ -81,12 +92,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     before = None
     for _ in range(max_rounds):
-        # Large star: larger neighbours of a node are linked to the smallest one around it.
-        both = links.select(F.col("hi").alias("node"), F.col("lo").alias("near")).union(
-            links.select(F.col("lo").alias("node"), F.col("hi").alias("near"))
-        )
-        low = both.groupBy("node").agg(F.min("near").alias("low")).select("node", F.least("node", "low").alias("low"))
-        large = both.where("near > node").join(low, "node").select(F.col("near").alias("hi"), F.col("low").alias("lo")).distinct()
+        large = _large_star(links, hubs)
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("hi").agg(F.min("lo").alias("low"))
         small = (

@@ -322,7 +322,7 @@ def components_of(docs: DataFrame, least: float = SIMILARITY, bucket: int = BUCK
         rows_hot = signed.mapInArrow(_rows_of(hot), _ROWS)
         heads = rows_hot.groupBy("key").agg(F.min("node").alias("src"))
         pairs = pairs.union(rows_hot.join(heads, "key").where("src < node").select("src", F.col("node").alias("dst")))
-    family = components(pairs).select("node", F.col("component").alias("family"))
+    family = components(pairs, hubs=True).select("node", F.col("component").alias("family"))
     # The whole sets of the nodes that may be like another, each once.
     wanted = cut(nodes.join(family, "node").select("node", "digest", "first_id", "fps", "family"))
     owner = wanted.where("first_id is not null").select(F.col("first_id").alias("__id"))
@@ -333,7 +333,7 @@ def components_of(docs: DataFrame, least: float = SIMILARITY, bucket: int = BUCK
     dealt = sets.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("n", F.lit(1))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("family", "i", "j", "block", "node", "fps", "shingles")
-    groups = components(dealt.groupBy("family", "i", "j").applyInArrow(_check(least), _PAIRS))
+    groups = components(dealt.groupBy("family", "i", "j").applyInArrow(_check(least), _PAIRS), hubs=True)
     member = nodes.select("digest", "node", "first_id").join(groups, "node", "left").select("digest", "first_id", F.coalesce("component", "node").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "digest").join(member.join(smallest, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")

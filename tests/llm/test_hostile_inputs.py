@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mercato.llm import ann, decontaminate, html_extract, toxicity, url_filter
+from mercato.llm import ann, common, decontaminate, html_extract, toxicity, url_filter
 
 
 def seconds(f, *args):
@@ -94,6 +94,16 @@ def test_a_text_that_stands_very_often_is_no_single_task(spark, split):
         assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_neighbours_of_one_node_are_no_single_task(spark, split):
+    """The minima of nodes are written before they are joined; in one stage with the join, they kept Spark from splitting it."""
+    links = spark.range(1, 60_001).selectExpr("id hi", "if(id % 3 = 0, id - 1, 0) lo").repartition(8)
+    star = common._large_star(links, hubs=True)
+    assert {(r.hi, r.lo) for r in star.collect()} == {(k, 0) for k in range(1, 60_001)}
+    assert "skew=true" in star._jdf.queryExecution().executedPlan().toString()
+    found = {r.node: r.component for r in common.components(links.toDF("src", "dst"), hubs=True).collect()}
+    assert found == dict.fromkeys(range(60_001), 0)
+
+
 @pytest.mark.parametrize("pattern", [[1.0, -1.5], [1.0, -0.5], [1.0, -1.0, 2.0, -3.0]])
 def test_time_of_segments_grows_with_the_text(pattern):
     assert seconds(toxicity.segments, np.tile(pattern, 200_000)) < 2 * 4 * max(seconds(toxicity.segments, np.tile(pattern, 50_000)), 0.05)
