@@ -25,7 +25,6 @@ from mercato.sources.paging import until_repeated
 DENIED = ["carrito", "mi-cuenta", "checkout", "login", "registro", "contacto", "productos"]
 LINK = r'href="(https?://[^"/]+(?:/[a-z0-9][a-z0-9-]*)+)/?"'
 SLUG = r"[a-z0-9][a-z0-9-]*"
-MOST_PAGES = 40
 
 
 def _bare(url: Column) -> Column:
@@ -75,18 +74,19 @@ def discover(pages: DataFrame, seeds: DataFrame, depth: int = 2, denied: list[st
     return tree.select("site", "base_url", "url", "slugs", "places", F.col("parent").isNull().alias("leaf"))
 
 
-def listing_pages(pages: DataFrame, leaves: DataFrame, most: int = MOST_PAGES) -> DataFrame:
-    """The stored listing pages of each leaf: ``site, base_url, leaf_url, places, category, page, payload``."""
+def listing_pages(pages: DataFrame, leaves: DataFrame, most: int | None = None) -> DataFrame:
+    """The stored listing pages of each leaf, all or those up to ``most``: ``site, base_url, leaf_url, places, hint, page, payload``."""
     number = F.coalesce(F.nullif(F.regexp_extract("url", r"[?&]m?page=(\d+)", 1), F.lit("")).try_cast("int"), F.lit(1))
-    rows = stored(pages).select("site", _bare(F.regexp_replace("url", r"[?&]m?page=\d+$", "")).alias("leaf_url"), number.alias("page"), "payload").where(F.col("page").between(1, most))
+    rows = stored(pages).select("site", _bare(F.regexp_replace("url", r"[?&]m?page=\d+$", "")).alias("leaf_url"), number.alias("page"), "payload").where("page >= 1")
+    rows = rows if most is None else rows.where(F.col("page") <= most)
     named = F.initcap(F.replace(F.try_element_at("slugs", F.lit(-1)), F.lit("-"), F.lit(" ")))
     return leaves.select("site", "base_url", F.col("url").alias("leaf_url"), "places", named.alias("hint")).join(rows, ["site", "leaf_url"])
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, reader: Callable[[DataFrame], DataFrame] = feeds.product_cards, depth: int = 2, fallback: DataFrame | None = None, most_pages: int = MOST_PAGES) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, reader: Callable[[DataFrame], DataFrame] = feeds.product_cards, depth: int = 2, fallback: DataFrame | None = None, most_pages: int | None = None) -> DataFrame:
     """Products of all leaves of all seeds, as ``reader`` finds them on each page: each URL of a site once, from its first leaf.
 
-    Products without a category of their own get their leaf's name.
+    A leaf ends where its pages do, or at ``most_pages`` where a caller sets it. Products without a category of their own get their leaf's name.
     """
     tree = discover(pages, seeds, depth, fallback=fallback)
     listed = listing_pages(pages, tree.where("leaf"), most_pages).withColumn("number", F.col("page"))

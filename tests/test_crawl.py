@@ -60,6 +60,14 @@ def test_products_until_pages_repeat(shop):
     assert got == [(1, "X", 1), (2, "X", 1), (3, "X", 2), (4, "Y", 1), (5, "Two", 1)]
 
 
+def test_long_leaves_are_read_to_their_end(spark):
+    pages = [("l", f"{A}/", links("one")), *(("l", f"{A}/one?page={k}", card(k)) for k in range(2, 58)), ("l", f"{A}/one", card(1)), ("l", f"{A}/one?page=58", card(57)), ("l", f"{A}/one?page=59", card(99))]
+    shop = spark.createDataFrame(pages, "site string, url string, payload string"), spark.createDataFrame([("l", A)], "site string, base_url string")
+    got = lambda **more: sorted((int(r.url.rsplit("/")[-1]), r.page) for r in crawl(*shop, **more).collect())
+    assert got() == [(k, k) for k in range(1, 58)]
+    assert got(most_pages=3) == [(k, k) for k in range(1, 4)]
+
+
 def test_empty_tables(spark, shop):
     assert discover(shop[0].limit(0), shop[1]).count() == 0
     assert crawl(shop[0], shop[1].limit(0)).count() == 0
