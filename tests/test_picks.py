@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from mercato.functions.draws import Keys
 from mercato.operators import optimize as o
 from mercato.operators import picks
 from mercato.operators.substrings import SubstringIndex
@@ -70,6 +71,41 @@ def test_picks_are_as_frequent_as_their_weights(spark):
         assert abs(got[url] - n * share) < 5 * math.sqrt(n * share * (1 - share))
 
 
+def test_requests_are_judged_by_their_own_rows(spark):
+    """A join of 150,000 requests with the shortlists took minutes; now no plan joins them and each is drawn for once."""
+    rows = spark.createDataFrame(products(150), PRODUCTS)
+    requests = spark.range(300_000).selectExpr("id AS request", "id AS seed", "CASE WHEN id % 3 > 0 THEN 60D + id % 90 END AS budget", "CASE WHEN id % 2 = 0 THEN 'Mujer' END AS gender")
+    found = picks.weighted_outfits(requests, rows, ORDER).select("request", F.explode("picks").alias("p"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("ArrowEvalPython") == 1
+    assert found.select("request").distinct().count() > 290_000
+
+
+def test_odd_seeds_and_budgets(spark):
+    rows = spark.createDataFrame(products(60), PRODUCTS)
+    asked = [(0, None, 50.0, None), (1, "", 50.0, None), (2, "ñ😀", None, "mujer"), (3, "x" * 200, 90.0, ""), (4, "a|b", float("nan"), ""), (5, "-7", float("inf"), "hombre"), (6, None, 50.0, None)]
+    found = picks.weighted_outfits(spark.createDataFrame(asked, "request long, seed string, budget double, gender string"), rows, ORDER)
+    pool, got = o.pools(rows), {r.request: [p.url for p in r.picks] for r in found.collect()}
+    for k, seed, budget, gender in asked:
+        if seed is not None:
+            assert got[k] == naive(pool, seed, 1e9 if budget != budget else budget, gender)
+    u = lambda c: (int(hashlib.md5(f"torso|{c.url}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    own, prices = [c for c in pool if c.slot == "torso"], sorted(c.price for c in pool)
+    centre = prices[len(prices) // 2]
+    near = [c for c in own if c.price <= 50 and abs(c.price - centre) <= centre * 0.3] or [c for c in own if c.price <= 50]
+    assert got[0] == got[6] and got[0][0] == min(near, key=lambda c: -math.log(u(c)) / o.pick_weight(c, [], centre, max(centre * 0.3, 1.0))).url
+
+
+def test_digests_are_those_of_hashlib():
+    for length in (0, 1, 3, 4, 7, 8, 52, 55, 56, 63, 64, 119, 130):
+        for ending in (b"", b"|torso|p1", b"y" * 55, b"z" * 140):
+            keys = [bytes((7 * k + j) % 256 for j in range(length)) for k in range(3)]
+            found = Keys(b"".join(keys), 3, length)
+            want = [hashlib.md5(k + ending) for k in keys]
+            assert [b"".join(int(x[k]).to_bytes(4, "little") for x in found.md5(ending)) for k in range(3)] == [w.digest() for w in want]
+            assert list(found.uniform(ending)) == [(int(w.hexdigest()[:13], 16) + 0.5) / 2**52 for w in want]
+
+
 def test_outfits_of_nothing(spark):
     rows = spark.createDataFrame([], PRODUCTS)
     requests = spark.createDataFrame([(1, None, None, None)], REQUESTS).withColumns({"total": F.lit("own"), "slot": F.lit("mine")})
