@@ -1,13 +1,15 @@
 """Category classifier on names: character grams within words, sublinear weights, an exact stratified split.
 
 Grams, weights and split are joins and aggregates; Spark ML fits the regression. Grams of a name are counted
-before they are joined with the vocabulary, whose size is bounded by ``MOST_GRAMS``.
+before they are joined with the vocabulary, whose size is bounded by ``MOST_GRAMS``. Each different name is
+worked on once and counts as often as rows have it, in the vocabulary and in the regression alike.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -38,18 +40,35 @@ def gram_counts(rows: DataFrame, key: str = "url", text: str = "name") -> DataFr
     return rows.select(key, F.explode(word_grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
-def vocabulary(rows: DataFrame, key: str = "url", text: str = "name", most: int = MOST_GRAMS, least: int = LEAST_NAMES) -> DataFrame:
+def _once(rows: DataFrame, *by: str) -> DataFrame:
+    """``by, rows``: the different values of ``by`` with the number of their rows, dealt by the first, so that what is grouped by it stays in place."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.groupBy(*by).agg(F.count("*").alias("rows")).repartition(tasks, by[0])
+
+
+def vocabulary(rows: DataFrame, text: str = "name", most: int = MOST_GRAMS, least: int = LEAST_NAMES) -> DataFrame:
     """``gram, number, idf``: the grams that ``least`` rows or more hold, the ``most`` commonest of them, numbered in their order."""
-    counts = gram_counts(rows, key, text).groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("df")).where(F.col("df") >= least)
+    return _vocabulary(_once(rows.select(F.col(text).alias("text")), "text"), most, least)
+
+
+def _vocabulary(texts: DataFrame, most: int, least: int = LEAST_NAMES) -> DataFrame:
+    """The same from ``text, rows``."""
+    counts = texts.select("text", "rows", F.explode(word_grams(F.col("text"))).alias("gram")).groupBy("text", "gram").agg(F.count("*").alias("n"), F.first("rows").alias("rows"))
+    counts = counts.groupBy("gram").agg(F.sum(F.col("n") * F.col("rows")).alias("n"), F.sum("rows").alias("df")).where(F.col("df") >= least)
     kept = counts.orderBy(F.desc("n"), "gram").limit(most)
-    total = rows.agg(F.count("*").alias("rows"))  # one row
+    total = texts.agg(F.sum("rows").alias("rows"))  # one row
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("gram")) - 1  # of ``most`` rows at most
     return kept.crossJoin(F.broadcast(total)).select("gram", number.alias("number"), (F.log((F.col("rows") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def _raw(rows: DataFrame, grams: DataFrame, key: str, text: str) -> DataFrame:
+    return gram_counts(rows, key, text).join(F.broadcast(grams), "gram").withColumn("w", (F.log("n") + 1) * F.col("idf"))
+
+
 def weights(rows: DataFrame, grams: DataFrame, key: str = "url", text: str = "name") -> DataFrame:
     """``key, number, gram, weight``: (1 + ln n) idf, scaled so that a row's squares sum to 1."""
-    raw = gram_counts(rows, key, text).join(F.broadcast(grams), "gram").withColumn("w", (F.log("n") + 1) * F.col("idf"))
+    raw = _raw(rows, grams, key, text)
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, key).select(key, "number", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -83,32 +102,43 @@ class TextModel:
     regression: LogisticRegressionModel
 
 
-def _vectors(rows: DataFrame, grams: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """``key, x``: the weights of each row; none for rows without a known gram."""
-    as_vector = F.udf(lambda cells: SparseVector(size, [(c.number, c.weight) for c in cells]), VectorUDT())
-    cells = weights(rows, grams, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "weight"))).alias("cells"))
-    return cells.select(key, as_vector("cells").alias("x"))
+def _vectors(texts: DataFrame, grams: DataFrame, size: int) -> DataFrame:
+    """``text, x``: the weights of each different ``text``; none for those without a known gram."""
+
+    @F.udf(VectorUDT())
+    def as_vector(numbers, w):
+        values = np.array(w)
+        return SparseVector(size, numbers, values / np.sqrt(values @ values))
+
+    cells = _raw(texts, grams, "text", "text").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("number", "w"))).alias("cells"))
+    return cells.select("text", as_vector("cells.number", "cells.w").alias("x"))
 
 
-def fit(rows: DataFrame, key: str = "url", text: str = "name", label: str = "category", most: int = MOST_GRAMS) -> TextModel:
-    """A regression over the classes of ``rows``; keys are unique and not null."""
-    rows = rows.where(F.col(label).isNotNull())
-    grams = vocabulary(rows, key, text, most).cache()
-    size, n = grams.count(), rows.count()
-    index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(rows)
-    data = index.transform(rows.select(key, label)).join(_vectors(rows, grams, size, key, text), key)
-    regression = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", maxIter=60, regParam=1 / (SMOOTHING * max(n, 1)), standardization=False)
-    return TextModel(grams, size, index.labels, regression.fit(data))
+def fit(rows: DataFrame, text: str = "name", label: str = "category", most: int = MOST_GRAMS) -> TextModel:
+    """A regression over the classes of ``rows``; rows that share text and class are one instance with their number as its weight."""
+    rows = rows.select(F.col(text).alias("text"), F.col(label).alias("label")).where("label is not null")
+    pairs = _once(rows, "text", "label").cache()
+    texts = pairs.groupBy("text").agg(F.sum("rows").alias("rows"))
+    grams = _vocabulary(texts, most).cache()
+    size, n = grams.count(), pairs.agg(F.sum("rows")).first()[0] or 0
+    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(pairs)
+    data = index.transform(pairs).join(_vectors(texts.select("text"), grams, size), "text")
+    regression = LogisticRegression(featuresCol="x", labelCol="y", weightCol="rows", family="multinomial", maxIter=60, regParam=1 / (SMOOTHING * max(n, 1)), standardization=False)
+    model = TextModel(grams, size, index.labels, regression.fit(data))
+    pairs.unpersist()
+    return model
 
 
-def predict(model: TextModel, rows: DataFrame, least: float = LEAST_CONFIDENCE, key: str = "url", text: str = "name") -> DataFrame:
-    """``rows`` with guess and confidence; no guess below ``least``, neither for texts without a known gram."""
-    scored = model.regression.transform(_vectors(rows, model.grams, model.size, key, text))
+def predict(model: TextModel, rows: DataFrame, least: float = LEAST_CONFIDENCE, text: str = "name") -> DataFrame:
+    """``rows`` with guess and confidence; no guess below ``least``, neither for texts without a known gram. Each different text is scored once."""
+    texts = _once(rows.select(F.col(text).alias("text")), "text")
+    scored = model.regression.transform(_vectors(texts, model.grams, model.size))
     shares = vector_to_array("probability")
     labels = F.array(*map(F.lit, model.labels))
-    best = scored.select(key, F.array_max(shares).alias("confidence"), F.get(labels, F.col("prediction").cast("int")).alias("best"))
-    joined = rows.drop("guess", "confidence").join(best, key, "left")
-    return joined.withColumn("guess", F.when(F.col("confidence") >= least, F.col("best"))).drop("best")
+    best = scored.select(F.col("text").alias("__text"), F.array_max(shares).alias("confidence"), F.get(labels, F.col("prediction").cast("int")).alias("__best"))
+    rows = rows.drop("guess", "confidence")
+    joined = rows.join(best, rows[text] == best["__text"], "left").drop("__text")
+    return joined.withColumn("guess", F.when(F.col("confidence") >= least, F.col("__best"))).drop("__best")
 
 
 def report(judged: DataFrame, label: str = "category") -> DataFrame:

@@ -1,9 +1,12 @@
 """Grams, split and held-out accuracy of the text classifier."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
+import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from mercato.operators import text_model
@@ -65,3 +68,29 @@ def test_held_out_names_are_guessed(spark):
     odd = spark.createDataFrame([("x", "q9q9 w8w8"), ("y", None), ("z", "mochila azul")], "url string, name string").withColumn("guess", F.lit(1))
     got = {r.url: (r.guess, r.confidence is None) for r in text_model.predict(model, odd).collect()}
     assert got == {"x": (None, True), "y": (None, True), "z": ("Mochila", False)}
+
+
+def test_names_that_repeat_are_worked_on_once(spark):
+    rng = random.Random(4)
+    names = {"gorra azul": "Gorra", "gorra roja": "Gorra", "mochila azul": "Mochila", "mochila negra": "Mochila", "bolso azul": "Mochila", "bolso rojo": "Gorra"}
+    picked = rng.choices(list(names), [9, 1, 5, 3, 2, 2], k=600)
+    rows = [(f"u{k}", n, "Gorra" if k % 50 == 0 else names[n]) for k, n in enumerate(picked)] + [("none", None, "Gorra"), ("bare", "gorra azul", None)]
+    df = spark.createDataFrame(rows, "url string, name string, category string")
+    model = text_model.fit(df)
+    labelled = [(n, c) for _, n, c in rows if c is not None]
+    # A row without a name has no known gram and trains nothing, but counts as a row.
+    pairs = {(n, c) for n, c in labelled if n is not None}
+    assert model.regression.summary.predictions.count() == len(pairs) < 20
+    df_of = Counter(g for n, _ in labelled if n is not None for g in set(plain_grams(n)))
+    got = {r.gram: r.idf for r in model.grams.collect()}
+    assert got == {g: pytest.approx(math.log((len(labelled) + 1) / (d + 1)) + 1) for g, d in df_of.items() if d >= 2}
+    index = {c: float(k) for k, c in enumerate(model.labels)}
+    plain = spark.createDataFrame([(n, index[c]) for n, c in labelled], "text string, y double").join(model.regression.summary.predictions.select("text", "x").dropDuplicates(["text"]), "text")
+    whole = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", maxIter=60, regParam=1 / (text_model.SMOOTHING * len(labelled)), standardization=False).fit(plain)
+    shares = {r.text: max(r.probability) for r in whole.transform(plain.dropDuplicates(["text"])).select("text", "probability").collect()}
+    judged = text_model.predict(model, df)
+    assert judged.columns == ["url", "name", "category", "confidence", "guess"]
+    found = judged.collect()
+    assert sorted(r.url for r in found) == sorted(u for u, _, _ in rows)
+    for r in found:
+        assert r.confidence is None if r.name is None else r.confidence == pytest.approx(shares[r.name], abs=0.01)
