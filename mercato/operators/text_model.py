@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.text import fold
 from mercato.operators.classify import LEAST_CONFIDENCE
+from mercato.operators.graph import cut
 
 LOW, HIGH, MOST_GRAMS, LEAST_NAMES, SMOOTHING = 2, 5, 80_000, 2, 8.0
 TEST_SHARE = 0.2
@@ -117,16 +118,14 @@ def _vectors(texts: DataFrame, grams: DataFrame, size: int) -> DataFrame:
 def fit(rows: DataFrame, text: str = "name", label: str = "category", most: int = MOST_GRAMS) -> TextModel:
     """A regression over the classes of ``rows``; rows that share text and class are one instance with their number as its weight."""
     rows = rows.select(F.col(text).alias("text"), F.col(label).alias("label")).where("label is not null")
-    pairs = _once(rows, "text", "label").cache()
+    pairs = cut(_once(rows, "text", "label"))  # the passes then plan without what made the rows
     texts = pairs.groupBy("text").agg(F.sum("rows").alias("rows"))
-    grams = _vocabulary(texts, most).cache()
+    grams = cut(_vocabulary(texts, most))
     size, n = grams.count(), pairs.agg(F.sum("rows")).first()[0] or 0
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(pairs)
     data = index.transform(pairs).join(_vectors(texts.select("text"), grams, size), "text")
     regression = LogisticRegression(featuresCol="x", labelCol="y", weightCol="rows", family="multinomial", maxIter=60, regParam=1 / (SMOOTHING * max(n, 1)), standardization=False)
-    model = TextModel(grams, size, index.labels, regression.fit(data))
-    pairs.unpersist()
-    return model
+    return TextModel(grams, size, index.labels, regression.fit(data))
 
 
 def predict(model: TextModel, rows: DataFrame, least: float = LEAST_CONFIDENCE, text: str = "name") -> DataFrame:

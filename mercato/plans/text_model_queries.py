@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.operators import cascade, text_model
+from mercato.operators.graph import cut
 from mercato.plans import category_queries as names
 from mercato.plans import name_queries as q
 
@@ -60,6 +61,6 @@ def text_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("text_classifier")
 def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guesses for held-out names by a model of the others."""
-    rows = text_model.stratified(_rows(spark, sf_dir)).cache()
+    rows = cut(text_model.stratified(_rows(spark, sf_dir)))
     model = text_model.fit(rows.where("not held_out"))
     return text_model.predict(model, rows.where("held_out")).select("url", "category", "guess", "confidence")
